@@ -11,8 +11,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from thetaflow.operators import chain
-from thetaflow.params import StraddleParams
+from thetaflow.operators import chain, features, signals, vol
+from thetaflow.params import FeatureParams, StraddleParams
+from thetaflow.plans import dataset
 from thetaflow.plans.oracle_fixtures import with_fixtures
 from thetaflow.plans.registry import register
 from thetaflow.sources.fixtures import fixture_catalog
@@ -69,36 +70,219 @@ straddles AS (
   FROM pivoted WHERE sprc_day_0_C IS NOT NULL AND sprc_day_0_P IS NOT NULL
     AND sprc_day_1_C IS NOT NULL AND sprc_day_1_P IS NOT NULL)"""
 
-STRADDLE_DOUBLES = ("okey_xx", "uprc_day_0", "dist_to_strike", "uprc_day_1", "sprc_day_0_C",
-                    "sprc_day_0_P", "sprc_day_1_C", "sprc_day_1_P", "straddle_day_0",
-                    "straddle_day_1", "uprc_diff")
-
-
 @register("base_chain", with_fixtures(CHAIN_CTES, "SELECT securityid, okey_cp, strike AS okey_xx, date, "
                                                  "expiration, sprc, uprc FROM base"),
-          doubles=("sprc", "uprc"))
+          exact=("securityid", "okey_cp", "okey_xx", "date", "expiration"))
 def q_base_chain(spark, sf_dir):
     return chain.base_chain(*_market(spark, sf_dir), FIXTURE_PARAMS).drop("strike")
 
 
 @register("open_legs", with_fixtures(CHAIN_CTES, "SELECT * FROM open_legs"),
-          doubles=("okey_xx", "sprc", "uprc", "dist_to_strike"))
+          exact=("securityid", "date", "okey_cp", "expiration", "time_to_expiration"))
 def q_open_legs(spark, sf_dir):
     return chain.open_legs(*_market(spark, sf_dir), FIXTURE_PARAMS)
 
 
 @register("close_legs", with_fixtures(CHAIN_CTES, "SELECT * FROM close_legs"),
-          doubles=("okey_xx", "sprc", "uprc"))
+          exact=("securityid", "date", "okey_cp", "expiration", "time_to_expiration"))
 def q_close_legs(spark, sf_dir):
     return chain.close_legs(*_market(spark, sf_dir), FIXTURE_PARAMS)
 
 
 @register("merged_legs", with_fixtures(CHAIN_CTES, "SELECT * FROM merged"),
-          doubles=("okey_xx", "sprc_day_0", "uprc_day_0", "dist_to_strike", "sprc_day_1", "uprc_day_1"))
+          exact=("securityid", "date", "okey_cp", "expiration"))
 def q_merged_legs(spark, sf_dir):
     return chain.merge_legs(*_market(spark, sf_dir), FIXTURE_PARAMS)
 
 
-@register("straddles", with_fixtures(CHAIN_CTES, "SELECT * FROM straddles"), doubles=STRADDLE_DOUBLES)
+@register("straddles", with_fixtures(CHAIN_CTES, "SELECT * FROM straddles"))
 def q_straddles(spark, sf_dir):
     return chain.straddles(*_market(spark, sf_dir), FIXTURE_PARAMS)
+
+
+# ------------------------------------------------- volatility, returns, features
+
+def vol_ctes(px: str = "security_price") -> str:
+    """Reference formulation: one frame per index, full outer joins on date."""
+    one = ("v_{n} AS (SELECT date, (bidlow + askhigh)/2 AS {n} FROM {px} "
+           "WHERE securityid = {sid} AND (bidlow + askhigh)/2 IS NOT NULL)")
+    parts = [one.format(n=n, sid=sid, px=px) for sid, n in ((117801, "VIX"), (152892, "VVIX"), (145764, "VIXM"))]
+    return ",\n".join(parts) + """,
+vol AS (SELECT date, MIN(VIX) AS VIX, MIN(VVIX) AS VVIX, MIN(VIXM) AS VIXM
+        FROM v_VIX FULL JOIN v_VVIX USING (date) FULL JOIN v_VIXM USING (date) GROUP BY date),
+vol_ts AS (SELECT *, CASE WHEN VIX IS NOT NULL AND VIX <> 0 THEN VIXM / VIX END AS VIX_TS FROM vol)"""
+
+
+def ewma_ctes(src: str = "vol_ts", cols=("VIX", "VVIX", "VIX_TS"), h: int = 5, span: int = 300) -> str:
+    """EWMA as a band self-join over the row index (``j`` in ``[i-span, i]``)."""
+    w = f"POW(CAST(2 AS DOUBLE), (b.i - a.i) / CAST({h} AS DOUBLE))"
+    exprs = ",\n   ".join(
+        f"CASE WHEN ANY_VALUE(a.{c}) IS NOT NULL THEN SUM({w} * b.{c}) / "
+        f"SUM(CASE WHEN b.{c} IS NOT NULL THEN {w} END) END AS {c}_ewma_hl_{h}" for c in cols)
+    return f"""vi AS (SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS i FROM {src}),
+ew AS (SELECT a.i,
+   {exprs}
+  FROM vi a JOIN vi b ON b.i BETWEEN a.i - {span} AND a.i GROUP BY a.i),
+vol_ewma AS (SELECT vi.* EXCLUDE (i), ew.* EXCLUDE (i) FROM vi JOIN ew USING (i))"""
+
+
+def zscore_ctes(cols=("VIX", "VVIX", "VIX_TS"), h: int = 5, n: int = 252) -> str:
+    dev = ", ".join(f"{c} - {c}_ewma_hl_{h} AS d_{c}" for c in cols)
+    zs = ",\n   ".join(
+        f"CASE WHEN COUNT(d_{c}) OVER w = {n} AND STDDEV_SAMP(d_{c}) OVER w <> 0 "
+        f"THEN (d_{c} - AVG(d_{c}) OVER w) / STDDEV_SAMP(d_{c}) OVER w END AS {c}_ewma_hl_{h}_zscore"
+        for c in cols)
+    drop = ", ".join([f"d_{c}" for c in cols] + [f"{c}_ewma_hl_{h}" for c in cols])
+    return f"""dev AS (SELECT *, {dev} FROM vol_ewma),
+zraw AS (SELECT *,
+   {zs}
+  FROM dev WINDOW w AS (ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+vol_z AS (SELECT * EXCLUDE ({drop}) FROM zraw)"""
+
+
+def returns_ctes(px: str = "security_price") -> str:
+    return f"""r_px AS (SELECT securityid, date, closeprice FROM {px} WHERE securityid IN (108105)),
+r_1 AS (SELECT securityid, date, closeprice,
+        LN(closeprice) - LAG(LN(closeprice)) OVER (PARTITION BY securityid ORDER BY date, closeprice) AS ret
+        FROM r_px),
+r_2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY securityid, date ORDER BY closeprice) AS rn
+        FROM r_1 WHERE ret IS NOT NULL),
+rets AS (SELECT securityid, date, ret FROM r_2 WHERE rn = 1)"""
+
+
+def _vol_all(px="security_price", n=252):
+    return ",\n".join([vol_ctes(px), ewma_ctes(), zscore_ctes(n=n)])
+
+
+@register("vol_table", with_fixtures(vol_ctes(), "SELECT date, VIX, VVIX, VIXM, VIX_TS FROM vol_ts"),
+          exact=("date",))
+def q_vol_table(spark, sf_dir):
+    return vol.vol_table(_market(spark, sf_dir)[1])
+
+
+@register("vol_term_structure", with_fixtures(vol_ctes(), "SELECT date, VIX_TS FROM vol_ts"), exact=("date",))
+def q_vol_term_structure(spark, sf_dir):
+    return vol.vol_table(_market(spark, sf_dir)[1]).select("date", "VIX_TS")
+
+
+@register("vol_ewma", with_fixtures(",\n".join([vol_ctes(), ewma_ctes()]), "SELECT * FROM vol_ewma"),
+          exact=("date",))
+def q_vol_ewma(spark, sf_dir):
+    return features.add_vol_ewma(vol.vol_table(_market(spark, sf_dir)[1]))
+
+
+@register("vol_zscore", with_fixtures(_vol_all(), "SELECT * FROM vol_z"), exact=("date",))
+def q_vol_zscore(spark, sf_dir):
+    return features.add_vol_zscore(vol.vol_table(_market(spark, sf_dir)[1]))
+
+
+@register("vol_zscore_gappy", with_fixtures(_vol_all("security_price_gappy", 10), "SELECT * FROM vol_z",
+                                            gappy=True), exact=("date",))
+def q_vol_zscore_gappy(spark, sf_dir):
+    prices = _market(spark, sf_dir, gappy=True)[1]
+    return features.add_vol_zscore(vol.vol_table(prices), FeatureParams(zscore_window=10))
+
+
+@register("log_returns", with_fixtures(returns_ctes(), "SELECT * FROM rets"))
+def q_log_returns(spark, sf_dir):
+    return features.log_returns(_market(spark, sf_dir)[1], FIXTURE_PARAMS)
+
+
+# --------------------------------------------------- dataset, signals, backtest
+
+DATASET_CTES = ",\n".join([CHAIN_CTES.strip(), _vol_all(), returns_ctes(), """dataset AS (
+  SELECT * FROM straddles LEFT JOIN vol_z USING (date) LEFT JOIN rets USING (securityid, date))"""])
+
+
+def signal_ctes(src: str = "dataset", fold: bool = False, guard: bool = True, weight_first: bool = False,
+                d0="straddle_day_0", d1="straddle_day_1") -> str:
+    lags, weights = (1, 2, 3), (0.6, 0.3, 0.1)
+    cond = f"CASE WHEN {d0} <> 0 THEN " if guard else "CASE WHEN TRUE THEN "
+    rets = (f"{cond}({d0} - {d1}) / NULLIF({d0}, 0) END AS ret_sprc, "
+            f"{cond}({d0} - ABS(uprc_diff)) / NULLIF({d0}, 0) END AS ret_uprc")
+    lag_sql = ", ".join(f"LAG({b}, {k}) OVER w AS {b}_lag_{k}" for b in ("ret_sprc", "ret_uprc") for k in lags)
+
+    def wexpr(b, k, wt):
+        return (f"CAST({wt} AS DOUBLE) * {b}_lag_{k}" if weight_first else f"{b}_lag_{k} * CAST({wt} AS DOUBLE)")
+
+    wsql = ", ".join(f'{wexpr(b, k, wt)} AS "{b}_lag_{k}_{wt}"'
+                     for b in ("ret_sprc", "ret_uprc") for k, wt in zip(lags, weights))
+
+    def sig(b):
+        terms = [f'"{b}_lag_{k}_{wt}"' for k, wt in zip(lags, weights)]
+        if fold:
+            return "CAST(0 AS DOUBLE) + " + " + ".join(terms)
+        return " + ".join(f"COALESCE({t}, CAST(0 AS DOUBLE))" for t in terms)
+
+    return f"""s_ret AS (SELECT *, {rets} FROM {src}),
+s_lag AS (SELECT *, {lag_sql} FROM s_ret WINDOW w AS (PARTITION BY securityid ORDER BY date)),
+s_w AS (SELECT *, {wsql} FROM s_lag),
+s_sig AS (SELECT *, {sig('ret_sprc')} AS ret_sprc_signal, {sig('ret_uprc')} AS ret_uprc_signal FROM s_w)"""
+
+
+SIGNALS_CTES = DATASET_CTES + ",\n" + signal_ctes() + """,
+signals AS (SELECT * FROM s_sig WHERE COLUMNS(*) IS NOT NULL)"""
+
+BACKTEST_CTES = SIGNALS_CTES + """,
+b_cap AS (SELECT *, ret_sprc_signal * CAST(50000.0 AS DOUBLE) AS ret_sprc_signal_capital,
+                    ret_uprc_signal * CAST(50000.0 AS DOUBLE) AS ret_uprc_signal_capital FROM signals),
+b_pos AS (SELECT *,
+   CASE WHEN straddle_day_0 IS NOT NULL AND straddle_day_0 <> 0 THEN ret_sprc_signal_capital / straddle_day_0
+        ELSE CAST(0 AS DOUBLE) END AS ret_sprc_signal_pos,
+   CASE WHEN straddle_day_0 IS NOT NULL AND straddle_day_0 <> 0 THEN ret_uprc_signal_capital / straddle_day_0
+        ELSE CAST(0 AS DOUBLE) END AS ret_uprc_signal_pos FROM b_cap),
+b_pnl AS (SELECT *, ret_sprc_signal_pos * (straddle_day_1 - straddle_day_0) AS ret_sprc_signal_pnl,
+                    ret_uprc_signal_pos * (uprc_diff - straddle_day_0) AS ret_uprc_signal_pnl FROM b_pos),
+backtest AS (SELECT *,
+   CASE WHEN ret_sprc_signal_pnl IS NOT NULL THEN SUM(ret_sprc_signal_pnl) OVER w END AS ret_sprc_signal_cum_pnl,
+   CASE WHEN ret_uprc_signal_pnl IS NOT NULL THEN SUM(ret_uprc_signal_pnl) OVER w END AS ret_uprc_signal_cum_pnl
+  FROM b_pnl WINDOW w AS (PARTITION BY securityid ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+LEGACY_CTES = CHAIN_CTES + """,
+legacy AS (SELECT securityid, date, okey_xx, uprc_day_0 AS open_uprc, expiration, dist_to_strike,
+   uprc_day_1 AS close_uprc, sprc_day_0_C AS open_sprc_C, sprc_day_0_P AS open_sprc_P,
+   sprc_day_1_C AS close_sprc_C, sprc_day_1_P AS close_sprc_P, straddle_day_0 AS open_straddle,
+   straddle_day_1 AS close_straddle, uprc_diff FROM straddles),
+""" + signal_ctes("legacy", fold=True, guard=False, weight_first=True, d0="open_straddle", d1="close_straddle") + """,
+l_pnl AS (SELECT *,
+   ret_sprc_signal * (close_straddle - open_straddle) * CAST(1000000.0 AS DOUBLE) * CAST(0.05 AS DOUBLE) / NULLIF(open_straddle, 0) AS ret_sprc_signal_pnl,
+   ret_uprc_signal * (uprc_diff - open_straddle) * CAST(1000000.0 AS DOUBLE) * CAST(0.05 AS DOUBLE) / NULLIF(open_straddle, 0) AS ret_uprc_signal_pnl
+  FROM s_sig),
+legacy_bt AS (SELECT *,
+   CASE WHEN ret_sprc_signal_pnl IS NOT NULL THEN SUM(ret_sprc_signal_pnl) OVER w END AS ret_sprc_signal_pnl_cumsum,
+   CASE WHEN ret_uprc_signal_pnl IS NOT NULL THEN SUM(ret_uprc_signal_pnl) OVER w END AS ret_uprc_signal_pnl_cumsum
+  FROM l_pnl WINDOW w AS (PARTITION BY securityid ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _dataset(spark, sf_dir):
+    return dataset.dataset_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS)
+
+
+def _backtest(spark, sf_dir):
+    return dataset.backtest_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS)
+
+
+@register("dataset_1dte", with_fixtures(DATASET_CTES, "SELECT * FROM dataset"))
+def q_dataset(spark, sf_dir):
+    return _dataset(spark, sf_dir)
+
+
+@register("signals", with_fixtures(SIGNALS_CTES, "SELECT * FROM signals"))
+def q_signals(spark, sf_dir):
+    return signals.generate_signals(_dataset(spark, sf_dir))
+
+
+@register("signals_fold", with_fixtures(DATASET_CTES + ",\n" + signal_ctes(fold=True), "SELECT * FROM s_sig"))
+def q_signals_fold(spark, sf_dir):
+    ds = signals.add_straddle_returns(_dataset(spark, sf_dir))
+    return signals.add_signal_components(ds, fold=True)
+
+
+@register("backtest", with_fixtures(BACKTEST_CTES, "SELECT * FROM backtest"))
+def q_backtest(spark, sf_dir):
+    return _backtest(spark, sf_dir)
+
+
+@register("backtest_legacy", with_fixtures(LEGACY_CTES, "SELECT * FROM legacy_bt"))
+def q_backtest_legacy(spark, sf_dir):
+    return dataset.legacy_backtest(*_market(spark, sf_dir), FIXTURE_PARAMS)
