@@ -11,7 +11,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from thetaflow.operators import chain, features, signals, vol
+from thetaflow.operators import chain, features, signals, stats, vol
 from thetaflow.params import FeatureParams, StraddleParams
 from thetaflow.plans import dataset
 from thetaflow.plans.oracle_fixtures import with_fixtures
@@ -286,3 +286,147 @@ def q_backtest(spark, sf_dir):
 @register("backtest_legacy", with_fixtures(LEGACY_CTES, "SELECT * FROM legacy_bt"))
 def q_backtest_legacy(spark, sf_dir):
     return dataset.legacy_backtest(*_market(spark, sf_dir), FIXTURE_PARAMS)
+
+
+# ------------------------------------------------------------------ statistics
+
+REPORT_COLS = ("straddle_day_0", "straddle_day_1", "uprc_diff", "ret_sprc", "ret_uprc", "ret_uprc_signal",
+               "ret_uprc_signal_pnl", "VIX", "VVIX", "VIX_TS", "ret")
+CORR_COLS = ("ret_uprc_signal", "ret_uprc_signal_pnl", "VIX", "VVIX", "VIX_TS", "ret")
+PCTS = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
+
+
+def describe_sql(src: str, cols, group=()) -> str:
+    g = "".join(f"{x}, " for x in group)
+    union = "\n  UNION ALL ".join(f"SELECT {g}'{x}' AS \"column\", CAST({x} AS DOUBLE) AS value FROM {src}"
+                                  for x in cols)
+    qs = ", ".join(f"quantile_cont(value, {p}) AS p{int(p * 100)}" for p in PCTS)
+    return f"""SELECT {g}"column", COUNT(value) AS count, COUNT(*) - COUNT(value) AS null_count,
+  AVG(value) AS mean, STDDEV_SAMP(value) AS std, MIN(value) AS min, {qs}, MAX(value) AS max
+FROM ({union}) AS u GROUP BY {g}"column\""""
+
+
+def corr_sql(src: str, cols, spearman=False) -> str:
+    nn = " AND ".join(f"{x} IS NOT NULL" for x in cols)
+    sub = f"SELECT {', '.join(cols)} FROM {src} WHERE {nn}"
+    if spearman:
+        ranks = ", ".join(f"RANK() OVER (ORDER BY {x}) + (COUNT(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS {x}"
+                          for x in cols)
+        sub = f"SELECT {ranks} FROM ({sub}) AS s0"
+    pr = ", ".join(f"COVAR_POP({a}, {b}) / NULLIF(STDDEV_POP({a}) * STDDEV_POP({b}), 0) AS c_{i}_{j}"
+                   for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i)
+    m = f"(SELECT {pr} FROM ({sub}) AS s) AS m"
+    rows = []
+    for i, a in enumerate(cols):
+        cells = ", ".join(f"c_{min(i, j)}_{max(i, j)} AS {b}" for j, b in enumerate(cols))
+        rows.append(f"SELECT '{a}' AS \"column\", {cells} FROM {m}")
+    return "\nUNION ALL ".join(rows)
+
+
+SQRT252 = repr(252 ** 0.5)
+
+
+def pnl_stats_sql(src: str, pnl: str, where: str = "TRUE", notebook: bool = False, tag: str | None = None) -> str:
+    agg = f"""WITH p_src AS (SELECT date, {pnl} AS x FROM {src} WHERE {where}),
+p_roll AS (SELECT x, CASE WHEN COUNT(x) OVER w5 = 5 THEN SUM(x) OVER w5 END AS r5,
+                  CASE WHEN COUNT(x) OVER w20 = 20 THEN SUM(x) OVER w20 END AS r20
+  FROM p_src WHERE x IS NOT NULL
+  WINDOW w5 AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+         w20 AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+p_mu AS (SELECT AVG(x) AS mu FROM p_roll),
+a AS (SELECT (SELECT COUNT(*) FROM p_src) AS n_rows, COUNT(x) AS n, AVG(x) AS mean, STDDEV_SAMP(x) AS std,
+  COUNT(*) FILTER (WHERE x > 0) AS wins, MAX(x) AS mx, MIN(x) AS mn, MIN(r5) AS w5, MIN(r20) AS w20,
+  AVG(POW(x - mu, 3)) / NULLIF(POW(AVG(POW(x - mu, 2)), 1.5), 0) AS skew,
+  AVG(POW(x - mu, 4)) / NULLIF(POW(AVG(POW(x - mu, 2)), 2), 0) - 3 AS kurt,
+  AVG(x) FILTER (WHERE x > 0) AS avg_win, AVG(x) FILTER (WHERE x < 0) AS avg_loss, SUM(x) AS total
+  FROM p_roll, p_mu)"""
+    sharpe = (f"CASE WHEN std IS NOT NULL AND std <> 0 THEN (mean - CAST(0.0 AS DOUBLE)) / std * {SQRT252} "
+              f"WHEN mean = 0 AND (std IS NULL OR std = 0) THEN CAST(0.0 AS DOUBLE) END")
+    total = "CASE WHEN n > 0 THEN total / CAST(1000000.0 AS DOUBLE) * 100 END"
+    cagr = "CASE WHEN n > 0 THEN ((total + CAST(1000000.0 AS DOUBLE)) / CAST(1000000.0 AS DOUBLE) - 1) * 100 END"
+    common = [
+        ("mean",), ("std",), (sharpe,), ("CASE WHEN n > 0 THEN wins / n * 100 END",), ("mx",), ("mn",),
+        ("CASE WHEN n >= 5 THEN w5 / CAST(1000000.0 AS DOUBLE) * 100 END",),
+        ("CASE WHEN n >= 20 THEN w20 / CAST(1000000.0 AS DOUBLE) * 100 END",),
+        ("CASE WHEN n > 2 THEN skew END",), ("CASE WHEN n > 3 THEN kurt END",),
+        ("CASE WHEN n > 0 THEN COALESCE(avg_win, 0.0) END",), ("CASE WHEN n > 0 THEN COALESCE(avg_loss, 0.0) END",),
+    ]
+    from thetaflow.operators.stats import NOTEBOOK_STAT_NAMES, PNL_STAT_NAMES
+    if notebook:
+        names = NOTEBOOK_STAT_NAMES
+        exprs = [e[0] for e in common] + [cagr, f"CASE WHEN n > 0 THEN (POW(1 + ({cagr}) / 100, 252.0 / n) - 1) * 100 END"]
+        clean = "CASE WHEN NOT isnan(v) THEN v END"
+    else:
+        names = PNL_STAT_NAMES
+        exprs = [e[0] for e in common] + [total, f"CASE WHEN n > 0 THEN (POW(1 + ({total}) / 100, 252.0 / n) - 1) * 100 END"]
+        clean = "CASE WHEN isfinite(v) THEN v END"
+    t = f", '{tag}' AS \"PnL Source\"" if tag else ""
+    rows = "\nUNION ALL ".join(
+        f"SELECT '{nm}' AS Statistic, {clean.replace('v', f'CAST(({e}) AS DOUBLE)')} AS Value{t} FROM a WHERE n_rows > 0"
+        for nm, e in zip(names, exprs))
+    return agg + "\n" + rows
+
+
+def _bt_sql(final: str) -> str:
+    return with_fixtures(BACKTEST_CTES, final)
+
+
+PNL = "ret_uprc_signal_pnl"
+POS = "ret_uprc_signal_pos"
+
+
+@register("describe_backtest", _bt_sql(describe_sql("backtest", REPORT_COLS)),
+          exact=("column", "count", "null_count"))
+def q_describe_backtest(spark, sf_dir):
+    return stats.describe(_backtest(spark, sf_dir), REPORT_COLS)
+
+
+@register("describe_prices", with_fixtures("", describe_sql("security_price", ("closeprice", "bidlow", "askhigh"),
+                                                             ("securityid",))),
+          exact=("securityid", "column", "count", "null_count"))
+def q_describe_prices(spark, sf_dir):
+    return stats.describe(_market(spark, sf_dir)[1], ("closeprice", "bidlow", "askhigh"),
+                          group_cols=("securityid",))
+
+
+@register("corr_pearson", _bt_sql(corr_sql("backtest", CORR_COLS)), exact=("column",))
+def q_corr_pearson(spark, sf_dir):
+    return stats.correlation_matrix(_backtest(spark, sf_dir), CORR_COLS)
+
+
+@register("corr_spearman", _bt_sql(corr_sql("backtest", CORR_COLS, spearman=True)), exact=("column",))
+def q_corr_spearman(spark, sf_dir):
+    return stats.correlation_matrix(_backtest(spark, sf_dir), CORR_COLS, method="spearman")
+
+
+def _stats_sql(**kw):
+    inner = pnl_stats_sql("backtest", PNL, **kw)
+    return with_fixtures(BACKTEST_CTES, f"SELECT * FROM ({inner}) AS r")
+
+
+@register("pnl_stats", _stats_sql(), exact=("Statistic",))
+def q_pnl_stats(spark, sf_dir):
+    return stats.pnl_statistics(_backtest(spark, sf_dir), PNL)
+
+
+@register("pnl_stats_long", _stats_sql(where=f"{POS} > 0"), exact=("Statistic",))
+def q_pnl_stats_long(spark, sf_dir):
+    return stats.pnl_statistics(_backtest(spark, sf_dir).where(F.col(POS) > 0), PNL)
+
+
+@register("pnl_stats_short", _stats_sql(where=f"{POS} < 0"), exact=("Statistic",))
+def q_pnl_stats_short(spark, sf_dir):
+    return stats.pnl_statistics(_backtest(spark, sf_dir).where(F.col(POS) < 0), PNL)
+
+
+@register("pnl_stats_notebook", _stats_sql(notebook=True), exact=("Statistic",))
+def q_pnl_stats_notebook(spark, sf_dir):
+    return stats.pnl_statistics_notebook(_backtest(spark, sf_dir), PNL)
+
+
+@register("pnl_statistics_by_source", with_fixtures(
+    BACKTEST_CTES, "SELECT * FROM (" + pnl_stats_sql("backtest", "ret_sprc_signal_pnl", tag="ret_sprc_signal_pnl")
+    + ") AS r1 UNION ALL SELECT * FROM (" + pnl_stats_sql("backtest", PNL, tag=PNL) + ") AS r2"),
+    exact=("Statistic", "PnL Source"))
+def q_pnl_statistics_by_source(spark, sf_dir):
+    return stats.pnl_statistics_by_source(_backtest(spark, sf_dir), ["ret_sprc_signal_pnl", PNL])
