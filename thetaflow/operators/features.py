@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thetaflow.functions.columns import c, series_window
-from thetaflow.functions.ewma import IDX, ewma_expr, with_row_index
+from thetaflow.functions.ewma import add_ewma
 from thetaflow.params import FeatureParams, StraddleParams
 
 
@@ -44,12 +44,8 @@ def add_vol_ewma(df: DataFrame, params: FeatureParams = FeatureParams(),
     cols = [v for v in params.vol_cols if v in df.columns]
     if not cols:
         return df
-    out = with_row_index(df, series_keys, order_by)
-    out = out.withColumns({
-        ewma_name(v, params.half_life) + suffix: ewma_expr(v, params.half_life, series_keys, order_by)
-        for v in cols
-    })
-    return out.drop(IDX)
+    return add_ewma(df, {v: ewma_name(v, params.half_life) + suffix for v in cols},
+                    params.half_life, series_keys, order_by)
 
 
 def add_vol_zscore(df: DataFrame, params: FeatureParams = FeatureParams(),
@@ -65,10 +61,8 @@ def add_vol_zscore(df: DataFrame, params: FeatureParams = FeatureParams(),
     if not cols:
         return df
     h, n = params.half_life, params.zscore_window
-    out = with_row_index(df, series_keys, order_by)
-    out = out.withColumns({
-        zscore_name(v, h): c(v) - ewma_expr(v, h, series_keys, order_by) for v in cols
-    })
+    out = add_ewma(df, {v: zscore_name(v, h) for v in cols}, h, series_keys, order_by)
+    out = out.withColumns({zscore_name(v, h): c(v) - c(zscore_name(v, h)) for v in cols})
     frame = series_window(series_keys, order_by).rowsBetween(-(n - 1), 0)
     zs = {}
     for v in cols:
@@ -76,4 +70,4 @@ def add_vol_zscore(df: DataFrame, params: FeatureParams = FeatureParams(),
         mean, std, cnt = F.avg(d).over(frame), F.stddev_samp(d).over(frame), F.count(d).over(frame)
         zs[zscore_name(v, h)] = F.when(
             (cnt == n) & std.isNotNull() & (std != 0), F.try_divide(d - mean, std))
-    return out.withColumns(zs).drop(IDX)
+    return out.withColumns(zs)

@@ -2,11 +2,12 @@
 
 The SQL runs on the driver's views (``orders`` ...), so each query's work
 grows with the tables.  For the side-by-side value check, double columns are
-normalised to 10 significant digits on both sides (``%.9e`` and back), which
+normalised on both sides to 10 significant digits, but no finer than 1e-9
+absolute (``%.9e`` for |x| >= 1, ``%.9f`` below, and back to double).  This
 absorbs summation-order noise between the two engines (running sums of
-values around 1e6 differ in the last bits) without hiding real errors; the
-fixture prices have four decimals, so fewer digits would put interpolated
-percentiles exactly on a rounding tie.
+values around 1e6; z-scores near 0 that come out of a cancellation) without
+hiding real errors.  The fixture prices have four decimals, so fewer digits
+would put interpolated percentiles exactly on a rounding tie.
 ``exact`` names the columns that are not doubles and are compared as is.
 """
 
@@ -48,25 +49,29 @@ def register(name: str, sql: str | None = None, exact=DEFAULT_EXACT):
     return deco
 
 
-DIGITS = 10
+DIGITS = 10  # significant digits for |x| >= 1
+DECIMALS = 9  # fixed decimals for |x| < 1 (values near 0 come from cancellation)
 
 
-def normalize_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    fmt = f"%.{digits - 1}e"
+def normalize_doubles(df: DataFrame, digits: int = DIGITS, decimals: int = DECIMALS) -> DataFrame:
+    sci, fix = f"%.{digits - 1}e", f"%.{decimals}f"
     cols = []
     for f in df.schema.fields:
+        x = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            x = F.col(f"`{f.name}`")
-            cols.append(F.when(x.isNotNull(), F.format_string(fmt, x).cast("double")).alias(f.name))
+            txt = F.when(F.abs(x) >= 1, F.format_string(sci, x)).otherwise(F.format_string(fix, x))
+            cols.append((F.when(x.isNotNull(), txt.cast("double")) + F.lit(0.0)).alias(f.name))
         else:
-            cols.append(F.col(f"`{f.name}`"))
+            cols.append(x)
     return df.select(*cols)
 
 
-def normalize_sql(sql: str, exact, digits: int = DIGITS) -> str:
+def normalize_sql(sql: str, exact, digits: int = DIGITS, decimals: int = DECIMALS) -> str:
     """Wrap ``sql`` so every column not in ``exact`` is normalised like above."""
-    fmt = f"%.{digits - 1}e"
+    sci, fix = f"%.{digits - 1}e", f"%.{decimals}f"
     names = ", ".join("'" + n.replace("'", "''") + "'" for n in exact) or "''"
     keep = f"COLUMNS(lambda c: c IN ({names})), " if exact else ""
-    return (f"SELECT {keep}CAST(printf('{fmt}', COLUMNS(lambda c: c NOT IN ({names}))) AS DOUBLE)\n"
-            f"FROM (\n{sql}\n) AS q")
+    pick = f"COLUMNS(lambda c: c NOT IN ({names}))"
+    norm = (f"CAST(list_transform([{pick}], lambda v: CASE WHEN abs(v) >= 1 THEN printf('{sci}', v) "
+            f"ELSE printf('{fix}', v) END)[1] AS DOUBLE) + CAST(0.0 AS DOUBLE)")
+    return f"SELECT {keep}{norm}\nFROM (\n{sql}\n) AS q"
