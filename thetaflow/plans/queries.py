@@ -8,10 +8,12 @@ Fixture runs use ``min_date = 1995-01-01`` because the derived data spans
 from __future__ import annotations
 
 import datetime
+import math
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from thetaflow.operators import chain, features, signals, stats, vol
+from thetaflow.operators import chain, features, regimes, series, signals, stats, vol
 from thetaflow.params import FeatureParams, StraddleParams
 from thetaflow.plans import dataset
 from thetaflow.plans.oracle_fixtures import with_fixtures
@@ -430,3 +432,179 @@ def q_pnl_stats_notebook(spark, sf_dir):
     exact=("Statistic", "PnL Source"))
 def q_pnl_statistics_by_source(spark, sf_dir):
     return stats.pnl_statistics_by_source(_backtest(spark, sf_dir), ["ret_sprc_signal_pnl", PNL])
+
+
+# ------------------------------------------------------------- regime tables
+
+ZCOLS = ("VIX_ewma_hl_5_zscore", "VVIX_ewma_hl_5_zscore", "VIX_TS_ewma_hl_5_zscore")
+SHARPE_SQL = (f"CASE WHEN n >= 2 THEN CASE WHEN std IS NOT NULL AND std <> 0 THEN (mean - CAST(0.0 AS DOUBLE)) / std * "
+              f"{SQRT252} WHEN mean = 0 AND (std IS NULL OR std = 0) THEN CAST(0.0 AS DOUBLE) END END")
+
+
+def regime_long_sql(cols, base="ret_uprc_signal") -> str:
+    parts = [f"""SELECT '{base}' AS signal_base, '{col}' AS "column",
+  CASE WHEN {base}_pos > 0 THEN 'long' ELSE 'short' END AS side,
+  CAST({col} AS DOUBLE) AS x, CAST({base}_pnl AS DOUBLE) AS pnl FROM backtest WHERE {base}_pos <> 0""" for col in cols]
+    return "\nUNION ALL ".join(parts)
+
+
+def regime_sql(cols, fixed=None) -> str:
+    long = regime_long_sql(cols)
+    if fixed is None:
+        probs = ", ".join(repr(i / 10) for i in range(1, 10))
+        bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN len(list_filter(breaks, lambda b: b < x)) + 1 END AS bucket
+  FROM ({long}) AS l JOIN (SELECT signal_base, "column", side, quantile_cont(x, [{probs}]) AS breaks
+                          FROM ({long}) AS l0 GROUP BY signal_base, "column", side) AS br
+  USING (signal_base, "column", side)"""
+    else:
+        arr = ", ".join(f"CAST({b!r} AS DOUBLE)" for b in fixed)
+        bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN len(list_filter([{arr}], lambda b: b < x)) + 1 END AS bucket
+  FROM ({long}) AS l"""
+    stats_ = f"""SELECT signal_base, "column", side, bucket, MIN(x) AS x_min, MAX(x) AS x_max, COUNT(pnl) AS n,
+  AVG(pnl) AS mean, STDDEV_SAMP(pnl) AS std FROM ({bucketed}) AS b WHERE bucket IS NOT NULL
+  GROUP BY signal_base, "column", side, bucket"""
+    if fixed is None:
+        label = "'D' || bucket AS decile, printf('%.2f to %.2f', x_min, x_max) AS DecileAxisLabel"
+    else:
+        from thetaflow.operators.regimes import fixed_bin_labels
+        labs = ", ".join("'" + s + "'" for s in fixed_bin_labels(fixed))
+        label = f"list_extract([{labs}], bucket) AS BinLabel"
+    return f"""SELECT signal_base, "column", side, bucket, {label}, sharpe AS SharpeRatio
+FROM (SELECT *, {SHARPE_SQL} AS sharpe FROM ({stats_}) AS s) AS t WHERE sharpe IS NOT NULL"""
+
+
+REGIME_EXACT = ("signal_base", "column", "side", "bucket", "decile", "DecileAxisLabel", "BinLabel")
+
+
+@register("sharpe_by_signal_decile", _bt_sql(regime_sql(["ret_uprc_signal"])), exact=REGIME_EXACT)
+def q_sharpe_by_signal_decile(spark, sf_dir):
+    return regimes.sharpe_by_decile(_backtest(spark, sf_dir), ["ret_uprc_signal"])
+
+
+@register("sharpe_by_vol_decile", _bt_sql(regime_sql(["VIX", "VVIX", "VIX_TS"])), exact=REGIME_EXACT)
+def q_sharpe_by_vol_decile(spark, sf_dir):
+    return regimes.sharpe_by_decile(_backtest(spark, sf_dir), ["ret_uprc_signal"], ["VIX", "VVIX", "VIX_TS"])
+
+
+@register("sharpe_by_fixed_bin", _bt_sql(regime_sql(list(ZCOLS), fixed=[-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0])),
+          exact=REGIME_EXACT)
+def q_sharpe_by_fixed_bin(spark, sf_dir):
+    return regimes.sharpe_by_fixed_bin(_backtest(spark, sf_dir), ["ret_uprc_signal"], list(ZCOLS))
+
+
+# ------------------------------------------------------------ series reports
+
+@register("pnl_weekly", _bt_sql(f"SELECT CAST(date_trunc('week', date) AS DATE) AS weekly_start_date, SUM({PNL}) AS {PNL} "
+                                f"FROM backtest WHERE date IS NOT NULL AND {PNL} IS NOT NULL GROUP BY 1"),
+          exact=("weekly_start_date",))
+def q_pnl_weekly(spark, sf_dir):
+    return series.period_pnl(_backtest(spark, sf_dir), PNL, "weekly")
+
+
+@register("pnl_monthly", _bt_sql(f"SELECT CAST(date_trunc('month', date) AS DATE) AS monthly_start_date, SUM({PNL}) AS {PNL} "
+                                 f"FROM backtest WHERE date IS NOT NULL AND {PNL} IS NOT NULL GROUP BY 1"),
+          exact=("monthly_start_date",))
+def q_pnl_monthly(spark, sf_dir):
+    return series.period_pnl(_backtest(spark, sf_dir), PNL, "monthly")
+
+
+@register("pnl_semester", _bt_sql(f"""SELECT CAST(year(date) AS INTEGER) AS plot_year,
+  CAST((month(date) - 1) // 6 + 1 AS INTEGER) AS plot_semester, MIN(date) AS min_date, MAX(date) AS max_date,
+  COUNT(*) AS n_days, SUM({PNL}) AS {PNL}
+FROM backtest WHERE date IS NOT NULL AND {PNL} IS NOT NULL GROUP BY 1, 2"""),
+          exact=("plot_year", "plot_semester", "min_date", "max_date", "n_days"))
+def q_pnl_semester(spark, sf_dir):
+    return series.semester_periods(_backtest(spark, sf_dir), PNL)
+
+
+@register("long_short_cum_pnl", _bt_sql(f"""SELECT securityid, date, ret_uprc_signal_cum_pnl,
+  CASE WHEN {POS} > 0 THEN SUM({PNL}) OVER w END AS long_pnl_contribution,
+  CASE WHEN {POS} < 0 THEN SUM({PNL}) OVER w END AS short_pnl_contribution
+FROM backtest WINDOW w AS (PARTITION BY securityid, CASE WHEN {POS} > 0 THEN 'long' WHEN {POS} < 0 THEN 'short' END
+  ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+def q_long_short_cum_pnl(spark, sf_dir):
+    return series.long_short_cumulative(_backtest(spark, sf_dir))
+
+
+@register("yearly_cum_pnl", _bt_sql("""SELECT securityid, year, date,
+  cum - FIRST_VALUE(cum) OVER (PARTITION BY securityid, year ORDER BY date) AS ret_uprc_signal_cum_pnl
+FROM (SELECT securityid, date, ret_uprc_signal_cum_pnl AS cum, CAST(year(date) AS INTEGER) AS year,
+        LEAST(make_date(CAST(year(date) AS INTEGER) + 1, 1, 1), MAX(date) OVER (PARTITION BY securityid)) AS e
+      FROM backtest) AS y WHERE date < e"""), exact=("securityid", "year", "date"))
+def q_yearly_cum_pnl(spark, sf_dir):
+    return series.yearly_cumulative(_backtest(spark, sf_dir))
+
+
+ACF_COLS = ("ret_uprc_signal", "ret_uprc_signal_pnl")
+Z975 = repr(NormalDist().inv_cdf(0.975))
+
+
+def acf_sql(cols=ACF_COLS, L=40) -> str:
+    long = "\nUNION ALL ".join(f"SELECT securityid, '{x}' AS \"column\", date, CAST({x} AS DOUBLE) AS x FROM backtest "
+                               f"WHERE {x} IS NOT NULL" for x in cols)
+    lags = ", ".join(f"LAG(x, {i}) OVER w AS l{i}" for i in range(1, L + 1))
+    corr = ", ".join(
+        f"CASE WHEN COUNT(l{i}) >= 2 THEN COVAR_POP(x, l{i}) / NULLIF(STDDEV_POP(CASE WHEN l{i} IS NOT NULL THEN x END)"
+        f" * STDDEV_POP(CASE WHEN x IS NOT NULL THEN l{i} END), 0) END AS a{i}" for i in range(1, L + 1))
+    agg = (f"(SELECT securityid, \"column\", COUNT(x) AS n, {corr} FROM (SELECT securityid, \"column\", x, {lags} "
+           f"FROM ({long}) AS l WINDOW w AS (PARTITION BY securityid, \"column\" ORDER BY date)) AS lg "
+           f"GROUP BY securityid, \"column\") AS a")
+    rows = [f"SELECT securityid, \"column\", 0 AS lag, CAST(1.0 AS DOUBLE) AS acf, {Z975} / sqrt(n) AS conf_band FROM {agg} "
+            f"WHERE n >= {L + 1}"]
+    rows += [f"SELECT securityid, \"column\", {i} AS lag, a{i} AS acf, {Z975} / sqrt(n) AS conf_band FROM {agg} "
+             f"WHERE n >= {L + 1} AND a{i} IS NOT NULL AND NOT isnan(a{i})" for i in range(1, L + 1)]
+    return "\nUNION ALL ".join(rows)
+
+
+@register("acf", _bt_sql(acf_sql()), exact=("securityid", "column", "lag"))
+def q_acf(spark, sf_dir):
+    return series.autocorrelation(_backtest(spark, sf_dir), ACF_COLS, series_keys=("securityid",))
+
+
+HIST_SQL = f"""SELECT bin, bin_start, bin_end, count, count / (bin_end - bin_start) / n AS density FROM (
+SELECT bin, COUNT(*) AS count, ANY_VALUE(n) AS n,
+  ANY_VALUE(CASE WHEN bin >= nb THEN last ELSE first + bin * step END) AS bin_start,
+  ANY_VALUE(CASE WHEN bin + 1 >= nb THEN last ELSE first + (bin + 1) * step END) AS bin_end
+FROM (
+ SELECT *, CASE WHEN x >= (CASE WHEN i1 + 1 >= nb THEN last ELSE first + (i1 + 1) * step END) AND i1 <> nb - 1
+               THEN i1 + 1 ELSE i1 END AS bin
+ FROM (
+  SELECT *, CASE WHEN x < (CASE WHEN i0 >= nb THEN last ELSE first + i0 * step END) THEN i0 - 1 ELSE i0 END AS i1
+  FROM (
+   SELECT x, n, first, last, nb, (last - first) / nb AS step,
+     LEAST(GREATEST(CAST(floor((x - first) / (last - first) * nb) AS BIGINT), 0), nb - 1) AS i0
+   FROM (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL) AS v,
+   (SELECT *, CAST(CASE WHEN width > 0 THEN ceil((last - first) / width) ELSE 1 END AS BIGINT) AS nb FROM (
+     SELECT *, CASE WHEN fd > 0 THEN LEAST(fd, sturges) ELSE sturges END AS width FROM (
+       SELECT n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
+         (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * pow(n, {repr(-1.0 / 3.0)}) AS fd FROM (
+         SELECT CAST(COUNT({PNL}) AS DOUBLE) AS n, MIN({PNL}) AS lo, MAX({PNL}) AS hi,
+           quantile_cont({PNL}, 0.75) - quantile_cont({PNL}, 0.25) AS iqr FROM backtest WHERE {PNL} IS NOT NULL) AS s0
+       ) AS s1) AS s2) AS s3
+  ) AS t0) AS t1) AS t2
+GROUP BY bin) AS h"""
+
+
+@register("histogram", _bt_sql(HIST_SQL), exact=("bin", "count"))
+def q_histogram(spark, sf_dir):
+    return series.histogram(_backtest(spark, sf_dir), PNL)
+
+
+def kde_sql(col=PNL, grid=200) -> str:
+    span = repr(1.0 / (grid - 1))
+    g = lambda k: f"(lo + (hi - lo) * (CAST({k} AS DOUBLE) * {span}))"
+    pts = ", ".join(f"AVG(exp(-0.5 * (({g(k)} - x) / bw) * (({g(k)} - x) / bw)))" for k in range(grid))
+    xs = ", ".join(g(k) for k in range(grid))
+    norm = repr(1.0 / math.sqrt(2 * math.pi))
+    return f"""SELECT unnest(range({grid})) AS grid_index, unnest([{xs}]) AS x,
+  unnest(list_transform(d, lambda v: v * {norm} / bw)) AS density
+FROM (SELECT ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(bw) AS bw, [{pts}] AS d
+      FROM (SELECT CAST({col} AS DOUBLE) AS x FROM backtest WHERE {col} IS NOT NULL) AS v,
+           (SELECT MIN({col}) AS lo, MAX({col}) AS hi,
+                   STDDEV_SAMP({col}) * pow(CAST(COUNT({col}) AS DOUBLE), -0.2) AS bw
+            FROM backtest WHERE {col} IS NOT NULL) AS s) AS k"""
+
+
+@register("kde_curve", _bt_sql(kde_sql()), exact=("grid_index",))
+def q_kde_curve(spark, sf_dir):
+    return series.kde_curve(_backtest(spark, sf_dir), PNL)

@@ -10,11 +10,17 @@ joining against constant tables.
 
 from __future__ import annotations
 
+import os
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from thetaflow.session import checkpoint_dir
 from thetaflow.sources.catalog import Catalog
+from thetaflow.sources import schemas
 
 UNDERLYING = 108105
 VIX, VVIX, VIXM = 117801, 152892, 145764
@@ -111,15 +117,41 @@ def option_price_from_prices(security_price: DataFrame) -> DataFrame:
     )
 
 
+_LOCK = threading.Lock()
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def materialize_fixtures(spark: SparkSession, sf_dir: str) -> str:
+    """Derive the two market-data tables from ``orders`` once per session.
+
+    They are written as parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``), prices partitioned by ``securityid``, and
+    every query then scans them like production sources: the ``securityid``
+    filter prunes partitions and the date filter reaches the parquet reader.
+    A lost executor only loses cached blocks; the tables stay on shared storage.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    with _LOCK:
+        if key in _WRITTEN:
+            return _WRITTEN[key]
+        root = os.path.join(checkpoint_dir(spark), f"fixtures-{key[0]}-{uuid.uuid4().hex[:8]}")
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+            "o_orderdate", "o_totalprice", "o_custkey")
+        prices = security_price_from_orders(orders)
+        prices.write.mode("overwrite").partitionBy("securityid").parquet(f"{root}/security_price")
+        written = spark.read.schema(schemas.SECURITY_PRICE).parquet(f"{root}/security_price")
+        option_price_from_prices(written).write.mode("overwrite").parquet(f"{root}/option_price")
+        _WRITTEN[key] = root
+        return root
+
+
 def fixture_catalog(spark: SparkSession, sf_dir: str, gappy: bool = False) -> Catalog:
     """Catalog whose two market-data sources are derived from ``orders``."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderdate", "o_totalprice", "o_custkey")
-    prices = security_price_from_orders(orders)
-    options = option_price_from_prices(prices)
+    root = materialize_fixtures(spark, sf_dir)
+    cat = Catalog(spark, paths={
+        "om_int_security_price": f"{root}/security_price",
+        "om_int_option_price": f"{root}/option_price",
+    })
     if gappy:
-        prices = security_price_gappy(prices)
-    cat = Catalog(spark)
-    cat.register("om_int_security_price", prices)
-    cat.register("om_int_option_price", options)
+        cat.register("om_int_security_price", security_price_gappy(cat.security_price()))
     return cat
