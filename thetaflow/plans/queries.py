@@ -18,6 +18,7 @@ from thetaflow.params import FeatureParams, StraddleParams
 from thetaflow.plans import dataset
 from thetaflow.plans.oracle_fixtures import with_fixtures
 from thetaflow.plans.registry import register
+from thetaflow.session import reliable_checkpoint
 from thetaflow.sources.fixtures import fixture_catalog
 
 FIXTURE_PARAMS = StraddleParams(underlyings=(108105,), min_date=datetime.date(1995, 1, 1))
@@ -264,6 +265,19 @@ def _backtest(spark, sf_dir):
     return dataset.backtest_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS)
 
 
+_REPORT_INPUTS: dict = {}
+
+
+def _report_input(spark, sf_dir):
+    """The backtest, computed once per session and checkpointed to the shared
+    checkpoint folder; the analysis reports all read it, as the reference's
+    report notebook runs every analysis on one backtest frame."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REPORT_INPUTS:
+        _REPORT_INPUTS[key] = reliable_checkpoint(_backtest(spark, sf_dir))
+    return _REPORT_INPUTS[key]
+
+
 @register("dataset_1dte", with_fixtures(DATASET_CTES, "SELECT * FROM dataset"))
 def q_dataset(spark, sf_dir):
     return _dataset(spark, sf_dir)
@@ -379,8 +393,8 @@ POS = "ret_uprc_signal_pos"
 
 @register("describe_backtest", _bt_sql(describe_sql("backtest", REPORT_COLS)),
           exact=("column", "count", "null_count"))
-def q_describe_backtest(spark, sf_dir):
-    return stats.describe(_backtest(spark, sf_dir), REPORT_COLS)
+def q_describe_report_input(spark, sf_dir):
+    return stats.describe(_report_input(spark, sf_dir), REPORT_COLS)
 
 
 @register("describe_prices", with_fixtures("", describe_sql("security_price", ("closeprice", "bidlow", "askhigh"),
@@ -393,12 +407,12 @@ def q_describe_prices(spark, sf_dir):
 
 @register("corr_pearson", _bt_sql(corr_sql("backtest", CORR_COLS)), exact=("column",))
 def q_corr_pearson(spark, sf_dir):
-    return stats.correlation_matrix(_backtest(spark, sf_dir), CORR_COLS)
+    return stats.correlation_matrix(_report_input(spark, sf_dir), CORR_COLS)
 
 
 @register("corr_spearman", _bt_sql(corr_sql("backtest", CORR_COLS, spearman=True)), exact=("column",))
 def q_corr_spearman(spark, sf_dir):
-    return stats.correlation_matrix(_backtest(spark, sf_dir), CORR_COLS, method="spearman")
+    return stats.correlation_matrix(_report_input(spark, sf_dir), CORR_COLS, method="spearman")
 
 
 def _stats_sql(**kw):
@@ -408,22 +422,22 @@ def _stats_sql(**kw):
 
 @register("pnl_stats", _stats_sql(), exact=("Statistic",))
 def q_pnl_stats(spark, sf_dir):
-    return stats.pnl_statistics(_backtest(spark, sf_dir), PNL)
+    return stats.pnl_statistics(_report_input(spark, sf_dir), PNL)
 
 
 @register("pnl_stats_long", _stats_sql(where=f"{POS} > 0"), exact=("Statistic",))
 def q_pnl_stats_long(spark, sf_dir):
-    return stats.pnl_statistics(_backtest(spark, sf_dir).where(F.col(POS) > 0), PNL)
+    return stats.pnl_statistics(_report_input(spark, sf_dir).where(F.col(POS) > 0), PNL)
 
 
 @register("pnl_stats_short", _stats_sql(where=f"{POS} < 0"), exact=("Statistic",))
 def q_pnl_stats_short(spark, sf_dir):
-    return stats.pnl_statistics(_backtest(spark, sf_dir).where(F.col(POS) < 0), PNL)
+    return stats.pnl_statistics(_report_input(spark, sf_dir).where(F.col(POS) < 0), PNL)
 
 
 @register("pnl_stats_notebook", _stats_sql(notebook=True), exact=("Statistic",))
 def q_pnl_stats_notebook(spark, sf_dir):
-    return stats.pnl_statistics_notebook(_backtest(spark, sf_dir), PNL)
+    return stats.pnl_statistics_notebook(_report_input(spark, sf_dir), PNL)
 
 
 @register("pnl_statistics_by_source", with_fixtures(
@@ -431,7 +445,7 @@ def q_pnl_stats_notebook(spark, sf_dir):
     + ") AS r1 UNION ALL SELECT * FROM (" + pnl_stats_sql("backtest", PNL, tag=PNL) + ") AS r2"),
     exact=("Statistic", "PnL Source"))
 def q_pnl_statistics_by_source(spark, sf_dir):
-    return stats.pnl_statistics_by_source(_backtest(spark, sf_dir), ["ret_sprc_signal_pnl", PNL])
+    return stats.pnl_statistics_by_source(_report_input(spark, sf_dir), ["ret_sprc_signal_pnl", PNL])
 
 
 # ------------------------------------------------------------- regime tables
@@ -478,18 +492,18 @@ REGIME_EXACT = ("signal_base", "column", "side", "bucket", "decile", "DecileAxis
 
 @register("sharpe_by_signal_decile", _bt_sql(regime_sql(["ret_uprc_signal"])), exact=REGIME_EXACT)
 def q_sharpe_by_signal_decile(spark, sf_dir):
-    return regimes.sharpe_by_decile(_backtest(spark, sf_dir), ["ret_uprc_signal"])
+    return regimes.sharpe_by_decile(_report_input(spark, sf_dir), ["ret_uprc_signal"])
 
 
 @register("sharpe_by_vol_decile", _bt_sql(regime_sql(["VIX", "VVIX", "VIX_TS"])), exact=REGIME_EXACT)
 def q_sharpe_by_vol_decile(spark, sf_dir):
-    return regimes.sharpe_by_decile(_backtest(spark, sf_dir), ["ret_uprc_signal"], ["VIX", "VVIX", "VIX_TS"])
+    return regimes.sharpe_by_decile(_report_input(spark, sf_dir), ["ret_uprc_signal"], ["VIX", "VVIX", "VIX_TS"])
 
 
 @register("sharpe_by_fixed_bin", _bt_sql(regime_sql(list(ZCOLS), fixed=[-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0])),
           exact=REGIME_EXACT)
 def q_sharpe_by_fixed_bin(spark, sf_dir):
-    return regimes.sharpe_by_fixed_bin(_backtest(spark, sf_dir), ["ret_uprc_signal"], list(ZCOLS))
+    return regimes.sharpe_by_fixed_bin(_report_input(spark, sf_dir), ["ret_uprc_signal"], list(ZCOLS))
 
 
 # ------------------------------------------------------------ series reports
@@ -498,14 +512,14 @@ def q_sharpe_by_fixed_bin(spark, sf_dir):
                                 f"FROM backtest WHERE date IS NOT NULL AND {PNL} IS NOT NULL GROUP BY 1"),
           exact=("weekly_start_date",))
 def q_pnl_weekly(spark, sf_dir):
-    return series.period_pnl(_backtest(spark, sf_dir), PNL, "weekly")
+    return series.period_pnl(_report_input(spark, sf_dir), PNL, "weekly")
 
 
 @register("pnl_monthly", _bt_sql(f"SELECT CAST(date_trunc('month', date) AS DATE) AS monthly_start_date, SUM({PNL}) AS {PNL} "
                                  f"FROM backtest WHERE date IS NOT NULL AND {PNL} IS NOT NULL GROUP BY 1"),
           exact=("monthly_start_date",))
 def q_pnl_monthly(spark, sf_dir):
-    return series.period_pnl(_backtest(spark, sf_dir), PNL, "monthly")
+    return series.period_pnl(_report_input(spark, sf_dir), PNL, "monthly")
 
 
 @register("pnl_semester", _bt_sql(f"""SELECT CAST(year(date) AS INTEGER) AS plot_year,
@@ -514,7 +528,7 @@ def q_pnl_monthly(spark, sf_dir):
 FROM backtest WHERE date IS NOT NULL AND {PNL} IS NOT NULL GROUP BY 1, 2"""),
           exact=("plot_year", "plot_semester", "min_date", "max_date", "n_days"))
 def q_pnl_semester(spark, sf_dir):
-    return series.semester_periods(_backtest(spark, sf_dir), PNL)
+    return series.semester_periods(_report_input(spark, sf_dir), PNL)
 
 
 @register("long_short_cum_pnl", _bt_sql(f"""SELECT securityid, date, ret_uprc_signal_cum_pnl,
@@ -523,7 +537,7 @@ def q_pnl_semester(spark, sf_dir):
 FROM backtest WINDOW w AS (PARTITION BY securityid, CASE WHEN {POS} > 0 THEN 'long' WHEN {POS} < 0 THEN 'short' END
   ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def q_long_short_cum_pnl(spark, sf_dir):
-    return series.long_short_cumulative(_backtest(spark, sf_dir))
+    return series.long_short_cumulative(_report_input(spark, sf_dir))
 
 
 @register("yearly_cum_pnl", _bt_sql("""SELECT securityid, year, date,
@@ -532,7 +546,7 @@ FROM (SELECT securityid, date, ret_uprc_signal_cum_pnl AS cum, CAST(year(date) A
         LEAST(make_date(CAST(year(date) AS INTEGER) + 1, 1, 1), MAX(date) OVER (PARTITION BY securityid)) AS e
       FROM backtest) AS y WHERE date < e"""), exact=("securityid", "year", "date"))
 def q_yearly_cum_pnl(spark, sf_dir):
-    return series.yearly_cumulative(_backtest(spark, sf_dir))
+    return series.yearly_cumulative(_report_input(spark, sf_dir))
 
 
 ACF_COLS = ("ret_uprc_signal", "ret_uprc_signal_pnl")
@@ -558,7 +572,7 @@ def acf_sql(cols=ACF_COLS, L=40) -> str:
 
 @register("acf", _bt_sql(acf_sql()), exact=("securityid", "column", "lag"))
 def q_acf(spark, sf_dir):
-    return series.autocorrelation(_backtest(spark, sf_dir), ACF_COLS, series_keys=("securityid",))
+    return series.autocorrelation(_report_input(spark, sf_dir), ACF_COLS, series_keys=("securityid",))
 
 
 HIST_SQL = f"""SELECT bin, bin_start, bin_end, count, count / (bin_end - bin_start) / n AS density FROM (
@@ -587,7 +601,7 @@ GROUP BY bin) AS h"""
 
 @register("histogram", _bt_sql(HIST_SQL), exact=("bin", "count"))
 def q_histogram(spark, sf_dir):
-    return series.histogram(_backtest(spark, sf_dir), PNL)
+    return series.histogram(_report_input(spark, sf_dir), PNL)
 
 
 def kde_sql(col=PNL, grid=200) -> str:
@@ -607,4 +621,4 @@ FROM (SELECT ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(bw) AS bw, [{pt
 
 @register("kde_curve", _bt_sql(kde_sql()), exact=("grid_index",))
 def q_kde_curve(spark, sf_dir):
-    return series.kde_curve(_backtest(spark, sf_dir), PNL)
+    return series.kde_curve(_report_input(spark, sf_dir), PNL)
