@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference pipeline is a daily batch over option chains and closes; it has
+no watermark, event-time window, state or late-data handling, so there is
+no streaming operator to rebuild.  Every operator in this package is a lazy
+DataFrame function and runs unchanged on a micro-batch inside
+``foreachBatch`` should a caller stream new trading days in.
+"""
