@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thetaflow.functions.columns import c, sharpe
+from thetaflow.functions.quantiles import exact_quantiles
 from thetaflow.params import AnalysisParams
 
 KEYS = ["signal_base", "column", "side"]
@@ -72,11 +73,11 @@ def sharpe_by_decile(df: DataFrame, signal_bases: Sequence[str], columns: Sequen
     """
     q = params.num_deciles
     long = _long(df, columns, signal_bases, group_cols)
-    probs = F.array(*[F.lit(i / q) for i in range(1, q)])
-    # Breaks as a window aggregate over (column, signal, side): the same hash
-    # partitioning then serves the bucket aggregation, so one shuffle in all.
-    whole = Window.partitionBy(*group_cols, *KEYS)
-    with_breaks = long.withColumn("breaks", F.percentile("x", probs).over(whole))
+    keys = [*group_cols, *KEYS]
+    breaks = exact_quantiles(long, F.col("x"), [i / q for i in range(1, q)], keys, name="breaks")
+    # One row per (signal, column, side): bounded by the configuration when
+    # no series keys are given, so broadcast; per-series tables go to AQE.
+    with_breaks = long.join(F.broadcast(breaks) if not group_cols else breaks, keys)
     out = _bucket_stats(with_breaks, quantile_bucket(F.col("x"), F.col("breaks")), params, group_cols)
     return out.select(
         *group_cols, *KEYS, "bucket",

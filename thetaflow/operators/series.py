@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thetaflow.functions.columns import c, series_window
-from thetaflow.operators.stats import pearson
+from thetaflow.functions.quantiles import exact_quantiles
 from thetaflow.params import AnalysisParams
 
 
@@ -123,9 +123,10 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
     edges, count and density ``count / width / n``.  The shape parameters
     come from one aggregate used as a single struct-valued scalar subquery.
     """
-    v = _clean_values(df, col, limit)
-    s = v.agg(F.count("x").cast("double").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-              F.percentile("x", F.array(F.lit(0.75), F.lit(0.25))).alias("q"))
+    v = _clean_values(df, col, limit).withColumn("_hk", F.lit(0))
+    s = v.groupBy("_hk").agg(F.count("x").cast("double").alias("n"), F.min("x").alias("lo"),
+                             F.max("x").alias("hi")).join(
+        exact_quantiles(v, F.col("x"), [0.75, 0.25], ["_hk"], name="q"), "_hk")
     n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
     first = F.when(lo == hi, lo - 0.5).otherwise(lo)
     last = F.when(lo == hi, hi + 0.5).otherwise(hi)
@@ -143,7 +144,7 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
     p = shape.scalar()
     pn, pf, pl, pb, ps = p["n"], p["first"], p["last"], p["nb"], p["step"]
     x = F.col("x")
-    vv = v.select(x, p.alias("_p"))
+    vv = v.select(x, p.alias("_p"))  # the struct subquery is attached once
     pn, pf, pl, pb, ps = (F.col(f"_p.{k}") for k in ("n", "first", "last", "nb", "step"))
 
     def edge(i):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thetaflow.functions.columns import all_not_null, c, finite_or_null, sharpe
+from thetaflow.functions.quantiles import average_ranks, exact_quantiles
 from thetaflow.params import AnalysisParams
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -33,9 +34,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
              params: AnalysisParams = AnalysisParams(), group_cols: Sequence[str] = ()) -> DataFrame:
     """One row per column: count, null_count, mean, std, min, percentiles, max.
 
-    Percentiles are exact with linear interpolation.  The exact percentile
-    buffers every value of its group, so ``group_cols`` should split pooled
-    data into per-series groups (each bounded by its calendar).
+    Percentiles are exact with linear interpolation, computed by the
+    distributed selection of ``functions.quantiles`` (no group is gathered
+    in one task, whatever its size or its ties).
     """
     cols = [x for x in (columns or numeric_columns(df, group_cols)) if x in df.columns]
     cols = [x for x in cols if isinstance(df.schema[x].dataType, NUMERIC)]
@@ -45,29 +46,23 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
         list(group_cols), cols, "column", "value")
     v = F.col("value")
     ps = list(params.percentiles)
-    qs = F.percentile(v, F.array(*[F.lit(float(p)) for p in ps]))
-    out = long.groupBy(*group_cols, "column").agg(
+    keys = [*group_cols, "column"]
+    moments = long.groupBy(*keys).agg(
         F.count(v).alias("count"),
         F.count(F.when(v.isNull(), 1)).alias("null_count"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
-        qs.alias("_q"),
         F.max(v).alias("max"),
     )
+    # one row per (group, column): bounded by the number of columns x series
+    out = moments.join(exact_quantiles(long, v, ps, keys, name="_q"), keys, "left")
     return out.select(
         *group_cols, "column", "count", "null_count", "mean", "std", "min",
         *[F.col("_q")[i].alias(percentile_name(p)) for i, p in enumerate(ps)], "max",
     )
 
 
-def _rank_avg(x: Column, group_cols: Sequence[str]) -> Column:
-    """Average rank (ties share the mean of their positions)."""
-    w = Window.partitionBy(*group_cols).orderBy(x)
-    ties = Window.partitionBy(*group_cols, x)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-
-
 def pearson(a: Column, b: Column) -> Column:
     """Pearson correlation by moments; null (not an error) for a constant column."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
@@ -84,7 +79,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
         return df.sparkSession.createDataFrame([], "column string")
     sub = df.select(*group_cols, *[c(x).cast("double").alias(x) for x in cols]).where(all_not_null(cols))
     if method == "spearman":
-        sub = sub.select(*group_cols, *[_rank_avg(c(x), group_cols).cast("double").alias(x) for x in cols])
+        # Average ranks per column from the distributed rank table, joined back
+        # on (group, value): no window over a whole column.
+        # One rank table for all columns (unpivoted), built once and joined back
+        # per column on (group, column, value).
+        long = sub.unpivot(list(group_cols), cols, "_col", "_val")
+        table = average_ranks(long, "_val", [*group_cols, "_col"], name="_rank")
+        ranked = sub
+        for i, x in enumerate(cols):
+            r = table.where(F.col("_col") == x).select(*group_cols, F.col("_val").alias(x),
+                                                        F.col("_rank").alias(f"_r{i}"))
+            ranked = ranked.join(r, [*group_cols, x])
+        sub = ranked.select(*group_cols, *[F.col(f"_r{i}").alias(x) for i, x in enumerate(cols)])
     pairs = {}
     for i, a in enumerate(cols):
         for b in cols[i:]:
