@@ -91,19 +91,20 @@ def autocorrelation(df: DataFrame, columns: Sequence[str], params: AnalysisParam
     keys = [*series_keys, "column"]
     w = Window.partitionBy(*keys).orderBy(*order_by)
     x = F.col("x")
-    lagged = long.select(*keys, x, *[F.lag(x, i).over(w).alias(f"l{i}") for i in range(1, L + 1)])
-
-    def lag_corr(i):
-        lx = F.col(f"l{i}")
-        both_x, both_l = F.when(lx.isNotNull(), x), F.when(x.isNotNull(), lx)
-        val = F.try_divide(F.covar_pop(both_x, both_l), F.stddev_pop(both_x) * F.stddev_pop(both_l))
-        return F.when(F.count(lx) >= 2, val).alias(f"a{i}")
-
-    agg = lagged.groupBy(*keys).agg(F.count(x).alias("n"), *[lag_corr(i) for i in range(1, L + 1)])
-    agg = agg.where(F.col("n") >= L + 1)
-    rows = F.array(F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf")),
-                   *[F.struct(F.lit(i).alias("lag"), F.col(f"a{i}").alias("acf")) for i in range(1, L + 1)])
-    out = agg.select(*keys, "n", F.inline(rows)).where(F.col("acf").isNotNull() & ~F.isnan("acf"))
+    # All lags share one window spec (one sort per series); each value then
+    # yields one row per lag, so the correlations are one narrow aggregation.
+    lagged = long.select(*keys, x, *[F.lag(x, i).over(w).alias(f"_l{i}") for i in range(1, L + 1)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("lag"), (x if i == 0 else F.col(f"_l{i}")).alias("l"))
+                      for i in range(0, L + 1)])
+    rows = lagged.select(*keys, x, F.inline(pairs))
+    lx = F.col("l")
+    both_x, both_l = F.when(lx.isNotNull(), x), F.when(x.isNotNull(), lx)
+    corr = F.try_divide(F.covar_pop(both_x, both_l), F.stddev_pop(both_x) * F.stddev_pop(both_l))
+    agg = rows.groupBy(*keys, "lag").agg(F.count(lx).alias("_m"), corr.alias("_c"))
+    n = F.max(F.when(F.col("lag") == 0, F.col("_m"))).over(Window.partitionBy(*keys))  # <= L+1 rows
+    acf = F.when(F.col("lag") == 0, F.lit(1.0)).when(F.col("_m") >= 2, F.col("_c"))
+    out = agg.select(*keys, "lag", acf.alias("acf"), n.alias("n"))
+    out = out.where((F.col("n") >= L + 1) & F.col("acf").isNotNull() & ~F.isnan("acf"))
     return out.select(*keys, "lag", "acf", (F.lit(z) / F.sqrt(F.col("n"))).alias("conf_band"))
 
 
@@ -167,8 +168,8 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
 def kde_curve(df: DataFrame, col: str, grid_size: int = 200, limit: float | None = None) -> DataFrame:
     """Gaussian KDE (Scott's bandwidth) on ``grid_size`` points from min to max.
 
-    One aggregation pass evaluates every grid point (``grid_size`` averages
-    of the kernel), so the data is read once and never paired with the grid.
+    The data is read once; each value contributes to the ``grid_size``
+    grid points through a generator and a grouped average.
     """
     v = _clean_values(df, col, limit)
     s = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
@@ -178,15 +179,12 @@ def kde_curve(df: DataFrame, col: str, grid_size: int = 200, limit: float | None
     lo, hi, bw = F.col("_p.lo"), F.col("_p.hi"), F.col("_p.bw")
     span = F.lit(1.0 / (grid_size - 1)) if grid_size > 1 else F.lit(0.0)
     norm = F.lit(1.0 / math.sqrt(2 * math.pi))
-
-    def grid(k, lo_, hi_):
-        return lo_ + (hi_ - lo_) * (F.lit(float(k)) * span)
-
-    def point(k):
-        u = (grid(k, lo, hi) - F.col("x")) / bw
-        return F.avg(F.exp(F.lit(-0.5) * u * u)).alias(f"k{k}")
-
-    dens = vv.agg(F.first("_p").alias("_p"), *[point(k) for k in range(grid_size)])
-    rows = F.array(*[F.struct(F.lit(k).alias("grid_index"), grid(k, lo, hi).alias("x"),
-                              (F.col(f"k{k}") * norm / bw).alias("density")) for k in range(grid_size)])
-    return dens.select(F.inline(rows)).where(F.col("density").isNotNull())
+    k = F.col("grid_index")
+    grid = lo + (hi - lo) * (k.cast("double") * span)
+    # Every value meets every grid point through a fixed-size generator (no
+    # join); partial aggregation leaves ``grid_size`` rows per task to shuffle.
+    pts = vv.select("x", "_p", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("grid_index"))
+    u = (grid - F.col("x")) / bw
+    dens = pts.groupBy("grid_index").agg(F.avg(F.exp(F.lit(-0.5) * u * u)).alias("_a"), F.first("_p").alias("_p"))
+    return dens.select("grid_index", grid.alias("x"), (F.col("_a") * norm / bw).alias("density")).where(
+        F.col("density").isNotNull())
