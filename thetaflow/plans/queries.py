@@ -575,7 +575,8 @@ def q_acf(spark, sf_dir):
     return series.autocorrelation(_report_input(spark, sf_dir), ACF_COLS, series_keys=("securityid",))
 
 
-HIST_SQL = f"""SELECT bin, bin_start, bin_end, count, count / (bin_end - bin_start) / n AS density FROM (
+def hist_sql(PNL: str = PNL) -> str:
+    return f"""SELECT bin, bin_start, bin_end, count, count / (bin_end - bin_start) / n AS density FROM (
 SELECT bin, COUNT(*) AS count, ANY_VALUE(n) AS n,
   ANY_VALUE(CASE WHEN bin >= nb THEN last ELSE first + bin * step END) AS bin_start,
   ANY_VALUE(CASE WHEN bin + 1 >= nb THEN last ELSE first + (bin + 1) * step END) AS bin_end
@@ -599,7 +600,7 @@ FROM (
 GROUP BY bin) AS h"""
 
 
-@register("histogram", _bt_sql(HIST_SQL), exact=("bin", "count"))
+@register("histogram", _bt_sql(hist_sql()), exact=("bin", "count"))
 def q_histogram(spark, sf_dir):
     return series.histogram(_report_input(spark, sf_dir), PNL)
 
@@ -622,3 +623,26 @@ FROM (SELECT ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(bw) AS bw, [{pt
 @register("kde_curve", _bt_sql(kde_sql()), exact=("grid_index",))
 def q_kde_curve(spark, sf_dir):
     return series.kde_curve(_report_input(spark, sf_dir), PNL)
+
+
+@register("histogram_signal", _bt_sql(hist_sql("ret_uprc_signal")), exact=("bin", "count"))
+def q_histogram_signal(spark, sf_dir):
+    return series.histogram(_report_input(spark, sf_dir), "ret_uprc_signal")
+
+
+@register("kde_signal", _bt_sql(kde_sql("ret_uprc_signal")), exact=("grid_index",))
+def q_kde_signal(spark, sf_dir):
+    return series.kde_curve(_report_input(spark, sf_dir), "ret_uprc_signal")
+
+
+@register("pnl_stats_by_underlying", _bt_sql(
+    "SELECT 108105 AS securityid, * FROM (" + pnl_stats_sql("backtest", PNL) + ") AS r"),
+    exact=("securityid", "Statistic"))
+def q_pnl_stats_by_underlying(spark, sf_dir):
+    return stats.pnl_statistics(_report_input(spark, sf_dir), PNL, group_cols=("securityid",))
+
+
+@register("dataset_1dte_no_features", with_fixtures(CHAIN_CTES + ",\n" + vol_ctes(), """SELECT * FROM straddles
+  LEFT JOIN vol_ts USING (date)"""))
+def q_dataset_no_features(spark, sf_dir):
+    return dataset.dataset_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS, generate_features=False)
