@@ -58,3 +58,17 @@ def sharpe(mean: Column, std: Column, n: Column, rf: float, ann: int, min_n: int
                    F.try_divide(mean - F.lit(rf), std) * F.lit(float(ann) ** 0.5))
     zero = F.when(mean.isNotNull() & (mean == 0) & (std.isNull() | (std == 0)), F.lit(0.0))
     return F.when(n >= min_n, F.coalesce(ratio, zero))
+
+
+def fixed_decimals(x: Column, decimals: int = 2) -> Column:
+    """``x`` as text with ``decimals`` places, rounded like Python's ``f"{x:.2f}"``.
+
+    ``format_string`` rounds the shortest decimal form half-up (2.775 -> 2.78);
+    ``format_number`` rounds the exact binary value (2.775 is stored as
+    2.77499... -> 2.77, exact ties to even), as Python does.  Its grouping
+    separators are removed.
+    """
+    txt = F.regexp_replace(F.format_number(x, decimals), ",", "")
+    inf = F.lit(float("inf"))
+    return (F.when(F.isnan(x), F.lit("nan")).when(x == inf, F.lit("inf"))
+            .when(x == -inf, F.lit("-inf")).otherwise(txt))

@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thetaflow.functions.columns import c, sharpe
+from thetaflow.functions.columns import c, fixed_decimals, sharpe
 from thetaflow.functions.quantiles import exact_quantiles
 from thetaflow.params import AnalysisParams
 
@@ -82,7 +82,7 @@ def sharpe_by_decile(df: DataFrame, signal_bases: Sequence[str], columns: Sequen
     return out.select(
         *group_cols, *KEYS, "bucket",
         F.format_string("D%d", F.col("bucket")).alias("decile"),
-        F.format_string("%.2f to %.2f", "x_min", "x_max").alias("DecileAxisLabel"),
+        F.concat(fixed_decimals(F.col("x_min")), F.lit(" to "), fixed_decimals(F.col("x_max"))).alias("DecileAxisLabel"),
         "SharpeRatio",
     )
 
