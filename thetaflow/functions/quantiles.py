@@ -61,55 +61,64 @@ def _keyed(df: DataFrame, keys: Sequence[str]):
 
 
 def _sketched(df: DataFrame, value: Column, keys: Sequence[str], buckets: int, accuracy: int,
-              single_group: bool):
-    """Non-null values with their bucket, and the per-group count."""
+              small: bool) -> DataFrame:
+    """Distinct non-null values per (group, bucket) with their multiplicity.
+
+    The sketch has one row per group; ``small`` says the number of groups is
+    bounded by the configuration (not by the data), so it is broadcast.
+    """
     v = df.select(*keys, value.cast("double").alias(V)).where(F.col(V).isNotNull())
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    sk = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                              F.percentile_approx(V, probs, accuracy).alias("_br"))
-    # One row per group; with a single group that is one row, so broadcast.
-    vb = v.join(F.broadcast(sk) if single_group else sk, list(keys))
+    sk = v.groupBy(*keys).agg(F.percentile_approx(V, probs, accuracy).alias("_br"))
+    vb = v.join(F.broadcast(sk) if small else sk, list(keys))
     bucket = breaks_below(F.col("_br"), F.col(V), buckets - 1)
-    distinct = vb.groupBy(*keys, bucket.alias(B), F.col(V)).agg(F.count(F.lit(1)).alias(CNT))
-    return distinct, sk.select(*keys, "_n")
+    return vb.groupBy(*keys, bucket.alias(B), F.col(V)).agg(F.count(F.lit(1)).alias(CNT))
 
 
 def _offsets(distinct: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rank offset of every bucket (0-based rank of its first value)."""
+    """Per bucket: size ``_bc``, rank offset ``_off`` and the group size ``_n``."""
     totals = distinct.groupBy(*keys, B).agg(F.sum(CNT).alias("_bc"))
-    w = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn("_off", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
+    w = Window.partitionBy(*keys).orderBy(B)
+    return totals.select(*keys, B, "_bc",
+                         F.coalesce(F.sum("_bc").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                    F.lit(0)).alias("_off"),
+                         F.sum("_bc").over(Window.partitionBy(*keys)).alias("_n"))
 
 
-def _ranked_values(distinct: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct values with the 0-based rank range ``[_lo, _hi)`` they cover."""
-    d = distinct.join(offsets, [*keys, B])
+def _ranked_values(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct values with the 0-based rank range ``[_lo, _hi)`` they cover
+    (``d`` carries its bucket's ``_off``)."""
     w = Window.partitionBy(*keys, B).orderBy(V).rowsBetween(Window.unboundedPreceding, 0)
     cum = F.sum(CNT).over(w)
-    return d.select(*keys, B, V, CNT, (F.col("_off") + cum - F.col(CNT)).alias("_lo"),
-                    (F.col("_off") + cum).alias("_hi"))
+    return d.select("*", (F.col("_off") + cum - F.col(CNT)).alias("_lo"), (F.col("_off") + cum).alias("_hi"))
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = (),
-                    buckets: int = BUCKETS, accuracy: int = ACCURACY, name: str = "quantiles") -> DataFrame:
+                    buckets: int = BUCKETS, accuracy: int = ACCURACY, name: str = "quantiles",
+                    small_groups: bool = False) -> DataFrame:
     """Per group of ``keys``: ``name`` = array of exact linear quantiles at ``probs``.
 
     Groups without a non-null value are absent (callers left-join).
+    ``small_groups`` declares that the number of groups is bounded by the
+    configuration (e.g. one per report column), so per-group tables are
+    broadcast; otherwise joins are left to AQE.
     """
-    single = not keys
+    small = small_groups or not keys
     df, keys = _keyed(df, keys)
-    distinct, counts = _sketched(df, value, keys, buckets, accuracy, single)
-    offsets = _offsets(distinct, keys).join(counts, keys)
+    distinct = _sketched(df, value, keys, buckets, accuracy, small)
+    offsets = _offsets(distinct, keys)
     n1 = F.col("_n") - 1
-    targets = F.array_distinct(F.array(*[t for p in probs for t in (F.floor(F.lit(float(p)) * n1), F.ceil(F.lit(float(p)) * n1))]))
-    need = offsets.select(*keys, B, F.filter(targets.cast("array<long>"), lambda k: (k >= F.col("_off")) & (
-        k < F.col("_off") + F.col("_bc"))).alias("_ks")).where(F.size("_ks") > 0)
-    wanted = distinct.join(need.select(*keys, B), [*keys, B])
-    ranked = _ranked_values(wanted, offsets.drop("_n"), keys).join(need, [*keys, B])
-    hits = ranked.select(*keys, F.explode(F.filter("_ks", lambda k: (k >= F.col("_lo")) & (k < F.col("_hi"))))
-                         .alias("_qk"), V)
-    at = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_qk", V))).alias("_m"))
-    at = at.join(counts, keys)
+    targets = F.array_distinct(F.array(*[t for p in probs for t in (F.floor(F.lit(float(p)) * n1),
+                                                                     F.ceil(F.lit(float(p)) * n1))]))
+    need = offsets.select(*keys, B, "_off", "_n", F.filter(targets.cast("array<long>"), lambda k: (
+        k >= F.col("_off")) & (k < F.col("_off") + F.col("_bc"))).alias("_ks")).where(F.size("_ks") > 0)
+    # at most 2 x len(probs) buckets per group
+    wanted = distinct.join(F.broadcast(need) if small else need, [*keys, B])
+    ranked = _ranked_values(wanted, keys)
+    hits = ranked.select(*keys, "_n", F.explode(F.filter("_ks", lambda k: (k >= F.col("_lo")) & (
+        k < F.col("_hi")))).alias("_qk"), V)
+    at = hits.groupBy(*keys).agg(F.first("_n").alias("_n"),
+                                 F.map_from_entries(F.collect_list(F.struct("_qk", V))).alias("_m"))
     qs = []
     for p in probs:
         pos = F.lit(float(p)) * (F.col("_n") - 1)
@@ -120,12 +129,13 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
 
 
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = BUCKETS,
-                  accuracy: int = ACCURACY, name: str = "rank") -> DataFrame:
+                  accuracy: int = ACCURACY, name: str = "rank", small_groups: bool = False) -> DataFrame:
     """Per group of ``keys``: every distinct non-null ``value`` with its 1-based
     average rank (ties share the mean of their positions)."""
-    single = not keys
+    small = small_groups or not keys
     df, keys = _keyed(df, keys)
-    distinct, _ = _sketched(df, F.col(f"`{value}`"), keys, buckets, accuracy, single)
-    ranked = _ranked_values(distinct, _offsets(distinct, keys), keys)
+    distinct = _sketched(df, F.col(f"`{value}`"), keys, buckets, accuracy, small)
+    offsets = _offsets(distinct, keys).select(*keys, B, "_off")
+    ranked = _ranked_values(distinct.join(F.broadcast(offsets) if small else offsets, [*keys, B]), keys)
     avg = F.col("_lo") + (F.col(CNT) + 1) / 2.0
     return ranked.select(*[k for k in keys if k != ALL], F.col(V).alias(value), avg.alias(name))

@@ -74,7 +74,8 @@ def sharpe_by_decile(df: DataFrame, signal_bases: Sequence[str], columns: Sequen
     q = params.num_deciles
     long = _long(df, columns, signal_bases, group_cols)
     keys = [*group_cols, *KEYS]
-    breaks = exact_quantiles(long, F.col("x"), [i / q for i in range(1, q)], keys, name="breaks")
+    breaks = exact_quantiles(long, F.col("x"), [i / q for i in range(1, q)], keys, name="breaks",
+                             small_groups=not group_cols)
     # One row per (signal, column, side): bounded by the configuration when
     # no series keys are given, so broadcast; per-series tables go to AQE.
     with_breaks = long.join(F.broadcast(breaks) if not group_cols else breaks, keys)

@@ -56,7 +56,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
         F.max(v).alias("max"),
     )
     # one row per (group, column): bounded by the number of columns x series
-    out = moments.join(exact_quantiles(long, v, ps, keys, name="_q"), keys, "left")
+    qs = exact_quantiles(long, v, ps, keys, name="_q", small_groups=not group_cols)
+    out = moments.join(qs, keys, "left")
     return out.select(
         *group_cols, "column", "count", "null_count", "mean", "std", "min",
         *[F.col("_q")[i].alias(percentile_name(p)) for i, p in enumerate(ps)], "max",
@@ -84,7 +85,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
         # One rank table for all columns (unpivoted), built once and joined back
         # per column on (group, column, value).
         long = sub.unpivot(list(group_cols), cols, "_col", "_val")
-        table = average_ranks(long, "_val", [*group_cols, "_col"], name="_rank")
+        table = average_ranks(long, "_val", [*group_cols, "_col"], name="_rank", small_groups=not group_cols)
         ranked = sub
         for i, x in enumerate(cols):
             r = table.where(F.col("_col") == x).select(*group_cols, F.col("_val").alias(x),
