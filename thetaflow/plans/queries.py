@@ -575,7 +575,8 @@ def q_acf(spark, sf_dir):
     return series.autocorrelation(_report_input(spark, sf_dir), ACF_COLS, series_keys=("securityid",))
 
 
-def hist_sql(PNL: str = PNL) -> str:
+def hist_sql(PNL: str = PNL, limit: float | None = None) -> str:
+    cut = f" AND abs({PNL}) < {limit!r}" if limit is not None else ""
     return f"""SELECT bin, bin_start, bin_end, count, count / (bin_end - bin_start) / n AS density FROM (
 SELECT bin, COUNT(*) AS count, ANY_VALUE(n) AS n,
   ANY_VALUE(CASE WHEN bin >= nb THEN last ELSE first + bin * step END) AS bin_start,
@@ -588,13 +589,13 @@ FROM (
   FROM (
    SELECT x, n, first, last, nb, (last - first) / nb AS step,
      LEAST(GREATEST(CAST(floor((x - first) / (last - first) * nb) AS BIGINT), 0), nb - 1) AS i0
-   FROM (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL) AS v,
+   FROM (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL{cut}) AS v,
    (SELECT *, CAST(CASE WHEN width > 0 THEN ceil((last - first) / width) ELSE 1 END AS BIGINT) AS nb FROM (
      SELECT *, CASE WHEN fd > 0 THEN LEAST(fd, sturges) ELSE sturges END AS width FROM (
        SELECT n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
          (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * pow(n, {repr(-1.0 / 3.0)}) AS fd FROM (
          SELECT CAST(COUNT({PNL}) AS DOUBLE) AS n, MIN({PNL}) AS lo, MAX({PNL}) AS hi,
-           quantile_cont({PNL}, 0.75) - quantile_cont({PNL}, 0.25) AS iqr FROM backtest WHERE {PNL} IS NOT NULL) AS s0
+           quantile_cont({PNL}, 0.75) - quantile_cont({PNL}, 0.25) AS iqr FROM backtest WHERE {PNL} IS NOT NULL{cut}) AS s0
        ) AS s1) AS s2) AS s3
   ) AS t0) AS t1) AS t2
 GROUP BY bin) AS h"""
@@ -646,3 +647,15 @@ def q_pnl_stats_by_underlying(spark, sf_dir):
   LEFT JOIN vol_ts USING (date)"""))
 def q_dataset_no_features(spark, sf_dir):
     return dataset.dataset_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS, generate_features=False)
+
+
+@register("histogram_limited", _bt_sql(hist_sql(PNL, 100000.0)), exact=("bin", "count"))
+def q_histogram_limited(spark, sf_dir):
+    return series.histogram(_report_input(spark, sf_dir), PNL, limit=100000.0)
+
+
+@register("vol_index_mid", with_fixtures("", "SELECT date, (bidlow + askhigh)/2 AS VIX FROM security_price "
+                                             "WHERE securityid = 117801 AND (bidlow + askhigh)/2 IS NOT NULL"),
+          exact=("date",))
+def q_vol_index_mid(spark, sf_dir):
+    return vol.index_mid(_market(spark, sf_dir)[1], 117801, "VIX")
