@@ -37,22 +37,28 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must point at shared storage and is left as is.
-    Only when it is unset (local tests) is a fresh scratch folder chosen.
+    On a cluster this setting points at shared storage and is used as is
+    (Spark also makes it the context's checkpoint folder).  Only when it is
+    unset and no checkpoint folder was given to the context (local tests) is
+    a scratch folder chosen, through ``setCheckpointDir`` -- the core setting
+    itself cannot be changed at runtime.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="thetaflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    if current:
+        return current
+    sc = spark.sparkContext
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
+    scratch = tempfile.mkdtemp(prefix="thetaflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(scratch)
+    return sc.getCheckpointDir() or scratch
 
 
 def reliable_checkpoint(df):

@@ -8,6 +8,7 @@ reader, and gives a typed (possibly empty) relation even when no row matches.
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,8 @@ class Catalog:
         path = self.paths.get(name)
         if path is None:
             raise ValueError(f"no path registered for source {name!r}")
-        if "://" not in path and not os.path.exists(path):
+        local = _local_path(path)
+        if local is not None and not os.path.exists(local):
             raise FileNotFoundError(path)
         reader = self.spark.read
         if name in SOURCE_SCHEMAS:
@@ -58,6 +60,17 @@ class Catalog:
         return self
 
 
+def _local_path(path: str) -> str | None:
+    """Filesystem path for local paths and ``file:`` URIs; None for other schemes."""
+    m = re.match(r"^([a-zA-Z][a-zA-Z0-9+.-]*):(.*)$", path)
+    if not m:
+        return path
+    if m.group(1).lower() == "file":
+        rest = m.group(2)
+        return "/" + rest.lstrip("/") if rest.startswith("//") else rest
+    return None
+
+
 def empty_frame(spark: SparkSession, schema) -> DataFrame:
     """Typed empty relation, returned where an input is unusable."""
     return spark.createDataFrame([], schema)
