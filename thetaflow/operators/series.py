@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thetaflow.functions.columns import c, series_window
+from thetaflow.functions.columns import c
 from thetaflow.functions.quantiles import exact_quantiles
 from thetaflow.params import AnalysisParams
 
