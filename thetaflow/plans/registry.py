@@ -2,13 +2,12 @@
 
 The SQL runs on the driver's views (``orders`` ...), so each query's work
 grows with the tables.  For the side-by-side value check, double columns are
-normalised on both sides to 9 significant digits, but no finer than 1e-8
-absolute (``%.8e`` for |x| >= 1, ``%.8f`` below, and back to double).  This
+normalised on both sides to 10 significant digits, but no finer than 1e-9
+absolute (``%.9e`` for |x| >= 1, ``%.9f`` below, and back to double), with
+the same rounding of the exact binary value on both sides.  This
 absorbs summation-order noise between the two engines (running sums of
 values around 1e6; z-scores near 0 that come out of a cancellation) without
-hiding real errors.  The fixture prices have four decimals below 1e4, so
-their interpolated midpoints (five decimals) are still exact at 9 digits;
-8 digits would put them on a rounding tie.
+hiding real errors.
 ``exact`` names the columns that are not doubles and are compared as is.
 """
 
@@ -50,18 +49,23 @@ def register(name: str, sql: str | None = None, exact=DEFAULT_EXACT):
     return deco
 
 
-DIGITS = 9  # significant digits for |x| >= 1
-DECIMALS = 8  # fixed decimals for |x| < 1 (values near 0 come from cancellation)
+DIGITS = 10  # significant digits for |x| >= 1
+DECIMALS = 9  # fixed decimals for |x| < 1 (values near 0 come from cancellation)
 
 
 def normalize_doubles(df: DataFrame, digits: int = DIGITS, decimals: int = DECIMALS) -> DataFrame:
-    sci, fix = f"%.{digits - 1}e", f"%.{decimals}f"
+    """Round doubles like C's ``printf`` (the oracle side): the exact binary
+    value, ties to even.  ``format_number`` (``DecimalFormat``) does that;
+    ``format_string`` would round the shortest decimal form half-up instead."""
+    sci = "0." + "0" * (digits - 1) + "E0"
     cols = []
     for f in df.schema.fields:
         x = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            txt = F.when(F.abs(x) >= 1, F.format_string(sci, x)).otherwise(F.format_string(fix, x))
-            cols.append((F.when(x.isNotNull(), txt.cast("double")) + F.lit(0.0)).alias(f.name))
+            txt = F.when(F.abs(x) >= 1, F.call_function("format_number", x, F.lit(sci))).otherwise(
+                F.format_number(x, decimals))
+            special = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+            cols.append((F.when(special, x).otherwise(txt.cast("double")) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(x)
     return df.select(*cols)
