@@ -71,3 +71,17 @@ def test_many_underlyings_backtest_equals_single_runs(spark):
     assert a.exceptAll(b).count() == 0
     base = many.where("securityid = 108105").select(*cols).exceptAll(_backtest(spark, SF).select(*cols))
     assert base.count() == 0
+
+
+def test_grouped_reports_equal_ungrouped_for_one_group(bt):
+    cols = ["signal_base", "column", "side", "bucket", "DecileAxisLabel", "SharpeRatio"]
+    a = regimes.sharpe_by_decile(bt, ["ret_uprc_signal"], ["VIX"]).select(*cols)
+    b = regimes.sharpe_by_decile(bt, ["ret_uprc_signal"], ["VIX"], group_cols=("securityid",)).select(*cols)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    from thetaflow.operators import stats
+    c1 = stats.correlation_matrix(bt, ["VIX", "VVIX", "ret"], "spearman").orderBy("column").collect()
+    c2 = stats.correlation_matrix(bt, ["VIX", "VVIX", "ret"], "spearman", group_cols=("securityid",)) \
+        .orderBy("column").collect()
+    for r1, r2 in zip(c1, c2):
+        for k in ("VIX", "VVIX", "ret"):
+            assert r1[k] == pytest.approx(r2[k], rel=1e-12)
