@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from scripts.check_oracle import TABLES, digest
+from scripts.check_oracle import TABLES, digest, type_diffs
 
 SF = "/root/testdata/sf0.001"
 SQLS = entry.oracle_sql()
@@ -35,6 +35,7 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    assert type_diffs(df.schema, res.description) == []
     assert len(rows) == len(drows)
     assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
 

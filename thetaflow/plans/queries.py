@@ -466,13 +466,13 @@ def regime_sql(cols, fixed=None) -> str:
     long = regime_long_sql(cols)
     if fixed is None:
         probs = ", ".join(repr(i / 10) for i in range(1, 10))
-        bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN len(list_filter(breaks, lambda b: b < x)) + 1 END AS bucket
+        bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN CAST(len(list_filter(breaks, lambda b: b < x)) + 1 AS INTEGER) END AS bucket
   FROM ({long}) AS l JOIN (SELECT signal_base, "column", side, quantile_cont(x, [{probs}]) AS breaks
                           FROM ({long}) AS l0 GROUP BY signal_base, "column", side) AS br
   USING (signal_base, "column", side)"""
     else:
         arr = ", ".join(f"CAST({b!r} AS DOUBLE)" for b in fixed)
-        bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN len(list_filter([{arr}], lambda b: b < x)) + 1 END AS bucket
+        bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN CAST(len(list_filter([{arr}], lambda b: b < x)) + 1 AS INTEGER) END AS bucket
   FROM ({long}) AS l"""
     stats_ = f"""SELECT signal_base, "column", side, bucket, MIN(x) AS x_min, MAX(x) AS x_max, COUNT(pnl) AS n,
   AVG(pnl) AS mean, STDDEV_SAMP(pnl) AS std FROM ({bucketed}) AS b WHERE bucket IS NOT NULL
@@ -612,7 +612,7 @@ def kde_sql(col=PNL, grid=200) -> str:
     pts = ", ".join(f"AVG(exp(-0.5 * (({g(k)} - x) / bw) * (({g(k)} - x) / bw)))" for k in range(grid))
     xs = ", ".join(g(k) for k in range(grid))
     norm = repr(1.0 / math.sqrt(2 * math.pi))
-    return f"""SELECT unnest(range({grid})) AS grid_index, unnest([{xs}]) AS x,
+    return f"""SELECT unnest(list_transform(range({grid}), lambda i: CAST(i AS INTEGER))) AS grid_index, unnest([{xs}]) AS x,
   unnest(list_transform(d, lambda v: v * {norm} / bw)) AS density
 FROM (SELECT ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(bw) AS bw, [{pts}] AS d
       FROM (SELECT CAST({col} AS DOUBLE) AS x FROM backtest WHERE {col} IS NOT NULL) AS v,
