@@ -57,6 +57,25 @@ def test_conflicting_duplicate_listing_raises(spark):
                  (1, cp, 100_000, D(2020, 1, 3), D(2020, 1, 2), 0.3, 0.4)]  # expired quote, other price
     with pytest.raises(Exception):
         chain.straddles(_options(spark, opts), px, P).collect()
+    kept = chain.straddles(_options(spark, opts), px, P, on_conflict="min").collect()
+    assert len(kept) == 1 and kept[0]["sprc_day_1_C"] == pytest.approx(0.15)
+
+
+def test_catalog_errors_and_reuse(spark, tmp_path):
+    from thetaflow.sources.catalog import Catalog
+    cat = Catalog(spark)
+    with pytest.raises(ValueError):
+        cat.load("no_such_source")
+    with pytest.raises(ValueError):
+        cat.security_price()  # known source, no path registered
+    cat = Catalog(spark, paths={"om_int_option_price": str(tmp_path / "missing")})
+    with pytest.raises(FileNotFoundError):
+        cat.option_price()
+    path = str(tmp_path / "prices")
+    _prices(spark, [(1, D(2020, 1, 2), 100.0, None, None)]).write.parquet(path)
+    cat = Catalog(spark, paths={"om_int_security_price": path})
+    assert cat.security_price() is cat.security_price()
+    assert cat.security_price().count() == 1
 
 
 def test_zero_open_price_gives_null_return_and_flat_position(spark):

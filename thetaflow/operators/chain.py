@@ -129,22 +129,27 @@ PIVOT_INDEX = ["securityid", "date", "okey_xx", "uprc_day_0", "expiration",
                "dist_to_strike", "uprc_day_1"]
 
 
-def _one_value(cp: str, col: str):
+def _one_value(cp: str, col: str, on_conflict: str = "raise"):
     """Pivot cell: the single value of ``col`` for ``okey_cp == cp``.
 
-    Exact duplicates collapse (the reference de-duplicates whole rows first);
-    two different values for one cell are an error, as in a pivot without an
-    aggregate function.
+    Exact duplicates collapse (the reference de-duplicates whole rows first).
+    Two different values for one cell are an error, as in a pivot without an
+    aggregate function (``on_conflict="raise"``); ``"min"`` keeps the smaller
+    value instead, so one bad quote cannot fail a whole run.
     """
     v = F.when(F.col("okey_cp") == cp, F.col(col))
     lo, hi = F.min(v), F.max(v)
+    if on_conflict == "min":
+        return lo.cast("double").alias(f"{col}_{cp}")
+    if on_conflict != "raise":
+        raise ValueError("on_conflict must be 'raise' or 'min'")
     return (F.when(lo != hi, F.raise_error(F.lit(f"pivot: several {col} values for {cp}")))
             .otherwise(lo).cast("double").alias(f"{col}_{cp}"))
 
 
-def pivot_legs(merged: DataFrame) -> DataFrame:
+def pivot_legs(merged: DataFrame, on_conflict: str = "raise") -> DataFrame:
     """A4: calls and puts side by side; rows missing either leg are dropped."""
-    cells = [_one_value(cp, col) for col in ("sprc_day_0", "sprc_day_1") for cp in ("C", "P")]
+    cells = [_one_value(cp, col, on_conflict) for col in ("sprc_day_0", "sprc_day_1") for cp in ("C", "P")]
     out = merged.groupBy(*PIVOT_INDEX).agg(*cells)
     names = [f"{c}_{cp}" for c in ("sprc_day_0", "sprc_day_1") for cp in ("C", "P")]
     return out.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
@@ -163,6 +168,6 @@ def add_straddle_prices(pivoted: DataFrame) -> DataFrame:
 
 
 def straddles(options: DataFrame, prices: DataFrame,
-              params: StraddleParams = StraddleParams()) -> DataFrame:
+              params: StraddleParams = StraddleParams(), on_conflict: str = "raise") -> DataFrame:
     """C4: one at-the-money straddle per underlying and trading day."""
-    return add_straddle_prices(pivot_legs(_paired(options, prices, params)))
+    return add_straddle_prices(pivot_legs(_paired(options, prices, params), on_conflict))

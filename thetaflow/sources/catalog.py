@@ -31,10 +31,20 @@ class Catalog:
     spark: SparkSession
     paths: dict[str, str] = field(default_factory=dict)
     views: dict[str, DataFrame] = field(default_factory=dict)
+    persist: bool = False  # keep loaded sources in executor memory/disk for reuse
 
     def load(self, name: str) -> DataFrame:
+        """The source ``name``; a second load returns the same DataFrame (and,
+        with ``persist=True``, the same cached blocks)."""
         if name in self.views:
             return self.views[name]
+        df = self._read(name)
+        if self.persist:
+            df = df.persist()
+        self.views[name] = df
+        return df
+
+    def _read(self, name: str) -> DataFrame:
         if name not in SOURCE_SCHEMAS and name not in self.paths:
             raise ValueError(f"unknown source {name!r}")
         path = self.paths.get(name)
