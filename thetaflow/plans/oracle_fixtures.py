@@ -1,4 +1,8 @@
-"""DuckDB text of the fixture views (FIXTURES.md), used as CTEs by the oracle SQL."""
+"""DuckDB text of the fixture views (FIXTURES.md), used as CTEs by the oracle SQL.
+
+The five strikes and two option types are generated with ``unnest`` (a fixed
+fan-out per row, like the Spark side's ``explode``) rather than joins.
+"""
 
 SECURITY_PRICE_CTE = """
 fx_o AS (SELECT CAST(o_orderdate AS DATE) AS date, MAX(o_totalprice)/100 AS px,
@@ -20,11 +24,12 @@ OPTION_PRICE_CTE = """
 fx_s AS (SELECT date, closeprice AS px, CAST(FLOOR(closeprice/25) AS BIGINT)*25 AS ctr,
    LEAD(date,1) OVER (ORDER BY date) AS d1, LEAD(date,2) OVER (ORDER BY date) AS d2, LEAD(closeprice,1) OVER (ORDER BY date) AS px1
    FROM security_price WHERE securityid = 108105),
-fx_k(k) AS (VALUES (-2),(-1),(0),(1),(2)), fx_cp(cp) AS (VALUES ('C'),('P')),
+fx_sk AS (SELECT *, unnest([-2, -1, 0, 1, 2]) AS k FROM fx_s),
+fx_skc AS (SELECT *, unnest(['C', 'P']) AS cp FROM fx_sk),
 fx_q AS (
-  SELECT cp, (ctr+25*k)*1000 AS strike, date, d1 AS expiration, px, CAST(4 AS DOUBLE)+ABS(k) AS tv FROM fx_s CROSS JOIN fx_k CROSS JOIN fx_cp WHERE d1 IS NOT NULL
-  UNION ALL SELECT cp, (ctr+25*k)*1000, date, d2, px, CAST(7 AS DOUBLE)+ABS(k) FROM fx_s CROSS JOIN fx_k CROSS JOIN fx_cp WHERE d2 IS NOT NULL
-  UNION ALL SELECT cp, (ctr+25*k)*1000, d1, d1, px1, CAST(0.5 AS DOUBLE) FROM fx_s CROSS JOIN fx_k CROSS JOIN fx_cp WHERE d1 IS NOT NULL),
+  SELECT cp, (ctr+25*k)*1000 AS strike, date, d1 AS expiration, px, CAST(4 AS DOUBLE)+ABS(k) AS tv FROM fx_skc WHERE d1 IS NOT NULL
+  UNION ALL SELECT cp, (ctr+25*k)*1000, date, d2, px, CAST(7 AS DOUBLE)+ABS(k) FROM fx_skc WHERE d2 IS NOT NULL
+  UNION ALL SELECT cp, (ctr+25*k)*1000, d1, d1, px1, CAST(0.5 AS DOUBLE) FROM fx_skc WHERE d1 IS NOT NULL),
 option_price AS (
 SELECT 108105 AS securityid, cp AS callput, strike, date, expiration,
   GREATEST(CASE WHEN cp='C' THEN px-strike/CAST(1000 AS DOUBLE) ELSE strike/CAST(1000 AS DOUBLE)-px END, CAST(0 AS DOUBLE))+tv-CAST(0.25 AS DOUBLE) AS bestbid,

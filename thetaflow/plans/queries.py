@@ -345,17 +345,16 @@ SQRT252 = repr(252 ** 0.5)
 def pnl_stats_sql(src: str, pnl: str, where: str = "TRUE", notebook: bool = False, tag: str | None = None) -> str:
     agg = f"""WITH p_src AS (SELECT date, {pnl} AS x FROM {src} WHERE {where}),
 p_roll AS (SELECT x, CASE WHEN COUNT(x) OVER w5 = 5 THEN SUM(x) OVER w5 END AS r5,
-                  CASE WHEN COUNT(x) OVER w20 = 20 THEN SUM(x) OVER w20 END AS r20
+                  CASE WHEN COUNT(x) OVER w20 = 20 THEN SUM(x) OVER w20 END AS r20, AVG(x) OVER () AS mu
   FROM p_src WHERE x IS NOT NULL
   WINDOW w5 AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
          w20 AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-p_mu AS (SELECT AVG(x) AS mu FROM p_roll),
 a AS (SELECT (SELECT COUNT(*) FROM p_src) AS n_rows, COUNT(x) AS n, AVG(x) AS mean, STDDEV_SAMP(x) AS std,
   COUNT(*) FILTER (WHERE x > 0) AS wins, MAX(x) AS mx, MIN(x) AS mn, MIN(r5) AS w5, MIN(r20) AS w20,
   AVG(POW(x - mu, 3)) / NULLIF(POW(AVG(POW(x - mu, 2)), 1.5), 0) AS skew,
   AVG(POW(x - mu, 4)) / NULLIF(POW(AVG(POW(x - mu, 2)), 2), 0) - 3 AS kurt,
   AVG(x) FILTER (WHERE x > 0) AS avg_win, AVG(x) FILTER (WHERE x < 0) AS avg_loss, SUM(x) AS total
-  FROM p_roll, p_mu)"""
+  FROM p_roll)"""
     sharpe = (f"CASE WHEN std IS NOT NULL AND std <> 0 THEN (mean - CAST(0.0 AS DOUBLE)) / std * {SQRT252} "
               f"WHEN mean = 0 AND (std IS NULL OR std = 0) THEN CAST(0.0 AS DOUBLE) END")
     total = "CASE WHEN n > 0 THEN total / CAST(1000000.0 AS DOUBLE) * 100 END"
@@ -577,27 +576,26 @@ def q_acf(spark, sf_dir):
 
 def hist_sql(PNL: str = PNL, limit: float | None = None) -> str:
     cut = f" AND abs({PNL}) < {limit!r}" if limit is not None else ""
+    edge = "CASE WHEN {i} >= nb THEN last ELSE first + {i} * step END"
     return f"""SELECT bin, bin_start, bin_end, count, count / (bin_end - bin_start) / n AS density FROM (
 SELECT bin, COUNT(*) AS count, ANY_VALUE(n) AS n,
-  ANY_VALUE(CASE WHEN bin >= nb THEN last ELSE first + bin * step END) AS bin_start,
-  ANY_VALUE(CASE WHEN bin + 1 >= nb THEN last ELSE first + (bin + 1) * step END) AS bin_end
+  ANY_VALUE({edge.format(i="bin")}) AS bin_start, ANY_VALUE({edge.format(i="(bin + 1)")}) AS bin_end
 FROM (
- SELECT *, CASE WHEN x >= (CASE WHEN i1 + 1 >= nb THEN last ELSE first + (i1 + 1) * step END) AND i1 <> nb - 1
-               THEN i1 + 1 ELSE i1 END AS bin
+ SELECT *, CASE WHEN x >= ({edge.format(i="(i1 + 1)")}) AND i1 <> nb - 1 THEN i1 + 1 ELSE i1 END AS bin
  FROM (
-  SELECT *, CASE WHEN x < (CASE WHEN i0 >= nb THEN last ELSE first + i0 * step END) THEN i0 - 1 ELSE i0 END AS i1
+  SELECT *, CASE WHEN x < ({edge.format(i="i0")}) THEN i0 - 1 ELSE i0 END AS i1
   FROM (
-   SELECT x, n, first, last, nb, (last - first) / nb AS step,
+   SELECT *, (last - first) / nb AS step,
      LEAST(GREATEST(CAST(floor((x - first) / (last - first) * nb) AS BIGINT), 0), nb - 1) AS i0
-   FROM (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL{cut}) AS v,
-   (SELECT *, CAST(CASE WHEN width > 0 THEN ceil((last - first) / width) ELSE 1 END AS BIGINT) AS nb FROM (
+   FROM (
+    SELECT *, CAST(CASE WHEN width > 0 THEN ceil((last - first) / width) ELSE 1 END AS BIGINT) AS nb FROM (
      SELECT *, CASE WHEN fd > 0 THEN LEAST(fd, sturges) ELSE sturges END AS width FROM (
-       SELECT n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
-         (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * pow(n, {repr(-1.0 / 3.0)}) AS fd FROM (
-         SELECT CAST(COUNT({PNL}) AS DOUBLE) AS n, MIN({PNL}) AS lo, MAX({PNL}) AS hi,
-           quantile_cont({PNL}, 0.75) - quantile_cont({PNL}, 0.25) AS iqr FROM backtest WHERE {PNL} IS NOT NULL{cut}) AS s0
-       ) AS s1) AS s2) AS s3
-  ) AS t0) AS t1) AS t2
+      SELECT x, n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
+        (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * pow(n, {repr(-1.0 / 3.0)}) AS fd FROM (
+       SELECT x, CAST(COUNT(x) OVER () AS DOUBLE) AS n, MIN(x) OVER () AS lo, MAX(x) OVER () AS hi,
+         quantile_cont(x, 0.75) OVER () - quantile_cont(x, 0.25) OVER () AS iqr
+       FROM (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL{cut}) AS v0
+      ) AS v1) AS v2) AS v3) AS v4) AS v5) AS v6) AS v7
 GROUP BY bin) AS h"""
 
 
@@ -612,13 +610,12 @@ def kde_sql(col=PNL, grid=200) -> str:
     pts = ", ".join(f"AVG(exp(-0.5 * (({g(k)} - x) / bw) * (({g(k)} - x) / bw)))" for k in range(grid))
     xs = ", ".join(g(k) for k in range(grid))
     norm = repr(1.0 / math.sqrt(2 * math.pi))
-    return f"""SELECT unnest(list_transform(range({grid}), lambda i: CAST(i AS INTEGER))) AS grid_index, unnest([{xs}]) AS x,
-  unnest(list_transform(d, lambda v: v * {norm} / bw)) AS density
+    return f"""SELECT unnest(list_transform(range({grid}), lambda i: CAST(i AS INTEGER))) AS grid_index,
+  unnest([{xs}]) AS x, unnest(list_transform(d, lambda v: v * {norm} / bw)) AS density
 FROM (SELECT ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(bw) AS bw, [{pts}] AS d
-      FROM (SELECT CAST({col} AS DOUBLE) AS x FROM backtest WHERE {col} IS NOT NULL) AS v,
-           (SELECT MIN({col}) AS lo, MAX({col}) AS hi,
-                   STDDEV_SAMP({col}) * pow(CAST(COUNT({col}) AS DOUBLE), -0.2) AS bw
-            FROM backtest WHERE {col} IS NOT NULL) AS s) AS k"""
+      FROM (SELECT x, MIN(x) OVER () AS lo, MAX(x) OVER () AS hi,
+                   STDDEV_SAMP(x) OVER () * pow(CAST(COUNT(x) OVER () AS DOUBLE), -0.2) AS bw
+            FROM (SELECT CAST({col} AS DOUBLE) AS x FROM backtest WHERE {col} IS NOT NULL) AS v0) AS v) AS k"""
 
 
 @register("kde_curve", _bt_sql(kde_sql()), exact=("grid_index",))
