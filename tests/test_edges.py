@@ -248,3 +248,11 @@ def test_many_underlyings_equal_union_of_single_runs(spark):
     one = chain.straddles(both_o, both_p, StraddleParams(underlyings=(7,), min_date=D(1995, 1, 1)))
     assert many.where("securityid = 7").exceptAll(one).count() == 0
     assert one.exceptAll(many.where("securityid = 7")).count() == 0
+
+
+def test_reuse_scan_gives_same_straddles(spark):
+    from thetaflow.plans.queries import FIXTURE_PARAMS, _market
+    o, p = _market(spark, "/root/testdata/sf0.001")
+    a = chain.straddles(o, p, FIXTURE_PARAMS)
+    b = chain.straddles(o, p, FIXTURE_PARAMS, reuse_scan=True)
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0

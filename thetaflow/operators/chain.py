@@ -2,9 +2,11 @@
 
 Plan shape for the full straddle build, whatever the number of underlyings:
 
-* one scan of the option chain with ``securityid IN (...)`` and
-  ``date >= min_date`` pushed into the parquet reader, joined to the daily
-  closes on ``(securityid, date)``.  The close table is left to the planner:
+* the option chain is scanned with ``securityid IN (...)`` and
+  ``date >= min_date`` pushed into the parquet reader and joined to the daily
+  closes on ``(securityid, date)``.  Open and close legs are two branches of
+  that base; ``reuse_scan=True`` persists it (memory and disk) so the chain is
+  read once instead of twice, for when scan I/O dominates.  The close table is left to the planner:
   AQE broadcasts it when measured small, otherwise it is a sort-merge join
   whose key includes ``date``, so one hot underlying still spreads over all
   its trading days;
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +79,11 @@ def open_legs(options: DataFrame, prices: DataFrame,
     tenor), then strike and mid quote as a deterministic tiebreak; null
     distances rank first as in the reference's ascending sort.
     """
-    legs = _with_tte(base_chain(options, prices, params)).where(F.col("time_to_expiration") > 0)
+    return _open_from(_with_tte(base_chain(options, prices, params)), keep_strike)
+
+
+def _open_from(base: DataFrame, keep_strike: bool) -> DataFrame:
+    legs = base.where(F.col("time_to_expiration") > 0)
     legs = legs.withColumn("dist_to_strike", F.abs(F.col("okey_xx") - F.col("uprc")))
     best = F.min(F.struct(
         "dist_to_strike", "time_to_expiration", "strike", "sprc",
@@ -92,7 +99,11 @@ def open_legs(options: DataFrame, prices: DataFrame,
 def close_legs(options: DataFrame, prices: DataFrame,
                params: StraddleParams = StraddleParams(), keep_strike: bool = False) -> DataFrame:
     """Quotes with less than one day to expiry (0 and negative included)."""
-    legs = _with_tte(base_chain(options, prices, params)).where(F.col("time_to_expiration") < 1)
+    return _close_from(_with_tte(base_chain(options, prices, params)), keep_strike)
+
+
+def _close_from(base: DataFrame, keep_strike: bool) -> DataFrame:
+    legs = base.where(F.col("time_to_expiration") < 1)
     cols = ["securityid", "okey_cp", "okey_xx", "date", "expiration", "sprc", "uprc",
             "time_to_expiration"]
     return legs.select(*(cols + (["strike"] if keep_strike else [])))
@@ -102,10 +113,13 @@ MERGED_COLS = ["securityid", "date", "okey_cp", "okey_xx", "expiration", "sprc_d
                "uprc_day_0", "dist_to_strike", "sprc_day_1", "uprc_day_1"]
 
 
-def _paired(options, prices, params) -> DataFrame:
-    opened = open_legs(options, prices, params, keep_strike=True).withColumnsRenamed(
+def _paired(options, prices, params, reuse_scan: bool = False) -> DataFrame:
+    base = _with_tte(base_chain(options, prices, params))
+    if reuse_scan:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    opened = _open_from(base, keep_strike=True).withColumnsRenamed(
         {"sprc": "sprc_day_0", "uprc": "uprc_day_0"})
-    closed = close_legs(options, prices, params, keep_strike=True).select(
+    closed = _close_from(base, keep_strike=True).select(
         "securityid", "okey_cp", "strike",
         F.col("date").alias("expiration"),
         F.col("sprc").alias("sprc_day_1"),
@@ -120,9 +134,9 @@ def _paired(options, prices, params) -> DataFrame:
 
 
 def merge_legs(options: DataFrame, prices: DataFrame,
-               params: StraddleParams = StraddleParams()) -> DataFrame:
+               params: StraddleParams = StraddleParams(), reuse_scan: bool = False) -> DataFrame:
     """Open legs paired with their expiry-day quotes, de-duplicated."""
-    return _paired(options, prices, params).distinct()
+    return _paired(options, prices, params, reuse_scan).distinct()
 
 
 PIVOT_INDEX = ["securityid", "date", "okey_xx", "uprc_day_0", "expiration",
@@ -168,6 +182,7 @@ def add_straddle_prices(pivoted: DataFrame) -> DataFrame:
 
 
 def straddles(options: DataFrame, prices: DataFrame,
-              params: StraddleParams = StraddleParams(), on_conflict: str = "raise") -> DataFrame:
+              params: StraddleParams = StraddleParams(), on_conflict: str = "raise",
+              reuse_scan: bool = False) -> DataFrame:
     """C4: one at-the-money straddle per underlying and trading day."""
-    return add_straddle_prices(pivot_legs(_paired(options, prices, params), on_conflict))
+    return add_straddle_prices(pivot_legs(_paired(options, prices, params, reuse_scan), on_conflict))
