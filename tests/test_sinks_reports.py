@@ -29,3 +29,10 @@ def test_reports_build(spark):
     assert fa["pnl_statistics"].count() == 28
     assert fa["correlation_matrix"].count() == 2
     assert FIXTURE_PARAMS.min_date.year == 1995
+
+
+def test_reports_per_underlying(spark):
+    bt = _backtest(spark, SF)
+    out = report.strategy_report(bt, group_cols=("securityid",), checkpoint=False)
+    assert out["pnl_stats_total"].count() == 14
+    assert "securityid" in out["sharpe_by_vol_decile"].columns

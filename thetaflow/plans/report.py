@@ -42,25 +42,31 @@ def strategy_report(backtest_df: DataFrame, signal_base: str = "ret_uprc_signal"
                     vol_cols: Sequence[str] = ("VIX", "VVIX", "VIX_TS"),
                     zscore_cols: Sequence[str] = ("VIX_ewma_hl_5_zscore", "VVIX_ewma_hl_5_zscore",
                                                   "VIX_TS_ewma_hl_5_zscore"),
-                    params: AnalysisParams = AnalysisParams(), checkpoint: bool = True) -> dict[str, DataFrame]:
-    """C11: the tables behind every chart and statistic of the report notebook."""
+                    params: AnalysisParams = AnalysisParams(), checkpoint: bool = True,
+                    group_cols: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """C11: the tables behind every chart and statistic of the report notebook.
+
+    ``group_cols=("securityid",)`` makes the statistics and regime tables per
+    underlying when the backtest holds several.
+    """
     bt = reliable_checkpoint(backtest_df) if checkpoint else backtest_df
     pnl, pos = f"{signal_base}_pnl", f"{signal_base}_pos"
+    g = tuple(group_cols)
     return {
         "cumulative_total": bt.select("securityid", "date", f"{signal_base}_cum_pnl"),
         "cumulative_by_year": series.yearly_cumulative(bt, f"{signal_base}_cum_pnl"),
         "long_short_cumulative": series.long_short_cumulative(bt, signal_base),
-        "pnl_stats_total": stats.pnl_statistics(bt, pnl, params),
-        "pnl_stats_short": stats.pnl_statistics(bt.where(F.col(pos) < 0), pnl, params),
-        "pnl_stats_long": stats.pnl_statistics(bt.where(F.col(pos) > 0), pnl, params),
+        "pnl_stats_total": stats.pnl_statistics(bt, pnl, params, group_cols=g),
+        "pnl_stats_short": stats.pnl_statistics(bt.where(F.col(pos) < 0), pnl, params, group_cols=g),
+        "pnl_stats_long": stats.pnl_statistics(bt.where(F.col(pos) > 0), pnl, params, group_cols=g),
         "autocorrelation": series.autocorrelation(bt, [signal_base, pnl], params, series_keys=("securityid",)),
         "pnl_histogram": series.histogram(bt, pnl),
         "pnl_kde": series.kde_curve(bt, pnl),
         "signal_histogram": series.histogram(bt, signal_base),
         "signal_kde": series.kde_curve(bt, signal_base),
-        "pnl_semesters": series.semester_periods(bt, pnl),
-        "pnl_weekly": series.period_pnl(bt, pnl, "weekly"),
-        "sharpe_by_signal_decile": regimes.sharpe_by_decile(bt, [signal_base], None, params),
-        "sharpe_by_vol_decile": regimes.sharpe_by_decile(bt, [signal_base], list(vol_cols), params),
-        "sharpe_by_zscore_bin": regimes.sharpe_by_fixed_bin(bt, [signal_base], list(zscore_cols), params),
+        "pnl_semesters": series.semester_periods(bt, pnl, group_cols=g),
+        "pnl_weekly": series.period_pnl(bt, pnl, "weekly", group_cols=g),
+        "sharpe_by_signal_decile": regimes.sharpe_by_decile(bt, [signal_base], None, params, g),
+        "sharpe_by_vol_decile": regimes.sharpe_by_decile(bt, [signal_base], list(vol_cols), params, g),
+        "sharpe_by_zscore_bin": regimes.sharpe_by_fixed_bin(bt, [signal_base], list(zscore_cols), params, g),
     }
