@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import threading
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
@@ -266,6 +267,7 @@ def _backtest(spark, sf_dir):
 
 
 _REPORT_INPUTS: dict = {}
+_REPORT_LOCK = threading.Lock()
 
 
 def _report_input(spark, sf_dir):
@@ -273,9 +275,10 @@ def _report_input(spark, sf_dir):
     checkpoint folder; the analysis reports all read it, as the reference's
     report notebook runs every analysis on one backtest frame."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _REPORT_INPUTS:
-        _REPORT_INPUTS[key] = reliable_checkpoint(_backtest(spark, sf_dir))
-    return _REPORT_INPUTS[key]
+    with _REPORT_LOCK:
+        if key not in _REPORT_INPUTS:
+            _REPORT_INPUTS[key] = reliable_checkpoint(_backtest(spark, sf_dir))
+        return _REPORT_INPUTS[key]
 
 
 @register("dataset_1dte", with_fixtures(DATASET_CTES, "SELECT * FROM dataset"))
