@@ -256,3 +256,21 @@ def test_reuse_scan_gives_same_straddles(spark):
     a = chain.straddles(o, p, FIXTURE_PARAMS)
     b = chain.straddles(o, p, FIXTURE_PARAMS, reuse_scan=True)
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_ewma_and_zscore_per_series_key(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for sid in (1, 2):
+        x = rng.normal(10 * sid, 2, 400)
+        rows += [(sid, D(2001, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "sid int, date date, VIX double")
+    fp = FeatureParams(vol_cols=("VIX",), zscore_window=30)
+    both = features.add_vol_zscore(df, fp, series_keys=("sid",))
+    for sid in (1, 2):
+        one = features.add_vol_zscore(df.where(F.col("sid") == sid), fp)
+        a = sorted((r["date"], r["VIX_ewma_hl_5_zscore"]) for r in both.where(F.col("sid") == sid).collect())
+        b = sorted((r["date"], r["VIX_ewma_hl_5_zscore"]) for r in one.collect())
+        assert [x[0] for x in a] == [x[0] for x in b]
+        for (_, za), (_, zb) in zip(a, b):
+            assert (za is None and zb is None) or za == pytest.approx(zb, rel=1e-12)
