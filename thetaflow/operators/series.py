@@ -127,7 +127,7 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
     v = _clean_values(df, col, limit).withColumn("_hk", F.lit(0))
     s = v.groupBy("_hk").agg(F.count("x").cast("double").alias("n"), F.min("x").alias("lo"),
                              F.max("x").alias("hi")).join(
-        exact_quantiles(v, F.col("x"), [0.75, 0.25], ["_hk"], name="q"), "_hk")
+        exact_quantiles(v, F.col("x"), [0.75, 0.25], ["_hk"], name="q", small_groups=True), "_hk")
     n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
     first = F.when(lo == hi, lo - 0.5).otherwise(lo)
     last = F.when(lo == hi, hi + 0.5).otherwise(hi)
