@@ -56,18 +56,19 @@ DECIMALS = 9  # fixed decimals for |x| < 1 (values near 0 come from cancellation
 def normalize_doubles(df: DataFrame, digits: int = DIGITS, decimals: int = DECIMALS) -> DataFrame:
     """Round doubles like C's ``printf`` (the oracle side): the exact binary
     value, ties to even.  ``format_number`` (``DecimalFormat``) does that;
-    ``format_string`` would round the shortest decimal form half-up instead."""
+    ``format_string`` would round the shortest decimal form half-up instead.
+    One SQL expression per column keeps plan building cheap."""
     sci = "0." + "0" * (digits - 1) + "E0"
     cols = []
     for f in df.schema.fields:
-        x = F.col(f"`{f.name}`")
+        name = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            txt = F.when(F.abs(x) >= 1, F.call_function("format_number", x, F.lit(sci))).otherwise(
-                F.format_number(x, decimals))
-            special = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-            cols.append((F.when(special, x).otherwise(txt.cast("double")) + F.lit(0.0)).alias(f.name))
+            cols.append(F.expr(
+                f"CASE WHEN {name} IS NULL OR isnan({name}) OR abs({name}) = double('inf') THEN {name} "
+                f"WHEN abs({name}) >= 1 THEN CAST(format_number({name}, '{sci}') AS DOUBLE) + 0.0 "
+                f"ELSE CAST(format_number({name}, {decimals}) AS DOUBLE) + 0.0 END").alias(f.name))
         else:
-            cols.append(x)
+            cols.append(F.col(name))
     return df.select(*cols)
 
 
