@@ -21,12 +21,11 @@ Plan shape for the full straddle build, whatever the number of underlyings:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thetaflow.functions.columns import all_not_null
 from thetaflow.params import StraddleParams
 
 STRIKE_SCALE = 1 / 1000  # strikes are stored in thousandths of a point
@@ -129,8 +128,7 @@ def _paired(options, prices, params, reuse_scan: bool = False) -> DataFrame:
     paired = opened.join(closed, ["securityid", "okey_cp", "strike", "expiration"], "inner")
     paired = paired.select(*MERGED_COLS)
     paired = paired.where(~F.col("date").isin(list(params.date_problems)))
-    not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in MERGED_COLS])
-    return paired.where(not_null)
+    return paired.where(all_not_null(MERGED_COLS))
 
 
 def merge_legs(options: DataFrame, prices: DataFrame,
@@ -166,7 +164,7 @@ def pivot_legs(merged: DataFrame, on_conflict: str = "raise") -> DataFrame:
     cells = [_one_value(cp, col, on_conflict) for col in ("sprc_day_0", "sprc_day_1") for cp in ("C", "P")]
     out = merged.groupBy(*PIVOT_INDEX).agg(*cells)
     names = [f"{c}_{cp}" for c in ("sprc_day_0", "sprc_day_1") for cp in ("C", "P")]
-    return out.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
+    return out.where(all_not_null(names))
 
 
 def add_straddle_prices(pivoted: DataFrame) -> DataFrame:
