@@ -118,8 +118,9 @@ def _clean_values(df: DataFrame, col: str, limit: float | None) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float | None = None) -> DataFrame:
     """Density-normalised histogram with NumPy's ``auto`` rule (or ``bins`` equal bins).
 
-    ``auto`` takes the smaller of the Freedman-Diaconis and Sturges widths
-    (Sturges alone when the IQR is 0); edges are evenly spaced from min to
+    ``auto`` is the rule of NumPy 1.26, the version the reference runs with:
+    the smaller of the Freedman-Diaconis and Sturges widths (Sturges alone
+    when the IQR is 0; NumPy 2 additionally caps the FD bin count); edges are evenly spaced from min to
     max, the last bin is closed.  Non-empty bins are returned with their
     edges, count and density ``count / width / n``.  The shape parameters
     come from one aggregate used as a single struct-valued scalar subquery.
