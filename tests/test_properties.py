@@ -48,3 +48,19 @@ def test_histogram_matches_numpy(spark, values):
     counts, _ = numpy126_auto_counts(values)
     want = [(i, int(c)) for i, c in enumerate(counts) if c > 0]
     assert got == want
+
+
+LABEL_VALUES = st.lists(st.one_of(
+    st.floats(-1e7, 1e7, allow_nan=False, allow_infinity=False),
+    st.integers(-100000, 100000).map(lambda k: k / 1000.0),  # shortest forms ending in a 5
+    st.sampled_from([0.125, 2.675, 2.775, 99999.995, -0.001, 0.0, -0.0, 1234.565])),
+    min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(values=LABEL_VALUES)
+def test_fixed_decimals_matches_python(spark, values):
+    from thetaflow.functions.columns import fixed_decimals
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = {r["i"]: r["s"] for r in df.select("i", fixed_decimals(F.col("x")).alias("s")).collect()}
+    assert [got[i] for i in range(len(values))] == [f"{v:.2f}" for v in values]
