@@ -64,3 +64,26 @@ def test_fixed_decimals_matches_python(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
     got = {r["i"]: r["s"] for r in df.select("i", fixed_decimals(F.col("x")).alias("s")).collect()}
     assert [got[i] for i in range(len(values))] == [f"{v:.2f}" for v in values]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(h=st.sampled_from([1, 2, 3, 5]), n=st.integers(1, 2500), seed=st.integers(0, 10_000),
+       null_share=st.sampled_from([0.0, 0.05, 0.3]))
+def test_ewma_matches_pandas(spark, h, n, seed, null_share):
+    import datetime as dt
+
+    import pandas as pd
+
+    from thetaflow.operators import features
+    from thetaflow.params import FeatureParams
+    rng = np.random.default_rng(seed)
+    x = rng.normal(20, 4, n)
+    x[rng.random(n) < null_share] = np.nan
+    rows = [(dt.date(1990, 1, 1) + dt.timedelta(days=i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "date date, VIX double")
+    got = features.add_vol_ewma(df, FeatureParams(half_life=h, vol_cols=("VIX",))).orderBy("date").toPandas()
+    g = got[f"VIX_ewma_hl_{h}"].to_numpy(dtype=float)
+    want = pd.Series(x).ewm(halflife=h, adjust=True, ignore_na=False).mean().to_numpy()
+    mask = ~np.isnan(x)
+    np.testing.assert_allclose(g[mask], want[mask], rtol=1e-11)
+    assert np.isnan(g[~mask]).all()
