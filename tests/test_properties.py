@@ -87,3 +87,54 @@ def test_ewma_matches_pandas(spark, h, n, seed, null_share):
     mask = ~np.isnan(x)
     np.testing.assert_allclose(g[mask], want[mask], rtol=1e-11)
     assert np.isnan(g[~mask]).all()
+
+
+def _model_pnl_stats(values, ann=252, base=1e6):
+    """The documented statistic rules, in plain Python (nulls removed, date order)."""
+    x = np.array([v for v in values if v is not None], dtype=float)
+    n = len(x)
+    if n == 0:
+        return [None] * 14
+    mean = x.mean()
+    std = x.std(ddof=1) if n > 1 else None
+    if std is not None and std != 0:
+        sharpe = (mean - 0.0) / std * ann ** 0.5
+    elif mean == 0 and (std is None or std == 0):
+        sharpe = 0.0
+    else:
+        sharpe = None
+
+    def worst(k):
+        if n < k:
+            return None
+        return min(x[i:i + k].sum() for i in range(n - k + 1)) / base * 100
+
+    m = x - mean
+    m2 = (m ** 2).mean()
+    skew = (m ** 3).mean() / m2 ** 1.5 if n > 2 and m2 > 0 else None
+    kurt = (m ** 4).mean() / m2 ** 2 - 3 if n > 3 and m2 > 0 else None
+    wins, losses = x[x > 0], x[x < 0]
+    total = x.sum() / base * 100
+    g = 1 + total / 100
+    ann_ret = (g ** (ann / n) - 1) * 100 if (g > 0 or float(ann / n).is_integer()) else None
+    return [mean, std, sharpe, (x > 0).sum() / n * 100, x.max(), x.min(), worst(5), worst(20), skew, kurt,
+            wins.mean() if len(wins) else 0.0, losses.mean() if len(losses) else 0.0, total, ann_ret]
+
+
+@SETTINGS
+@given(values=st.lists(st.one_of(st.none(), st.just(0.0), st.floats(-5e5, 5e5, allow_nan=False)),
+                       min_size=1, max_size=45))
+def test_pnl_stats_match_model(spark, values):
+    import datetime as dt
+
+    from thetaflow.operators import stats
+    df = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(days=i), v) for i, v in enumerate(values)],
+                               "date date, pnl double")
+    got = {r["Statistic"]: r["Value"] for r in stats.pnl_statistics(df, "pnl").collect()}
+    want = dict(zip(stats.PNL_STAT_NAMES, _model_pnl_stats(values)))
+    for name in stats.PNL_STAT_NAMES:
+        g, w = got[name], want[name]
+        if w is None or (isinstance(w, float) and not np.isfinite(w)):
+            assert g is None, name
+        else:
+            assert g == pytest.approx(w, rel=1e-9, abs=1e-9), name

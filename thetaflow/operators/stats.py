@@ -133,13 +133,20 @@ def _pnl_moments(df: DataFrame, pnl_col: str, order_by: Sequence[str], group_col
         f = w.rowsBetween(-(n - 1), 0)
         return F.when(x.isNotNull() & (F.count(x).over(f) == n), F.sum(x).over(f))
 
-    base = df.select(*group_cols, x.alias("_x"), rolling(5).alias("_r5"), rolling(20).alias("_r20"))
-    v = F.col("_x")
+    # The series mean as a window aggregate on the same partitioning, so the
+    # central moments are two-pass (skewness / kurtosis never divide by an
+    # underflowed zero; Spark's one-pass skewness raises under ANSI there).
+    mu = F.avg(x).over(Window.partitionBy(*group_cols, x.isNull()))
+    base = df.select(*group_cols, x.alias("_x"), rolling(5).alias("_r5"), rolling(20).alias("_r20"),
+                     (x - mu).alias("_d"))
+    v, d = F.col("_x"), F.col("_d")
+    m2 = F.avg(d * d)
     aggs = [
         F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"), F.count(F.when(v > 0, 1)).alias("wins"),
         F.max(v).alias("max"), F.min(v).alias("min"), F.min("_r5").alias("w5"), F.min("_r20").alias("w20"),
-        F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"),
+        F.try_divide(F.avg(d * d * d), F.pow(m2, 1.5)).alias("skew"),
+        (F.try_divide(F.avg(d * d * d * d), m2 * m2) - 3).alias("kurt"),
         F.avg(F.when(v > 0, v)).alias("avg_win"), F.avg(F.when(v < 0, v)).alias("avg_loss"),
         F.sum(v).alias("total"),
     ]
