@@ -275,3 +275,13 @@ def test_ewma_and_zscore_per_series_key(spark):
         assert [x[0] for x in a] == [x[0] for x in b]
         for (_, za), (_, zb) in zip(a, b):
             assert (za is None and zb is None) or za == pytest.approx(zb, rel=1e-12)
+
+
+def test_kde_and_histogram_on_constant_and_single_values(spark):
+    const = spark.createDataFrame([(2.0,)] * 5, "x double")
+    assert series.kde_curve(const, "x").count() == 0  # singular data: no curve, no error
+    h = series.histogram(const, "x").collect()
+    assert len(h) == 1 and h[0]["count"] == 5 and h[0]["bin_start"] == 1.5 and h[0]["bin_end"] == 2.5
+    one = spark.createDataFrame([(7.0,)], "x double")
+    assert series.kde_curve(one, "x").count() == 0
+    assert series.histogram(one, "x").collect()[0]["count"] == 1

@@ -185,7 +185,7 @@ def kde_curve(df: DataFrame, col: str, grid_size: int = 200, limit: float | None
     # Every value meets every grid point through a fixed-size generator (no
     # join); partial aggregation leaves ``grid_size`` rows per task to shuffle.
     pts = vv.select("x", "_p", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("grid_index"))
-    u = (grid - F.col("x")) / bw
+    u = F.try_divide(grid - F.col("x"), bw)  # zero bandwidth (constant data): no curve
     dens = pts.groupBy("grid_index").agg(F.avg(F.exp(F.lit(-0.5) * u * u)).alias("_a"), F.first("_p").alias("_p"))
-    return dens.select("grid_index", grid.alias("x"), (F.col("_a") * norm / bw).alias("density")).where(
+    return dens.select("grid_index", grid.alias("x"), F.try_divide(F.col("_a") * norm, bw).alias("density")).where(
         F.col("density").isNotNull())
