@@ -138,3 +138,30 @@ def test_pnl_stats_match_model(spark, values):
             assert g is None, name
         else:
             assert g == pytest.approx(w, rel=1e-9, abs=1e-9), name
+
+
+HOSTILE = st.one_of(st.none(), st.just(0.0), st.just(1.0), st.floats(-1e300, 1e300, allow_nan=False,
+                                                                     allow_infinity=False),
+                    st.floats(-1e-310, 1e-310, allow_nan=False))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(HOSTILE, HOSTILE, HOSTILE), min_size=0, max_size=30))
+def test_reports_never_raise(spark, rows):
+    import datetime as dt
+
+    from thetaflow.operators import regimes, stats
+    from thetaflow.params import AnalysisParams
+    data = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), a, b, p) for i, (a, b, p) in enumerate(rows)]
+    df = spark.createDataFrame(data, "date date, a double, b double, s_pnl double")
+    df = df.withColumn("s", F.col("a")).withColumn("s_pos", F.col("b"))
+    params = AnalysisParams(acf_max_lags=3)
+    stats.correlation_matrix(df, ["a", "b", "s_pnl"]).collect()
+    stats.correlation_matrix(df, ["a", "b", "s_pnl"], "spearman").collect()
+    stats.describe(df, ["a", "b", "s_pnl"]).collect()
+    stats.pnl_statistics(df, "s_pnl").collect()
+    regimes.sharpe_by_decile(df, ["s"], None, params).collect()
+    regimes.sharpe_by_fixed_bin(df, ["s"], ["a"], params).collect()
+    series.autocorrelation(df, ["a", "s_pnl"], params).collect()
+    series.histogram(df, "a").collect()
+    series.kde_curve(df, "a").collect()

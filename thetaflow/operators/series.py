@@ -162,7 +162,7 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
     left, right = edge(F.col("bin")), edge(F.col("bin") + 1)
     return counts.select(
         "bin", left.alias("bin_start"), right.alias("bin_end"), "count",
-        (F.col("count") / (right - left) / pn).alias("density"),
+        F.try_divide(F.try_divide(F.col("count").cast("double"), right - left), pn).alias("density"),
     )
 
 
