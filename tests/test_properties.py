@@ -165,3 +165,25 @@ def test_reports_never_raise(spark, rows):
     series.autocorrelation(df, ["a", "s_pnl"], params).collect()
     series.histogram(df, "a").collect()
     series.kde_curve(df, "a").collect()
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(HOSTILE, HOSTILE, HOSTILE, HOSTILE), min_size=0, max_size=25))
+def test_pipeline_stages_never_raise(spark, rows):
+    import datetime as dt
+
+    from thetaflow.operators import backtest, features, signals, vol
+    from thetaflow.params import FeatureParams, StraddleParams
+    from thetaflow.sources import schemas
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(len(rows))]
+    prices = spark.createDataFrame(
+        [(sid, d, a, b, c) for d, (a, b, c, _) in zip(days, rows) for sid in (1, 117801, 152892, 145764)],
+        schemas.SECURITY_PRICE)
+    features.log_returns(prices, StraddleParams(underlyings=(1,))).collect()
+    vt = vol.vol_table(prices)
+    features.add_vol_zscore(vt, FeatureParams(zscore_window=5)).collect()
+    st_df = spark.createDataFrame([(1, d, a, b, c) for d, (a, b, c, _) in zip(days, rows)],
+                                  "securityid int, date date, straddle_day_0 double, straddle_day_1 double, "
+                                  "uprc_diff double")
+    sig = signals.add_signal_components(signals.add_straddle_returns(st_df))
+    backtest.generate_backtest(sig).collect()
