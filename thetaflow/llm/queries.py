@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thetaflow.llm import decontaminate, packing
+from thetaflow.llm import decontaminate, ngram_join, packing
 from thetaflow.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,14 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op6_pack, op9_decontaminate)}
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op6_pack, op8_ngram_join, op9_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
