@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thetaflow.llm import decontaminate, ngram_join, packing
+from thetaflow.llm import decontaminate, ngram_join, packing, substrings
 from thetaflow.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op6_pack, op8_ngram_join, op9_decontaminate)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op6_pack, op8_ngram_join, op9_decontaminate, op10_substrings)}
 
 ORACLE_SQL: dict[str, str] = {}
