@@ -15,11 +15,9 @@ from thetaflow.session import checkpoint_dir
 
 #: Work inside a Python task is cut into runs of about this many text bytes,
 #: so memory does not follow the Arrow batch size or a table's longest texts.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
-#: Odd 64-bit multipliers for combining word hashes (fixed values).
 _GOLDEN = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +73,45 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) < n:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        total += mix(words[i:len(words) - n + 1 + i] ^ np.uint64(_GOLDEN * (2 * i + 1) & _MASK))
+    for i, odd in enumerate(np.random.default_rng(21).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)):
+        total += words[i:len(words) - n + 1 + i] * odd
     return mix(total)
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number modulo 2**64, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_GOLDEN, pow(_GOLDEN, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words between ASCII white space, and the number of words of each text.
+
+    A word's hash is a polynomial in its bytes, taken from running sums, so
+    there is no work for each word in Python; equal words of any text are equal.
+    """
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    white = _WHITE[raw]
+    starts = np.flatnonzero(~white & np.r_[True, white[:-1]])
+    stops = np.flatnonzero(white & np.r_[False, ~white[:-1]])
+    power, inverse = _powers(len(raw))
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * power)]
+    names = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.r_[0, np.searchsorted(starts, ends)])
+    return names, counts
+
+
 def runs(sizes: list[int], most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Cut consecutive rows into ranges of about ``most`` bytes, one row at least."""
     start = total = 0

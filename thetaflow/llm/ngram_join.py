@@ -17,15 +17,14 @@ Steps, each a Spark job over all rows:
    most frequent ones are broadcast, any others sort by hash);
 3. write prefixes as postings, dealt by shingle; drop those of one document
    only; the smallest id of a posting list is its centre;
-4. verify each document against the centres of its lists, and take connected
-   components: a large group of near copies becomes one component through its
-   centres, in linear work;
+4. verify each document against one centre, that of most of its lists, and
+   take connected components: a large group of near copies becomes one
+   component through its centres, in linear work;
 5. pair documents of different components in what is left: every pair with
    enough shared prefix shingles that the components do not link yet is
    verified.  No pair is left out, and none inside a component is made.
 
-Verification compares whole sets, each sent once for each candidate, in a
-stream grouped by centre; a centre with many candidates is dealt to several
+Verification compares whole sets, in a stream of texts grouped by centre; a centre with many candidates is dealt to several
 tasks.  Sets hold 64-bit hashes: two different shingles of one candidate pair
 would have to collide to change a similarity.
 
@@ -47,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thetaflow.llm.common import WordHashes, components, stored, text_runs, window_hashes
+from thetaflow.llm.common import components, hashed_words, stored, text_runs, window_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -61,21 +60,14 @@ CENTRE_ROWS = 20_000
 BROADCAST_IDS = 100_000
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) words between ASCII white space."""
-    return text.lower().split()
-
-
-def shingle_sets(texts: list[bytes], n: int, cache: WordHashes) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of each text."""
-    words, ends = [], []
-    for text in texts:
-        words += words_of(text)
-        ends.append(len(words))
-    hashes = cache.of(words)
-    cache.trim()
+def shingle_sets(texts: list[bytes], n: int, keys: list[int] | None = None) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text, of lower-cased (A-Z) words between ASCII white space.
+    ``keys`` gets a 128-bit hash of each word sequence."""
+    hashes, counts = hashed_words([t.lower() for t in texts])
     every, start = window_hashes(hashes, n), 0
-    for end in ends:
+    for end in np.cumsum(counts).tolist():
+        if keys is not None:
+            keys.append(xxhash.xxh3_128_intdigest(hashes[start:end].tobytes()))
         if end - start >= n:
             yield np.unique(every[start:end - n + 1])
         else:
@@ -88,32 +80,25 @@ def _longs(x) -> pa.Array:
 
 
 def _heads(n: int):
-    """(id, key1, key2, n_shingles): the keys are a 128-bit hash of the word sequence."""
+    """Rows (id, key1, key2, n, false): a 128-bit hash of the word sequence, the set's size.  And rows
+    (null, shingle, null, n, true): shingles that n documents, several, of one run of rows hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for part, texts in text_runs(batches):
-            sizes = [len(s) for s in shingle_sets(texts, n, cache)]
-            keys = [xxhash.xxh3_128_intdigest(b" ".join(words_of(t))) for t in texts]
-            none = pa.array([s == 0 for s in sizes])
+            keys: list[int] = []
+            sets = list(shingle_sets(texts, n, keys))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            none = pa.array(sizes == 0)
             null = pa.scalar(None, pa.int64())
-            low = _longs([k & 0xFFFFFFFFFFFFFFFF for k in keys])
-            high = _longs([k >> 64 for k in keys])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.compute.if_else(none, null, low), pa.compute.if_else(none, null, high),
-                 pa.array(sizes, pa.int64())], names=["id", "key1", "key2", "n_shingles"])
-    return run
-
-
-def _frequent(n: int):
-    """Shingles that several documents of one run of rows hold, with how many do."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for _, texts in text_runs(batches):
-            sets = list(shingle_sets(texts, n, cache))
+            low, high = _longs([k & 0xFFFFFFFFFFFFFFFF for k in keys]), _longs([k >> 64 for k in keys])
             found, counts = np.unique(np.concatenate(sets), return_counts=True)
             several = counts >= 2
-            yield pa.RecordBatch.from_arrays([_longs(found[several]), pa.array(counts[several].astype(np.int64))],
-                                             names=["shingle", "n"])
+            extra = int(several.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([part.column(0), pa.nulls(extra, pa.int64())]),
+                 pa.concat_arrays([pa.compute.if_else(none, null, low), _longs(found[several])]),
+                 pa.concat_arrays([pa.compute.if_else(none, null, high), pa.nulls(extra, pa.int64())]),
+                 pa.array(np.r_[sizes, counts[several]]), pa.array(np.arange(len(sizes) + extra) >= len(sizes))],
+                names=["id", "key1", "key2", "n", "frequent"])
     return run
 
 
@@ -150,10 +135,9 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: i
 def _postings(n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = shared.value
-        cache = WordHashes()
         for part, texts in text_runs(batches):
             rows, shingle, level, match, size = [], [], [], [], []
-            for i, s in enumerate(shingle_sets(texts, n, cache)):
+            for i, s in enumerate(shingle_sets(texts, n)):
                 if len(s):
                     p, lv, l = prefix(s, hot, counts, percent)
                     rows.append(np.full(len(p), i))
@@ -174,7 +158,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     list's first row as its centre.  Holds a batch and one row."""
     held: pa.RecordBatch | None = None  # the first row of a list of which no other row has come yet
     last, centre = None, None
-    names = ["shingle", "id", "level", "l", "size", "centre", "centre_level", "centre_l"]
+    names = ["shingle", "id", "level", "l", "size", "centre", "centre_level", "centre_l", "centre_size"]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -185,7 +169,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
         goes_on = first < 0  # of the list that the batch before began
         at = np.maximum(first, 0)
-        c = [np.where(goes_on, centre[k], fields[f][at]) if centre else fields[f][at] for k, f in enumerate((1, 2, 3))]
+        c = [np.where(goes_on, centre[k], fields[f][at]) if centre else fields[f][at] for k, f in enumerate((1, 2, 3, 4))]
         alone = starts & np.r_[starts[1:], False]
         open_end = bool(starts[-1])
         keep = ~alone
@@ -203,43 +187,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _members(n: int):
-    """(id, text, centre, salt, role) -> (centre, salt, role, id, set); equal ids follow each other."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for part, texts in text_runs(batches):
-            ids, sets, index = part.column(0).to_pylist(), [], []
-            fresh = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1] or texts[i] != texts[i - 1]]
-            for s in shingle_sets([texts[i] for i in fresh], n, cache):
-                sets.append(s.tobytes())
-            new = set(fresh)
-            for i in range(len(ids)):
-                index.append((index[-1] if index else -1) + (i in new))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(2), part.column(3), part.column(4), part.column(0),
-                 pa.array(sets, pa.binary()).take(pa.array(index, pa.int64()))],
-                names=["centre", "salt", "role", "id", "shingles"])
-    return run
-
-
-def _compare(percent: int):
-    """Rows sorted by (centre, salt, role): each centre's sets (role 0) before its candidates."""
+def _compare(n: int, percent: int):
+    """(centre, salt, role, id, text) sorted by (centre, salt, role): each centre's texts (role 0) before its
+    candidates; yields the candidates that are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, []
-        for batch in batches:
+        for part, texts in text_runs(batches, 4):
             a, b = [], []
-            for centre, salt, role, doc, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            fields = [part.column(i).to_pylist() for i in range(4)]
+            for centre, salt, role, doc, mine in zip(*fields, shingle_sets(texts, n)):
                 if (centre, salt) != key:
                     key, own = (centre, salt), []
-                mine = np.frombuffer(packed, np.uint64)
                 if role == 0:
                     own.append(mine)
-                    continue
-                for other in own:
-                    if alike(mine, other, percent):
-                        a.append(doc)
-                        b.append(centre)
-                        break
+                elif any(alike(mine, other, percent) for other in own):
+                    a.append(doc)
+                    b.append(centre)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
@@ -253,6 +216,11 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (small + large - inter)
 
 
+def _near(a: str, b: str, percent: int):
+    """Sizes of sets that can be alike."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` (member, centre) whose texts are alike.  ``docs`` is (id, text)."""
     degree = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("salts"))
@@ -265,10 +233,9 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     ids = wanted.select("id").distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(ids), "id", "left_semi")
-    rows = docs.join(wanted, "id").select("id", "text", "centre", "salt", "role")
-    return (rows.mapInArrow(_members(n), "centre long, salt int, role int, id long, shingles binary")
-            .repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
-            .mapInArrow(_compare(percent), "a long, b long"))
+    rows = docs.join(wanted, "id").select("centre", "salt", "role", "id", "text")
+    return (rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
+            .mapInArrow(_compare(n, percent), "a long, b long"))
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -276,7 +243,8 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     """One row for each row of ``docs``: id, ``n_shingles``, ``component_id``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    heads = stored(docs.mapInArrow(_heads(n), "id long, key1 long, key2 long, n_shingles long"), "heads")
+    found = stored(docs.mapInArrow(_heads(n), "id long, key1 long, key2 long, n long, frequent boolean"), "heads")
+    heads = found.where("NOT frequent").select("id", "key1", "key2", F.col("n").alias("n_shingles"))
     classes = heads.where("key1 IS NOT NULL").groupBy("key1", "key2").agg(F.min("id").alias("rep"))
     heads = stored(heads.join(classes, ["key1", "key2"], "left"), "classes")
     of = heads.where("id IS NOT NULL AND rep IS NOT NULL").select("id", "rep").distinct()
@@ -284,7 +252,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     edges = of.groupBy("id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("r")).where(F.size("r") > 1).select(
         F.explode("r").alias("a"), "b")
 
-    hot = (docs.mapInArrow(_frequent(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    hot = (found.where("frequent").groupBy(F.col("key1").alias("shingle")).agg(F.sum("n").alias("n"))
            .where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toPandas())
     shingle = hot["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingle)
@@ -295,14 +263,17 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
                    .mapInArrow(_postings(n, percent, shared), "shingle long, id long, level int, l int, size int")
                    .repartition("shingle").sortWithinPartitions("shingle", "id")
                    .mapInArrow(_lists, "shingle long, id long, level int, l int, size int, centre long, "
-                                       "centre_level int, centre_l int"), "lists")
+                                       "centre_level int, centre_l int, centre_size int"), "lists")
+    # of the centres that a document shares enough with, the one it shares most with
     least = F.least("l", "centre_l")
-    starred = (lists.where("id <> centre").groupBy("id", "centre").agg(
-        F.sum(F.when(F.greatest("level", "centre_level") <= least, 1).otherwise(0)).alias("n"), F.first(least).alias("l"))
-        .where("n >= l").select("id", "centre"))
+    starred = (lists.where((F.col("id") != F.col("centre")) & _near("size", "centre_size", percent))
+               .groupBy("id", "centre").agg(
+                   F.sum(F.when(F.greatest("level", "centre_level") <= least, 1).otherwise(0)).alias("n"),
+                   F.first(least).alias("l")).where("n >= l"))
     reps = of.select(F.col("id").alias("centre"), F.col("rep").alias("centre_rep"))
-    starred = (starred.join(of, "id").join(reps, "centre").where("rep <> centre_rep")
-               .select(F.col("rep").alias("id"), F.col("centre_rep").alias("centre")).distinct())
+    starred = (starred.join(of, "id").join(reps, "centre").where("rep <> centre_rep").groupBy("rep")
+               .agg(F.max_by("centre_rep", F.struct("n", -F.col("centre_rep"))).alias("centre"))
+               .select(F.col("rep").alias("id"), "centre"))
     first = stored(verified(stored(starred, "starred"), docs, n, percent).unionAll(edges), "links")
     nodes = components(first)
 
@@ -320,7 +291,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     l = F.least("x.l", "y.l")
     rest = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-                   & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+                   & _near("x.size", "y.size", percent)
                    & (F.greatest("x.level", "y.level") <= l))
             .groupBy(F.col("x.rep").alias("id"), F.col("y.rep").alias("centre"))
             .agg(F.count("*").alias("n"), F.first(l).alias("l")).where("n >= l").select("id", "centre"))

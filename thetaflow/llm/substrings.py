@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thetaflow.llm.common import WordHashes, mix, stored, text_runs, texts_of, window_hashes
+from thetaflow.llm.common import hashed_words, mix, stored, text_runs, texts_of, window_hashes
 
 WINDOW = 13
 #: Rounds of runs and pairs.  More rounds give longer symbols that depend on more words around them; in 13 words
@@ -158,15 +158,9 @@ def window_keys(names: np.ndarray, ends: np.ndarray, n: int, rounds: int = ROUND
 def _stretches(n: int):
     """(id, text, tag) -> a row for each stretch of windows with one key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for part, texts in text_runs(batches):
-            words, ends = [], []
-            for text in texts:
-                words += words_of(text)
-                ends.append(len(words))
-            names, ends = cache.of(words), np.array(ends, np.int64)
-            cache.trim()
-            del words
+            names, counts = hashed_words(texts)
+            ends = np.cumsum(counts)
             begin, key, place = window_keys(names, ends, n)
             if not len(begin):
                 continue
