@@ -16,14 +16,15 @@ windows mostly share a key, so a document gives one row for each stretch of
 windows with one key: the key, where the stretch lies against the key's
 symbols, and the hashes of its windows.
 
-One shuffle brings the rows of a key together, sorted by document id.  A key
+Repeats within the run of rows that a task has at hand are found there, so a
+passage that very many documents share costs a row for each run, not for each
+document.  One shuffle brings the other rows of a key together, sorted by document id.  A key
 of one document only goes; for others a stream remembers the smallest id of
 each (place against the key, window hash) and reports windows seen under a
 smaller id.  A key with over ``held`` windows passes what it knows and the rest of its
 windows on to an aggregation by window, so no task holds an unbounded
-key.  The ranges found are bounded by a document's length; they are joined to
-the texts, broadcast if their measured size allows.  The texts themselves
-cross no shuffle then.
+key.  The ranges found are bounded by a document's length and are joined to
+the texts by id.
 
 Exact copies of a text with a smaller id need no search; they are told by a
 128-bit hash, and left out of it if their ids are few enough to broadcast
@@ -42,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +58,8 @@ TUPLE = 2
 HASH_BYTES = 5
 #: Windows of one key that a task remembers.
 HELD = 2_000_000
-#: Up to so many ids or bytes, a table is broadcast.
+#: Up to so many ids (16 bytes each) are broadcast.
 BROADCAST_IDS = 200_000
-BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -166,12 +167,22 @@ def _stretches(n: int):
                 continue
             doc = np.searchsorted(ends, begin, side="right")
             hashes = window_hashes(names, n)[begin]
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
+            first = np.r_[0, ends[:-1]]
+            ids = part.column(0).to_numpy()[doc]
+            # repeats within this run of rows are found here and cross no shuffle
+            order = np.lexsort((ids, hashes))
+            group = np.cumsum(np.r_[0, hashes[order][1:] != hashes[order][:-1]])
+            least = ids[order][np.r_[0, np.flatnonzero(np.diff(group)) + 1]]
+            late = np.zeros(len(begin), bool)
+            late[order] = ids[order] > least[group]
+            yield _here(part, begin[late], doc[late], first, n)
+            begin, key, place, doc, hashes = (x[~late] for x in (begin, key, place, doc, hashes))
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+                                       | (begin[1:] != begin[:-1] + 1)][:len(begin)])
             sizes = np.diff(np.r_[new, len(begin)])
             packed = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
             offsets = pa.py_buffer((np.r_[new, len(begin)] * HASH_BYTES).astype(np.int32).tobytes())
             docs = pa.array(doc[new])
-            first = np.r_[0, ends[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[new].view(np.int64)), part.column(0).take(docs), part.column(2).take(docs),
                  pa.array((begin[new] - first[doc[new]]).astype(np.int32)),
@@ -181,6 +192,20 @@ def _stretches(n: int):
     return run
 
 
+def _here(part: pa.RecordBatch, begin: np.ndarray, doc: np.ndarray, first: np.ndarray, n: int) -> pa.RecordBatch:
+    """Word ranges of repeated windows, as rows of place 0 whose bytes are the range's end."""
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + n)][:len(begin)])
+    last = np.r_[new[1:], len(begin)][:len(new)] - 1
+    start, end = begin[new] - first[doc[new]], begin[last] - first[doc[new]] + n
+    docs = pa.array(doc[new])
+    ids = part.column(0).take(docs)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).view(np.int64)), ids,
+         part.column(2).take(docs), pa.array(start.astype(np.int32)), pa.array(np.zeros(len(new), np.int8)),
+         pa.array([int(e).to_bytes(4, "little") for e in end], pa.binary())],
+        names=["key", "id", "tag", "at", "place", "hashes"])
+
+
 _ROWS = "key long, id long, tag long, at int, place tinyint, hashes binary"
 _FOUND = "id long, tag long, start int, end int, key long, code long"
 
@@ -192,12 +217,19 @@ def _repeated(n: int, held: int):
     the smallest id known (start null) or to be compared (start set).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first_row, seen, full = None, None, {}, False
+        last, seen, full = None, {}, False
         for batch in batches:
+            here = batch.filter(pa.compute.equal(batch.column(4), 0))
+            if here.num_rows:
+                ends = np.array([int.from_bytes(e, "little") for e in here.column(5).to_pylist()], np.int32)
+                none = pa.nulls(here.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([here.column(1), here.column(2), here.column(3), pa.array(ends), none, none],
+                                                 names=["id", "tag", "start", "end", "key", "code"])
+                batch = batch.filter(pa.compute.not_equal(batch.column(4), 0))
             if not batch.num_rows:
                 continue
             key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shared = np.zeros(len(key), bool)  # rows of keys that several ids hold, as far as this batch shows
+            # rows of keys that several ids hold, as far as this batch shows
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for_each = np.diff(np.r_[starts, len(key)])
             several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
@@ -274,9 +306,6 @@ def removal(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col:
     else:
         ranges = repeated_ranges(source, n, held)
     ranges = stored(ranges, "ranges")
-    size = ranges.agg(F.sum(32 + 8 * F.size("ranges"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        ranges = F.broadcast(ranges)
     return docs.join(ranges, ["id", "tag"], "left").select("id", "text", "tag", "ranges")
 
 
