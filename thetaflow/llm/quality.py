@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thetaflow.llm.common import WordHashes, text_runs
+from thetaflow.llm.common import hashed_words, text_runs
 
 PASSAGE = 64
 SAMPLE = 2000
@@ -62,7 +62,7 @@ _WHITE = np.isin(_CLASS, (_SPACE, _NEWLINE))
 N_FEATURES = len(_CLASSES) + 8
 
 
-def encode(texts: list[bytes], cache: WordHashes, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list[bytes], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
     """Passage features, in document order, and where each document's passages start."""
     sizes = np.array([len(t) + 1 for t in texts])
     data = b" ".join(texts) + b" "
@@ -88,8 +88,7 @@ def encode(texts: list[bytes], cache: WordHashes, passage: int = PASSAGE) -> tup
 
     words = np.bincount(of_word, minlength=n).astype(float)
     total = np.maximum(words, 1)
-    names = cache.of(data.split())
-    cache.trim()
+    names = hashed_words(texts)[0]
     order = np.lexsort((names, of_word))
     new = np.r_[True, (names[order][1:] != names[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])][:len(order)]
     distinct = np.bincount(of_word[order][new], minlength=n)
@@ -199,9 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
     for part, texts in text_runs(batches):
-        x, starts = encode(texts, cache)
+        x, starts = encode(texts)
         ends = np.r_[starts[1:], len(x)]
         yield pa.RecordBatch.from_arrays(
             [part.column(0).cast(pa.int64()), part.column(2), pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
@@ -210,18 +208,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, WordHashes()
+        model = shared.value
         for part, texts in text_runs(batches):
-            scores = model.score(*encode(texts, cache))
+            scores = model.score(*encode(texts))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
     return run
 
 
 def _keeps(shared, at: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, WordHashes()
+        model = shared.value
         for part, texts in text_runs(batches, at):
-            yield part.filter(pa.array(model.score(*encode(texts, cache)) >= threshold))
+            yield part.filter(pa.array(model.score(*encode(texts)) >= threshold))
     return run
 
 
