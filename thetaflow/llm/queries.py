@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thetaflow.llm import decontaminate, ngram_join, packing, quality, secrets, substrings
+from thetaflow.llm import decontaminate, ngram_join, packing, quality, secrets, substrings, vector_join
 from thetaflow.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.report(table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_secrets, op5_quality, op6_pack, op8_ngram_join, op9_decontaminate, op10_substrings)}
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (
+    op1_secrets, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings)}
 
 ORACLE_SQL: dict[str, str] = {}
