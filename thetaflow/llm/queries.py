@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thetaflow.llm import decontaminate, ngram_join, packing, quality, secrets, substrings, vector_join
+from thetaflow.llm import decontaminate, ngram_join, packing, quality, secrets, substrings, vector_join, warc
 from thetaflow.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_secrets, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings)}
+    op1_secrets, op4_warc, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings)}
 
 ORACLE_SQL: dict[str, str] = {}
