@@ -20,9 +20,9 @@ Steps, each a Spark job over all rows:
 4. verify each document against one centre, that of most of its lists, and
    take connected components: a large group of near copies becomes one
    component through its centres, in linear work;
-5. pair documents of different components in what is left: every pair with
-   enough shared prefix shingles that the components do not link yet is
-   verified.  No pair is left out, and none inside a component is made.
+5. pair documents of different components in what is left: every pair that
+   shares l prefix shingles, and enough of them for what lies behind the
+   prefixes to make up the rest, and that no component links yet, is verified.  No pair is left out, and none inside a component is made.
 
 Verification compares whole sets, in a stream of texts grouped by centre; a centre with many candidates is dealt to several
 tasks.  Sets hold 64-bit hashes: two different shingles of one candidate pair
@@ -289,12 +289,18 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     rows = rows.join(main, "shingle")
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
     l = F.least("x.l", "y.l")
+    # The prefix that ends first in the global order is compared in full: of its set at most what lies behind it, and
+    # the shingles found to be shared, can be common.
+    behind = F.greatest(*[F.ceil(F.col(f"{t}.size") * F.lit(percent) / 100).cast("long") - F.col(f"{t}.l") for t in "xy"])
     rest = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-                   & _near("x.size", "y.size", percent)
-                   & (F.greatest("x.level", "y.level") <= l))
+                   & _near("x.size", "y.size", percent))
             .groupBy(F.col("x.rep").alias("id"), F.col("y.rep").alias("centre"))
-            .agg(F.count("*").alias("n"), F.first(l).alias("l")).where("n >= l").select("id", "centre"))
+            .agg(F.sum(F.when(F.greatest("x.level", "y.level") <= l, 1).otherwise(0)).alias("n"), F.first(l).alias("l"),
+                 F.count("*").alias("shared"), F.first(behind).alias("behind"),
+                 F.first(F.col("x.size").cast("long") + F.col("y.size")).alias("sizes"))
+            .where("n >= l").where((F.col("shared") + F.col("behind")) * (100 + percent) >= percent * F.col("sizes"))
+            .select("id", "centre"))
     rest = stored(rest, "pairs")
     if rest.isEmpty():
         final = nodes
