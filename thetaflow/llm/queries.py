@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thetaflow.llm import decontaminate, html_text, ngram_join, packing, quality, secrets, substrings, vector_join, warc
+from thetaflow.llm import decontaminate, html_text, line_dedup, ngram_join, packing, quality, secrets, substrings, vector_join, warc
 from thetaflow.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.report(table(spark, sf_dir, "pages"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_secrets, op2_html_text, op4_warc, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings)}
+    op1_secrets, op2_html_text, op3_lines, op4_warc, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings)}
 
 ORACLE_SQL: dict[str, str] = {}
