@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from thetaflow.llm import decontaminate, html_text, line_dedup, ngram_join, packing, quality, secrets, substrings, vector_join, warc
 from thetaflow.llm.common import table
+from thetaflow.llm.oracles import ORACLE_SQL  # noqa: F401
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -55,4 +56,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_secrets, op2_html_text, op3_lines, op4_warc, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings)}
 
-ORACLE_SQL: dict[str, str] = {}
+
