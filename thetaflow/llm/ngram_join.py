@@ -295,7 +295,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     rest = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
                    & _near("x.size", "y.size", percent))
-            .groupBy(F.col("x.rep").alias("id"), F.col("y.rep").alias("centre"))
+            .groupBy(F.least("x.rep", "y.rep").alias("id"), F.greatest("x.rep", "y.rep").alias("centre"))
             .agg(F.sum(F.when(F.greatest("x.level", "y.level") <= l, 1).otherwise(0)).alias("n"), F.first(l).alias("l"),
                  F.count("*").alias("shared"), F.first(behind).alias("behind"),
                  F.first(F.col("x.size").cast("long") + F.col("y.size")).alias("sizes"))
