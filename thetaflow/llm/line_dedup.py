@@ -193,7 +193,7 @@ def line_classes(lines: DataFrame, hot: DataFrame, edits: int, least: int) -> Da
     sides = (F.col("x.side").bitwiseOR(F.col("y.side")) == 3)
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sides
                    & ((F.col("y.component") == F.col("y.main")) | (F.col("x.line") < F.col("y.line"))))
-            .select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct())
+            .select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct())
     more = stored(linked(rest, texts, edits), "more-links")
     if more.isEmpty():
         return nodes
