@@ -16,7 +16,8 @@ Steps, each a Spark job over all rows:
 2. estimate frequent shingles (they only order the sets; the ``HOT_SHINGLES``
    most frequent ones are broadcast, any others sort by hash);
 3. write prefixes as postings, dealt by shingle; drop those of one document
-   only; the smallest id of a posting list is its centre;
+   only; the centre of a posting list is the document with the fewest shingles that aren't
+   frequent, which in a group of near copies is one close to most others;
 4. verify each document against one centre, that of most of its lists, and
    take connected components: a large group of near copies becomes one
    component through its centres, in linear work;
@@ -103,8 +104,9 @@ def _heads(n: int):
 
 
 def prefix(shingles: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: int,
-           most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, int]:
-    """(prefix, level of each, l): the l-prefix with the least estimated cost.
+           most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(prefix, level of each, l, rare): the l-prefix with the least estimated cost, and how many of the set's
+    shingles aren't frequent.
 
     A shingle's level is the smallest l whose l-prefix has it.
     """
@@ -129,32 +131,34 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: i
         best, l = cost, k
     level = np.ones(base + l, np.int32)
     level[base + 1:] += np.arange(1, l, dtype=np.int32)
-    return shingles[:base + l], level, l
+    return shingles[:base + l], level, l, int((often == 1).sum())
 
 
 def _postings(n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = shared.value
         for part, texts in text_runs(batches):
-            rows, shingle, level, match, size = [], [], [], [], []
+            rows, shingle, level, match, size, few = [], [], [], [], [], []
             for i, s in enumerate(shingle_sets(texts, n)):
                 if len(s):
-                    p, lv, l = prefix(s, hot, counts, percent)
+                    p, lv, l, rare = prefix(s, hot, counts, percent)
                     rows.append(np.full(len(p), i))
                     shingle.append(p)
                     level.append(lv)
                     match.append(np.full(len(p), l, np.int32))
                     size.append(np.full(len(p), len(s), np.int32))
+                    few.append(np.full(len(p), rare, np.int32))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [_longs(np.concatenate(shingle)), part.column(0).take(pa.array(np.concatenate(rows))),
-                     pa.array(np.concatenate(level)), pa.array(np.concatenate(match)), pa.array(np.concatenate(size))],
-                    names=["shingle", "id", "level", "l", "size"])
+                     pa.array(np.concatenate(level)), pa.array(np.concatenate(match)), pa.array(np.concatenate(size)),
+                     pa.array(np.concatenate(few))],
+                    names=["shingle", "id", "level", "l", "size", "rare"])
     return run
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shingle, id): drops lists of one document, adds each
+    """Rows sorted by (shingle, rare, id): drops lists of one document, adds each
     list's first row as its centre.  Holds a batch and one row."""
     held: pa.RecordBatch | None = None  # the first row of a list of which no other row has come yet
     last, centre = None, None
@@ -221,8 +225,10 @@ def _near(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (member, centre) whose texts are alike.  ``docs`` is (id, text)."""
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, few: bool = False) -> DataFrame:
+    """The (a, b) of ``pairs`` (member, centre) whose texts are alike.  ``docs`` is (id, text).
+
+    If the pairs may be ``few``, their ids are counted, and broadcast if they are."""
     degree = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("salts"))
     members = (pairs.join(degree, "centre")
                .select(F.col("id"), "centre", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
@@ -231,7 +237,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
                         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = members.unionAll(own)
     ids = wanted.select("id").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if few and ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(ids), "id", "left_semi")
     rows = docs.join(wanted, "id").select("centre", "salt", "role", "id", "text")
     return (rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
@@ -260,8 +266,8 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
 
     # reps are whole classes; copies post the same rows and fall away when ids become reps
     lists = stored(docs.where("id IS NOT NULL")
-                   .mapInArrow(_postings(n, percent, shared), "shingle long, id long, level int, l int, size int")
-                   .repartition("shingle").sortWithinPartitions("shingle", "id")
+                   .mapInArrow(_postings(n, percent, shared), "shingle long, id long, level int, l int, size int, rare int")
+                   .repartition("shingle").sortWithinPartitions("shingle", "rare", "id")
                    .mapInArrow(_lists, "shingle long, id long, level int, l int, size int, centre long, "
                                        "centre_level int, centre_l int, centre_size int"), "lists")
     # of the centres that a document shares enough with, the one it shares most with
@@ -305,7 +311,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     if rest.isEmpty():
         final = nodes
     else:
-        second = stored(verified(rest, docs, n, percent), "more-links")
+        second = stored(verified(rest, docs, n, percent, few=True), "more-links")
         final = nodes if second.isEmpty() else components(
             nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second))
     return (heads.join(final.withColumnRenamed("node", "rep"), "rep", "left")
