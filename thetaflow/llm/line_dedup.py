@@ -142,21 +142,26 @@ def common_start(a: Column, b: Column) -> Column:
 
 def alike(pairs: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b, text_a, text_b) whose texts are within ``edits`` edits."""
-    near = F.abs(F.length("text_a") - F.length("text_b")) <= edits
-    same = pairs.where(near).withColumn("skip", common_start(F.col("text_a"), F.col("text_b")))
-    cut = lambda c: F.split(F.substring(c, F.col("skip") + 1, F.length(c)), "")
-    rest = lambda c: F.when(F.col("skip") < F.length(c), cut(c)).otherwise(F.array().cast("array<string>"))
-    chars = same.select("a", "b", rest("text_a").alias("x"), rest("text_b").alias("y"))
+    # Each step's columns come out of a generator: the optimizer would else repeat their expressions in every later one.
+    def step(df: DataFrame, *columns: Column) -> DataFrame:
+        return df.select("a", "b", F.explode(F.array(F.struct(*columns))).alias("s")).select("a", "b", "s.*")
+
+    def characters(c: str) -> Column:
+        rest = F.split(F.substring(c, F.col("skip") + 1, F.length(c)), "")
+        return F.when(F.col("skip") < F.length(c), rest).otherwise(F.array().cast("array<string>"))
 
     def run(state: Column, first: Column, last: Column) -> Column:
         return F.when(last < first, state).otherwise(F.aggregate(
             F.sequence(first, F.greatest(first, last)), state, lambda s, j: _step(s, j, F.col("x"), F.col("y"), edits)))
 
-    probed = F.least(F.size("y"), F.lit(PROBE))
-    alive = (chars.withColumn("state", run(_start(edits), F.lit(1), probed))
-             .where(F.col(f"state.r{edits}") != 0))
-    done = alive.withColumn("state", run(F.col("state"), F.lit(PROBE + 1), F.size("y")))
-    return done.where(F.expr(f"shiftright(state.r{edits}, size(x) - size(y) + {edits}) & 1") == 1).select("a", "b")
+    near = pairs.where(F.abs(F.length("text_a") - F.length("text_b")) <= edits)
+    same = step(near, common_start(F.col("text_a"), F.col("text_b")).alias("skip"), F.col("text_a"), F.col("text_b"))
+    chars = step(same, characters("text_a").alias("x"), characters("text_b").alias("y"))
+    probed = run(_start(edits), F.lit(1), F.least(F.size("y"), F.lit(PROBE)))
+    alive = step(chars, F.col("x"), F.col("y"), probed.alias("state")).where(F.col(f"state.r{edits}") != 0)
+    done = step(alive, run(F.col("state"), F.lit(PROBE + 1), F.size("y")).alias("state"),
+                (F.size("x") - F.size("y") + edits).alias("end"))
+    return done.where(F.expr(f"shiftright(state.r{edits}, end) & 1") == 1).select("a", "b")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
