@@ -128,6 +128,9 @@ def window_keys(names: np.ndarray, ends: np.ndarray, n: int, rounds: int = ROUND
     starts = np.r_[0, ends[:-1]]
     count = np.maximum(ends - starts - n + 1, 0)
     total = int(count.sum())
+    if not total:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none
     begin = np.repeat(starts - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total)
     key, place = np.zeros(total, np.uint64), np.zeros(total, np.int64)
     rest = np.arange(total)  # windows without a key so far
