@@ -150,7 +150,7 @@ def test_lines(spark, monkeypatch):
             lines.append(rng.choice(("", " ", "\t")) + "".join(line))
         rows.append((i, "\n".join(lines)))
     rows += [(50, "common line of some length\n" * 9), (51, "common line of some length"), (52, "common line of some lengths"),
-             (60, None), (61, ""), (62, "\n\n"), (63, "q" * 50_000), (64, "q" * 49_999 + "r"), (None, rows[0][1])]
+             (60, None), (61, ""), (62, "\n\n"), (63, "q" * 300), (64, "q" * 299 + "r"), (None, rows[0][1])]
     got = sorted(tuple(r)[1:] for r in line_dedup.report(frame(spark, rows, True)).collect())
     assert got == sorted(x[1:] for x in brute.line_removal(rows, line_dedup.EDITS, line_dedup.LEAST))
     docs = frame(spark, rows, True)
@@ -158,6 +158,8 @@ def test_lines(spark, monkeypatch):
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
     assert {50, 60, 61, 62, 63} <= ids and not {51, 52, 64} & ids
+    long = [(1, "q" * 50_000), (2, "q" * 49_999 + "r"), (3, "rr" + "q" * 49_998), (4, "rrr" + "q" * 49_997)]
+    assert [r["n_removed"] for r in line_dedup.report(frame(spark, long)).orderBy("doc_id").collect()] == [0, 1, 1, 1]
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])

@@ -14,11 +14,14 @@ substrings that could be another line's segments, under a hash of (length,
 number, characters).  A window over each list keeps lists of different lines,
 few of all.  Then, natively:
 
-1. each line is compared with the smallest line of each of its lists, and links are
+1. each line is compared with one line, the smallest of most of its lists, and links are
    gathered into components (so a large group of near copies needs linear work);
 2. lines of different components in one list are compared: all but those of the
    list's largest component with all others.
 
+Pairs whose characters' counts already differ by more than the edits allow (64
+bits of parity for each line tell) are not compared.
+
 A comparison runs a banded bit-parallel automaton: bit d of the word for e
 errors says whether the two beginnings, of lengths j + d - edits and j,
 are within e edits; only the 2 * edits + 1 diagonals that matter have bits, whatever
@@ -74,20 +77,22 @@ def _place() -> Column:
 def posted(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(key, line, side) of lines (h1, line): side 1 for segments, 2 for substrings that may be segments, 3 for both."""
     n = edits + 1
-    size = F.length("line")
+    size = F.col("size")
     rows = []
     for i in range(n):
         for shorter in range(edits + 1):
             other = size - shorter
-            start = F.floor(F.lit(i) * other / n).cast("int")
-            length = F.floor(F.lit(i + 1) * other / n).cast("int") - start
+            start = F.expr(f"int({i} * (size - {shorter}) div {n})")
+            length = F.expr(f"int({i + 1} * (size - {shorter}) div {n}) - int({i} * (size - {shorter}) div {n})")
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                piece = F.substring("line", start + 1 + shift, length)
+                piece = F.substring(F.col("wide"), 4 * (start + shift) + 1, 4 * length)
                 side = 3 if not shorter and not shift else 2
-                rows.append(F.when(other >= least, F.struct(
-                    F.xxhash64(other, F.lit(i), piece).alias("key"), F.lit(side).cast("tinyint").alias("side"))))
-    return lines.select("h1", F.explode(F.array_compact(F.array(*rows))).alias("x")).select(
-        "x.key", F.col("h1").alias("line"), "x.side")
+                rows.append(F.struct(F.when(other >= least, F.xxhash64(other, F.lit(i), piece)).alias("key"),
+                                     F.lit(side).cast("tinyint").alias("side")))
+    # four bytes for each character: pieces are cut without reading what stands before them
+    wide = lines.select("h1", F.encode("line", "UTF-32").alias("wide")).select(
+        "h1", "wide", (F.octet_length("wide") / 4).cast("int").alias("size"))
+    return wide.select(F.col("h1").alias("line"), F.inline(F.array(*rows))).where("key IS NOT NULL")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -99,6 +104,13 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- verification
 
+def odd(line: Column) -> Column:
+    """64 bits: which classes of characters occur an odd number of times.  An edit changes two bits at most."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(
+        F.call_function("shiftleft", one, F.pmod(F.ascii(c), F.lit(64)))))
+
+
 def _step(state: Column, j: Column, a: Column, b: Column, edits: int) -> Column:
     """The automaton's words after character j (from 1) of b; word e has the diagonals within e errors."""
     width = 2 * edits + 1
@@ -182,12 +194,18 @@ def line_classes(lines: DataFrame, hot: DataFrame, edits: int, least: int) -> Da
     ids = lists.select(F.col("line").alias("h1")).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = stored(lines.select("h1", "line").join(ids, "h1", "left_semi").distinct(), "texts")
-    pairs = (lists.join(lists.groupBy("key").agg(F.min("line").alias("centre")), "key").where("line <> centre")
-             .select(F.col("line").alias("a"), F.col("centre").alias("b")).distinct())
+    texts = stored(lines.select("h1", "line").join(ids, "h1", "left_semi").distinct().withColumn("odd", odd(F.col("line"))),
+                   "texts")
+    rows = stored(lists.join(texts.select(F.col("h1").alias("line"), "odd"), "line"), "signed-lists")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2 * edits
+    centres = (rows.groupBy("key").agg(F.min(F.struct("line", "odd")).alias("c"))
+               .select("key", F.col("c.line").alias("centre"), F.col("c.odd").alias("centre_odd")))
+    pairs = (rows.join(centres, "key").where((F.col("line") != F.col("centre")) & near("odd", "centre_odd"))
+             .groupBy("line", "centre").agg(F.count("*").alias("n"))
+             .groupBy("line").agg(F.max_by("centre", F.struct("n", "centre")).alias("b")).select(F.col("line").alias("a"), "b"))
     found = stored(linked(pairs, texts, edits), "links")
     nodes = components(found)
-    rows = lists.join(nodes.withColumnRenamed("node", "line"), "line", "left").withColumn(
+    rows = rows.join(nodes.withColumnRenamed("node", "line"), "line", "left").withColumn(
         "component", F.coalesce("component", "line"))
     main = (rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
             .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"))
@@ -197,7 +215,7 @@ def line_classes(lines: DataFrame, hot: DataFrame, edits: int, least: int) -> Da
     # one of the two posts the key as a segment, the other as a substring
     sides = (F.col("x.side").bitwiseOR(F.col("y.side")) == 3)
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sides
-                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.line") < F.col("y.line"))))
+                   & near("x.odd", "y.odd") & ((F.col("y.component") == F.col("y.main")) | (F.col("x.line") < F.col("y.line"))))
             .select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct())
     more = stored(linked(rest, texts, edits), "more-links")
     if more.isEmpty():
