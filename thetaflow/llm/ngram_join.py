@@ -292,7 +292,9 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     per = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
                                       F.count("*").alias("k")).where("k > 1").select("shingle", "main")
-    rows = rows.join(main, "shingle")
+    rows = stored(rows.join(main, "shingle"), "mixed")
+    # in how many such lists a document is: no pair shares more
+    rows = rows.join(rows.groupBy("rep").agg(F.count("*").alias("lists")), "rep")
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
     l = F.least("x.l", "y.l")
     # The prefix that ends first in the global order is compared in full: of its set at most what lies behind it, and
@@ -300,7 +302,9 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     behind = F.greatest(*[F.ceil(F.col(f"{t}.size") * F.lit(percent) / 100).cast("long") - F.col(f"{t}.l") for t in "xy"])
     rest = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-                   & _near("x.size", "y.size", percent))
+                   & _near("x.size", "y.size", percent)
+                   & ((F.least("x.lists", "y.lists") + behind) * (100 + percent)
+                      >= percent * (F.col("x.size").cast("long") + F.col("y.size"))))
             .groupBy(F.least("x.rep", "y.rep").alias("id"), F.greatest("x.rep", "y.rep").alias("centre"))
             .agg(F.sum(F.when(F.greatest("x.level", "y.level") <= l, 1).otherwise(0)).alias("n"), F.first(l).alias("l"),
                  F.count("*").alias("shared"), F.first(behind).alias("behind"),
