@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from thetaflow.session import checkpoint_dir
 
 #: Work inside a Python task is cut into runs of about this many text bytes,
 #: so memory does not follow the Arrow batch size or a table's longest texts.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -131,10 +132,16 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
 
 def text_runs(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches of bounded size, each with its texts (null: empty)."""
+    for part in sliced(batches, text):
+        yield part, [t or b"" for t in texts_of(part.column(text))]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of bounded text size; only one is held as Python objects at a time."""
     for batch in batches:
-        texts = [t or b"" for t in texts_of(batch.column(text))]
-        for a, b in runs([len(t) + 64 for t in texts]):
-            yield batch.slice(a, b - a), texts[a:b]
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy() + 64
+        for a, b in runs(sizes.tolist()):
+            yield batch.slice(a, b - a)
 
 
 # -------------------------------------------------------- connected components

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thetaflow.llm.common import WordHashes, text_runs, texts_of, window_hashes
+from thetaflow.llm.common import WordHashes, sliced, text_runs, texts_of, window_hashes
 
 WINDOW = 10
 BLOCK_CHARS = 16_000_000
@@ -176,7 +176,7 @@ def _marker(block, at: int):
     """Adds one block's hits to the last column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, cache = block.value, WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, at):
             hits = [[{"start": a, "end": b} for a, b in _found(windows, cache, text, before)[1]]
                     for text, before in zip(texts_of(batch.column(at)), batch.columns[-1].to_pylist())]
             cache.trim()
@@ -188,7 +188,7 @@ def _marker(block, at: int):
 def _cleaner(block, drop_share: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, cache = block.value, WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, at):
             keep, new = [], []
             for text, before in zip(texts_of(batch.column(at)), batch.columns[-1].to_pylist()):
                 words, ranges = _found(windows, cache, text, before)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thetaflow.llm.common import runs, stored, texts_of
+from thetaflow.llm.common import stored, text_runs
 
 CAPACITY = 1024
 END_ID = 2
@@ -102,28 +102,26 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
-            texts = [t or b"" for t in texts_of(batch.column(1))]
-            for a, b in runs([len(t) + 64 for t in texts]):
-                doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i in range(a, b):
-                    all_ids = np.array([*encode.ids(texts[i]), end_id], "<u4")
-                    for k, (s, n) in enumerate(cuts(len(all_ids), capacity)):
-                        part = all_ids[s:s + n]
-                        doc.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(part.tobytes()))
-                        if with_ids:
-                            ids.append(part)
-                columns = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()),
-                           pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part, texts in text_runs(batches):
+            doc, piece, start, length, crc, ids = [], [], [], [], [], []
+            for i, text in enumerate(texts):
+                all_ids = np.array([*encode.ids(text), end_id], "<u4")
+                for k, (s, n) in enumerate(cuts(len(all_ids), capacity)):
+                    own = all_ids[s:s + n]
+                    doc.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(n)
+                    crc.append(zlib.crc32(own.tobytes()))
+                    if with_ids:
+                        ids.append(own)
+            columns = [part.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()),
+                       pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = _PIECES.format(id=kind) + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -47,7 +47,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thetaflow.llm.common import hashed_words, mix, stored, text_runs, texts_of, window_hashes
+from thetaflow.llm.common import hashed_words, mix, sliced, stored, text_runs, texts_of, window_hashes
 
 WINDOW = 13
 #: Rounds of runs and pairs.  More rounds give longer symbols that depend on more words around them; in 13 words
@@ -329,7 +329,7 @@ def kept_words(text: bytes, ranges: list[dict] | None, n: int) -> tuple[list[byt
 
 def _digest(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             count, removed, sha = [], [], []
             for text, ranges in zip(texts_of(batch.column(1)), batch.column(3).to_pylist()):
                 kept, total = kept_words(text or b"", ranges, n)
@@ -344,7 +344,7 @@ def _digest(n: int):
 
 def _texts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             new = [None if t is None else b" ".join(kept_words(t, r, n)[0]) if r else t
                    for t, r in zip(texts_of(batch.column(1)), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.binary()).cast(pa.string())],
