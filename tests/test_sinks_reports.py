@@ -1,23 +1,46 @@
 import datetime as dt
-import os
-import tempfile
 
-from thetaflow.plans import report
-from thetaflow.plans.queries import FIXTURE_PARAMS, _backtest
+import pytest
+from pyspark.sql import functions as F
+
+from thetaflow.functions.columns import c
+from thetaflow.operators import regimes, series, stats
+from thetaflow.params import StraddleParams
+from thetaflow.plans import dataset, report
+from thetaflow.plans.queries import FIXTURE_PARAMS, _backtest, _market
 from thetaflow.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_csv_round_trip_and_parquet_sink(spark):
+def test_csv_round_trip_keeps_every_column(spark, tmp_path):
+    legacy = dataset.legacy_backtest(*_market(spark, SF), FIXTURE_PARAMS).withColumn("decile", F.lit("D3"))
+    sinks.write_csv(legacy, str(tmp_path / "csv"))
+    for back in (sinks.read_csv_with_dates(spark, str(tmp_path / "csv"), date_cols=("date", "expiration")),
+                 sinks.read_csv_with_dates(spark, str(tmp_path / "csv"), schema=legacy.schema)):
+        assert back.columns == legacy.columns
+        for name in ("date", "expiration"):
+            assert isinstance(back.first()[name], dt.date)
+        for name in legacy.columns:
+            assert back.where(c(name).isNull()).count() == legacy.where(c(name).isNull()).count(), name
+        pnl = next(x for x in legacy.columns if x.endswith("_pnl"))
+        assert back.agg(F.sum(pnl)).first()[0] == pytest.approx(legacy.agg(F.sum(pnl)).first()[0])
+
+
+def test_csv_cells_without_the_type_are_not_lost(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("date,a\n2024-01-02,1.5\n2024-01-03,oops\n")
+    assert [r["a"] for r in sinks.read_csv_with_dates(spark, str(tmp_path / "x.csv")).collect()] == ["1.5", "oops"]
+    with pytest.raises(Exception):
+        sinks.read_csv_with_dates(spark, str(tmp_path / "x.csv"), "date date, a double").collect()
+    (tmp_path / "y.csv").write_text("date,a\n2024-01-02,1\nsoon,2\n")
+    with pytest.raises(Exception):
+        sinks.read_csv_with_dates(spark, str(tmp_path / "y.csv")).collect()
+
+
+def test_parquet_sink(spark, tmp_path):
     bt = _backtest(spark, SF)
-    root = tempfile.mkdtemp(prefix="thetaflow-sink-", dir="/tmp")
-    sinks.write_csv(bt.select("date", "ret_uprc_signal_pnl"), os.path.join(root, "csv"))
-    back = sinks.read_csv_with_dates(spark, os.path.join(root, "csv"))
-    assert back.count() == bt.count()
-    assert isinstance(back.first()["date"], dt.date)
-    sinks.write_dataset(bt, os.path.join(root, "pq"))
-    assert spark.read.parquet(os.path.join(root, "pq")).where("securityid = 108105").count() == bt.count()
+    sinks.write_dataset(bt, str(tmp_path / "pq"))
+    assert spark.read.parquet(str(tmp_path / "pq")).where("securityid = 108105").count() == bt.count()
 
 
 def test_reports_build(spark):
@@ -36,3 +59,81 @@ def test_reports_per_underlying(spark):
     out = report.strategy_report(bt, group_cols=("securityid",), checkpoint=False)
     assert out["pnl_stats_total"].count() == 14
     assert "securityid" in out["sharpe_by_vol_decile"].columns
+
+
+def test_null_group_keeps_its_rows(spark):
+    rows = [(g, float(i % 7), float(i), dt.date(2024, 1, 1) + dt.timedelta(i)) for g in (None, "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, s_pos double, s double, date date").withColumn("s_pnl", F.col("s") - 9)
+    got = {r["g"]: r["p50"] for r in stats.describe(df, ["s"], group_cols=("g",)).collect()}
+    assert got == {None: 19.5, "a": 19.5}
+    deciles = regimes.sharpe_by_decile(df, ["s"], group_cols=("g",)).groupBy("g").count().collect()
+    assert {r["g"] for r in deciles} == {None, "a"} and len({r["count"] for r in deciles}) == 1
+    pnl = stats.pnl_statistics(df, "s_pnl", group_cols=("g",)).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in pnl} == {None: 14, "a": 14}
+
+
+def test_pooled_pnl_does_not_depend_on_row_order(spark):
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(i), float((i * 37 + k * 11) % 23 - 11)) for k in range(100) for i in range(60)]
+    df = spark.createDataFrame(rows, "securityid int, date date, pnl double")
+    got = [sorted(map(tuple, stats.pnl_statistics(x, "pnl").collect()))
+           for x in (df.repartition(7, "date"), df.repartition(3, "securityid"), df.orderBy(F.desc("pnl")))]
+    for other in got[1:]:
+        assert [a for a, _ in got[0]] == [a for a, _ in other]
+        for (_, a), (_, b) in zip(got[0], other):
+            assert (a is None and b is None) or a == pytest.approx(b, rel=1e-9)
+    plan = stats.pnl_statistics(df, "pnl")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(isnull" not in plan
+
+
+def test_histogram_has_every_bin_and_no_product(spark):
+    df = spark.createDataFrame([(0.0,), (0.1,), (10.0,)], "x double")
+    out = series.histogram(df, "x", bins=10)
+    rows = out.orderBy("bin").collect()
+    assert [r["count"] for r in rows] == [2] + [0] * 8 + [1]
+    assert sum(r["density"] * (r["bin_end"] - r["bin_start"]) for r in rows) == pytest.approx(1)
+    assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interval_labels(spark):
+    arr = F.array(F.lit(-2.0), F.lit(0.5))
+    got = spark.range(1, 4).select(regimes.interval_label(F.col("id").cast("int"), arr).alias("x")).collect()
+    assert [r["x"] for r in got] == ["<= -2.00", "(-2.00, 0.50]", "> 0.50"]
+
+
+def test_all_underlyings_without_a_list(spark):
+    options, prices = _market(spark, SF)
+    one = dataset.backtest_1dte(options, prices, FIXTURE_PARAMS).count()
+    assert dataset.backtest_1dte(options, prices, StraddleParams(underlyings=None, min_date=FIXTURE_PARAMS.min_date)).count() == one
+
+
+def test_nan_is_a_missing_value_for_the_ewma(spark):
+    from thetaflow.functions.ewma import add_ewma
+
+    n = 2000  # over a chunk border at half-life 1
+    rows = [(dt.date(2000, 1, 1) + dt.timedelta(i), float("nan") if i in (100, 800) else float(i % 13)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "date date, x double")
+    with_nan = {r["date"]: r["e"] for r in add_ewma(frame, {"x": "e"}, 1).collect()}
+    nulls = frame.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    assert with_nan == {r["date"]: r["e"] for r in add_ewma(nulls, {"x": "e"}, 1).collect()}
+    assert sum(v is None for v in with_nan.values()) == 2
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from thetaflow import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return None
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())

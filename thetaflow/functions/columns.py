@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,14 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                broadcast: bool = False) -> DataFrame:
+    """Join on group keys of which a null is a value like any other."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_right_{k}")) for k in keys])
+    return left.join(F.broadcast(right) if broadcast else right, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def all_not_null(cols: Iterable[str]) -> Column:
     """Conjunction ``c1 IS NOT NULL AND ...`` (one expression, cheap to build)."""
     terms = [f"{quote(n)} IS NOT NULL" for n in cols]

@@ -10,7 +10,8 @@ mean in O(n).
 
 ``2^(j/h)`` overflows after ~1000*h rows, so each series is cut into chunks
 of ``K`` rows with ``c`` = end of the chunk, and the last ``60*h`` rows of a
-chunk are copied into the next one as warm-up.  Observations older than the
+chunk are copied into the next one as warm-up.  A NaN is a missing value like
+a null: it has no mean, and none of the rows after it counts it.  Observations older than the
 warm-up carry a relative weight below 2^-60, so the result equals the full
 recursion to double precision.  The chunk column refines the series
 partitioning, so no extra shuffle is needed.
@@ -44,7 +45,7 @@ def add_ewma(df: DataFrame, cols: dict[str, str], half_life: int, series_keys: S
     w = Window.partitionBy(*series_keys, CHUNK).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     exprs = {}
     for src, dst in cols.items():
-        x = c(src)
+        x = F.when(~F.isnan(c(src)), c(src))
         num = F.sum(F.when(x.isNotNull(), weight * x)).over(w)
         den = F.sum(F.when(x.isNotNull(), weight)).over(w)
         exprs[dst] = F.when(x.isNotNull(), F.try_divide(num, den))

@@ -28,14 +28,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thetaflow.functions.columns import join_groups
+
 BUCKETS = 1024
 ACCURACY = 10_000
 V, B, CNT = "_qv", "_qb", "_qc"
 
 
-ALL = "_qall"
-
-
 def breaks_below(breaks: Column, x: Column, max_breaks: int) -> Column:
     """Number of sorted ``breaks`` strictly below ``x`` by binary search:
     ``log2`` steps per row instead of a scan of every break."""
@@ -53,13 +52,6 @@ def breaks_below(breaks: Column, x: Column, max_breaks: int) -> Column:
     return F.aggregate(arr, F.lit(0), advance)
 
 
-def _keyed(df: DataFrame, keys: Sequence[str]):
-    """With no grouping keys, group everything under one constant key."""
-    if keys:
-        return df, list(keys)
-    return df.withColumn(ALL, F.lit(0)), [ALL]
-
-
 def _sketched(df: DataFrame, value: Column, keys: Sequence[str], buckets: int, accuracy: int,
               small: bool) -> DataFrame:
     """Distinct non-null values per (group, bucket) with their multiplicity.
@@ -70,7 +62,10 @@ def _sketched(df: DataFrame, value: Column, keys: Sequence[str], buckets: int, a
     v = df.select(*keys, value.cast("double").alias(V)).where(F.col(V).isNotNull())
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     sk = v.groupBy(*keys).agg(F.percentile_approx(V, probs, accuracy).alias("_br"))
-    vb = v.join(F.broadcast(sk) if small else sk, list(keys))
+    if keys:
+        vb = join_groups(v, sk, keys, broadcast=small)
+    else:
+        vb = v.withColumn("_br", sk.scalar())
     bucket = breaks_below(F.col("_br"), F.col(V), buckets - 1)
     return vb.groupBy(*keys, bucket.alias(B), F.col(V)).agg(F.count(F.lit(1)).alias(CNT))
 
@@ -104,7 +99,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
     broadcast; otherwise joins are left to AQE.
     """
     small = small_groups or not keys
-    df, keys = _keyed(df, keys)
+    keys = list(keys)
     distinct = _sketched(df, value, keys, buckets, accuracy, small)
     offsets = _offsets(distinct, keys)
     n1 = F.col("_n") - 1
@@ -113,7 +108,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
     need = offsets.select(*keys, B, "_off", "_n", F.filter(targets.cast("array<long>"), lambda k: (
         k >= F.col("_off")) & (k < F.col("_off") + F.col("_bc"))).alias("_ks")).where(F.size("_ks") > 0)
     # at most 2 x len(probs) buckets per group
-    wanted = distinct.join(F.broadcast(need) if small else need, [*keys, B])
+    wanted = join_groups(distinct, need, [*keys, B], broadcast=small)
     ranked = _ranked_values(wanted, keys)
     hits = ranked.select(*keys, "_n", F.explode(F.filter("_ks", lambda k: (k >= F.col("_lo")) & (
         k < F.col("_hi")))).alias("_qk"), V)
@@ -125,7 +120,8 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
         lo_k, hi_k = F.floor(pos), F.ceil(pos)
         lo_v, hi_v = F.element_at("_m", lo_k.cast("long")), F.element_at("_m", hi_k.cast("long"))
         qs.append(lo_v + (hi_v - lo_v) * (pos - lo_k))
-    return at.select(*[k for k in keys if k != ALL], F.array(*qs).alias(name))
+    out = at.select(*keys, F.array(*qs).alias(name))
+    return out if keys else out.where(F.col(name)[0].isNotNull())
 
 
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = BUCKETS,
@@ -133,9 +129,9 @@ def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), buckets:
     """Per group of ``keys``: every distinct non-null ``value`` with its 1-based
     average rank (ties share the mean of their positions)."""
     small = small_groups or not keys
-    df, keys = _keyed(df, keys)
+    keys = list(keys)
     distinct = _sketched(df, F.col(f"`{value}`"), keys, buckets, accuracy, small)
     offsets = _offsets(distinct, keys).select(*keys, B, "_off")
-    ranked = _ranked_values(distinct.join(F.broadcast(offsets) if small else offsets, [*keys, B]), keys)
+    ranked = _ranked_values(join_groups(distinct, offsets, [*keys, B], broadcast=small), keys)
     avg = F.col("_lo") + (F.col(CNT) + 1) / 2.0
-    return ranked.select(*[k for k in keys if k != ALL], F.col(V).alias(value), avg.alias(name))
+    return ranked.select(*keys, F.col(V).alias(value), avg.alias(name))

@@ -31,8 +31,11 @@ from thetaflow.params import StraddleParams
 STRIKE_SCALE = 1 / 1000  # strikes are stored in thousandths of a point
 
 
-def _ids(params: StraddleParams):
-    return [int(i) for i in params.underlyings]
+def wanted(params: StraddleParams):
+    """Predicate for the underlyings asked for; all of them if none are named."""
+    if params.underlyings is None:
+        return F.col("securityid").isNotNull()
+    return F.col("securityid").isin([int(i) for i in params.underlyings])
 
 
 def base_chain(options: DataFrame, prices: DataFrame,
@@ -42,9 +45,8 @@ def base_chain(options: DataFrame, prices: DataFrame,
     Columns: securityid, okey_cp, okey_xx (raw strike), date, expiration,
     sprc (mid quote), uprc (underlying close), strike.
     """
-    ids = _ids(params)
     opt = (
-        options.where(F.col("securityid").isin(ids))
+        options.where(wanted(params))
         .where(F.col("date") >= F.lit(params.min_date))
         .select(
             "securityid",
@@ -55,7 +57,7 @@ def base_chain(options: DataFrame, prices: DataFrame,
             ((F.col("bestbid") + F.col("bestoffer")) / 2).alias("sprc"),
         )
     )
-    px = prices.where(F.col("securityid").isin(ids)).select(
+    px = prices.where(wanted(params)).select(
         "securityid", "date", F.col("closeprice").alias("uprc"))
     return opt.join(px, ["securityid", "date"], "inner").select(
         "securityid", "okey_cp", F.col("strike").alias("okey_xx"), "date",

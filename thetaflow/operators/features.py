@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thetaflow.functions.columns import c, series_window
 from thetaflow.functions.ewma import add_ewma
+from thetaflow.operators.chain import wanted
 from thetaflow.params import FeatureParams, StraddleParams
 
 
@@ -19,8 +20,7 @@ def log_returns(prices: DataFrame, params: StraddleParams = StraddleParams()) ->
     (``ln`` is null) drop out.  Both windows share the ``securityid``
     partitioning, so the per-date de-duplication adds a sort, not a shuffle.
     """
-    ids = [int(i) for i in params.underlyings]
-    px = prices.where(F.col("securityid").isin(ids)).select("securityid", "date", "closeprice")
+    px = prices.where(wanted(params)).select("securityid", "date", "closeprice")
     w = Window.partitionBy("securityid").orderBy("date", "closeprice")
     lc = F.ln("closeprice")
     ret = px.withColumn("ret", lc - F.lag(lc).over(w)).where(F.col("ret").isNotNull())

@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thetaflow.functions.columns import c, fixed_decimals, sharpe
+from thetaflow.functions.columns import c, fixed_decimals, join_groups, sharpe
 from thetaflow.functions.quantiles import exact_quantiles
 from thetaflow.params import AnalysisParams
 
@@ -78,7 +78,7 @@ def sharpe_by_decile(df: DataFrame, signal_bases: Sequence[str], columns: Sequen
                              small_groups=not group_cols)
     # One row per (signal, column, side): bounded by the configuration when
     # no series keys are given, so broadcast; per-series tables go to AQE.
-    with_breaks = long.join(F.broadcast(breaks) if not group_cols else breaks, keys)
+    with_breaks = join_groups(long, breaks, keys, broadcast=not group_cols)
     out = _bucket_stats(with_breaks, quantile_bucket(F.col("x"), F.col("breaks")), params, group_cols)
     return out.select(
         *group_cols, *KEYS, "bucket",
@@ -88,12 +88,12 @@ def sharpe_by_decile(df: DataFrame, signal_bases: Sequence[str], columns: Sequen
     )
 
 
-def fixed_bin_labels(breaks: Sequence[float]) -> list[str]:
-    b = sorted(set(float(x) for x in breaks))
-    labels = [f"<= {b[0]:.2f}"]
-    labels += [f"({b[i]:.2f}, {b[i + 1]:.2f}]" for i in range(len(b) - 1)]
-    labels.append(f"> {b[-1]:.2f}")
-    return labels
+def interval_label(bucket: Column, breaks: Column) -> Column:
+    """What a right-closed bucket holds, with two decimals; the first and the last are open at one end."""
+    below, upto = (fixed_decimals(F.get(breaks, bucket - k)) for k in (2, 1))
+    return (F.when(F.get(breaks, bucket - 2).isNull(), F.concat(F.lit("<= "), upto))
+            .when(F.get(breaks, bucket - 1).isNull(), F.concat(F.lit("> "), below))
+            .otherwise(F.concat(F.lit("("), below, F.lit(", "), upto, F.lit("]"))))
 
 
 def sharpe_by_fixed_bin(df: DataFrame, signal_bases: Sequence[str], columns: Sequence[str],
@@ -101,10 +101,7 @@ def sharpe_by_fixed_bin(df: DataFrame, signal_bases: Sequence[str], columns: Seq
     """Sharpe by fixed right-closed bins ``(a, b]`` of each column, per side."""
     if not params.fixed_breaks:
         raise ValueError("fixed_breaks must contain at least one break")
-    b = sorted(set(float(x) for x in params.fixed_breaks))
-    labels = fixed_bin_labels(b)
     long = _long(df, columns, signal_bases, group_cols)
-    arr = F.array(*[F.lit(v) for v in b])
+    arr = F.array_sort(F.array_distinct(F.array(*[F.lit(float(v)) for v in params.fixed_breaks])))
     out = _bucket_stats(long, quantile_bucket(F.col("x"), arr), params, group_cols)
-    label = F.element_at(F.array(*[F.lit(s) for s in labels]), F.col("bucket"))
-    return out.select(*group_cols, *KEYS, "bucket", label.alias("BinLabel"), "SharpeRatio")
+    return out.select(*group_cols, *KEYS, "bucket", interval_label(F.col("bucket"), arr).alias("BinLabel"), "SharpeRatio")

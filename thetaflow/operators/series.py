@@ -121,14 +121,12 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
     ``auto`` is the rule of NumPy 1.26, the version the reference runs with:
     the smaller of the Freedman-Diaconis and Sturges widths (Sturges alone
     when the IQR is 0; NumPy 2 additionally caps the FD bin count); edges are evenly spaced from min to
-    max, the last bin is closed.  Non-empty bins are returned with their
-    edges, count and density ``count / width / n``.  The shape parameters
+    max, the last bin is closed.  All bins are returned with their edges, count and density ``count / width / n``.  The shape parameters
     come from one aggregate used as a single struct-valued scalar subquery.
     """
-    v = _clean_values(df, col, limit).withColumn("_hk", F.lit(0))
-    s = v.groupBy("_hk").agg(F.count("x").cast("double").alias("n"), F.min("x").alias("lo"),
-                             F.max("x").alias("hi")).join(
-        exact_quantiles(v, F.col("x"), [0.75, 0.25], ["_hk"], name="q", small_groups=True), "_hk")
+    v = _clean_values(df, col, limit)
+    s = v.agg(F.count("x").cast("double").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn(
+        "q", exact_quantiles(v, F.col("x"), [0.75, 0.25], name="q").scalar())
     n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
     first = F.when(lo == hi, lo - 0.5).otherwise(lo)
     last = F.when(lo == hi, hi + 0.5).otherwise(hi)
@@ -144,7 +142,6 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
              .select(F.struct("n", "first", "last", "nb",
                               ((F.col("last") - F.col("first")) / F.col("nb")).alias("step")).alias("p")))
     p = shape.scalar()
-    pn, pf, pl, pb, ps = p["n"], p["first"], p["last"], p["nb"], p["step"]
     x = F.col("x")
     vv = v.select(x, p.alias("_p"))  # the struct subquery is attached once
     pn, pf, pl, pb, ps = (F.col(f"_p.{k}") for k in ("n", "first", "last", "nb", "step"))
@@ -157,10 +154,16 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto", limit: float |
     i1 = F.when(x < edge(F.col("i0")), F.col("i0") - 1).otherwise(F.col("i0"))
     step2 = step1.select("x", "_p", i1.alias("i1"))
     idx = F.when((x >= edge(F.col("i1") + 1)) & (F.col("i1") != pb - 1), F.col("i1") + 1).otherwise(F.col("i1"))
-    counts = step2.select(idx.alias("bin"), "_p").groupBy("bin").agg(
-        F.count(F.lit(1)).alias("count"), F.first("_p").alias("_p"))
-    left, right = edge(F.col("bin")), edge(F.col("bin") + 1)
-    return counts.select(
+    counts = step2.select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    # every bin of the range, also those without a value; one row per bin
+    bins_ = shape.where("p.n > 0").select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.nb") - 1)).alias("bin"))
+    pn, pf, pl, pb, ps = (F.col(f"p.{k}") for k in ("n", "first", "last", "nb", "step"))
+
+    def end(i):
+        return F.when(i >= pb, pl).otherwise(pf + i * ps)
+
+    left, right = end(F.col("bin")), end(F.col("bin") + 1)
+    return bins_.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))).select(
         "bin", left.alias("bin_start"), right.alias("bin_end"), "count",
         F.try_divide(F.try_divide(F.col("count").cast("double"), right - left), pn).alias("density"),
     )

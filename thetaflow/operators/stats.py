@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thetaflow.functions.columns import all_not_null, c, finite_or_null, sharpe
+from thetaflow.functions.columns import all_not_null, c, finite_or_null, join_groups, sharpe
 from thetaflow.functions.quantiles import average_ranks, exact_quantiles
 from thetaflow.params import AnalysisParams
 
@@ -57,7 +57,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
     )
     # one row per (group, column): bounded by the number of columns x series
     qs = exact_quantiles(long, v, ps, keys, name="_q", small_groups=not group_cols)
-    out = moments.join(qs, keys, "left")
+    out = join_groups(moments, qs, keys, "left")
     return out.select(
         *group_cols, "column", "count", "null_count", "mean", "std", "min",
         *[F.col("_q")[i].alias(percentile_name(p)) for i, p in enumerate(ps)], "max",
@@ -122,27 +122,29 @@ NOTEBOOK_STAT_NAMES = (  # fixed values: labels of the notebook variant (trailin
 def _pnl_moments(df: DataFrame, pnl_col: str, order_by: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
     """Single aggregate row (per group) of everything the PnL reports need.
 
-    The rolling 5/20-row sums run over the series with nulls removed: the
-    window is partitioned by ``is null`` as well, so null rows form their own
-    partition and never enter a frame.
+    The PnL is that of the group's portfolio: summed by day first (partial
+    aggregation; a day without any PnL stays null), so the series that the
+    rolling windows sort has one row per trading day however many underlyings
+    there are, and no result depends on the order of equal dates.  A rolling
+    sum covers 5 or 20 days with a PnL.
     """
-    x = c(pnl_col)
-    w = Window.partitionBy(*group_cols, x.isNull()).orderBy(*order_by)
+    keys = list(group_cols)
+    daily = df.groupBy(*keys, *order_by).agg(F.sum(c(pnl_col)).alias("_x"))
+    days = daily.where(F.col("_x").isNotNull())
+    x, series = F.col("_x"), Window.partitionBy(*keys)
+    w = series.orderBy(*order_by)
 
     def rolling(n):
         f = w.rowsBetween(-(n - 1), 0)
-        return F.when(x.isNotNull() & (F.count(x).over(f) == n), F.sum(x).over(f))
-
-    # The series mean as a window aggregate on the same partitioning, so the
-    # central moments are two-pass (skewness / kurtosis never divide by an
-    # underflowed zero; Spark's one-pass skewness raises under ANSI there).
-    mu = F.avg(x).over(Window.partitionBy(*group_cols, x.isNull()))
-    base = df.select(*group_cols, x.alias("_x"), rolling(5).alias("_r5"), rolling(20).alias("_r20"),
-                     (x - mu).alias("_d"))
+        return F.when(F.count(x).over(f) == n, F.sum(x).over(f))
+
+    # Central moments in two passes: skewness and kurtosis never divide by an
+    # underflowed zero (Spark's one-pass skewness raises under ANSI there).
+    base = days.select(*keys, x, rolling(5).alias("_r5"), rolling(20).alias("_r20"), (x - F.avg(x).over(series)).alias("_d"))
     v, d = F.col("_x"), F.col("_d")
     m2 = F.avg(d * d)
     aggs = [
-        F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"), F.count(F.when(v > 0, 1)).alias("wins"),
         F.max(v).alias("max"), F.min(v).alias("min"), F.min("_r5").alias("w5"), F.min("_r20").alias("w20"),
         F.try_divide(F.avg(d * d * d), F.pow(m2, 1.5)).alias("skew"),
@@ -150,7 +152,10 @@ def _pnl_moments(df: DataFrame, pnl_col: str, order_by: Sequence[str], group_col
         F.avg(F.when(v > 0, v)).alias("avg_win"), F.avg(F.when(v < 0, v)).alias("avg_loss"),
         F.sum(v).alias("total"),
     ]
-    return base.groupBy(*group_cols).agg(*aggs) if group_cols else base.agg(*aggs)
+    if not keys:
+        return base.agg(*aggs).withColumn("n_rows", daily.agg(F.count("*")).scalar())
+    rows = daily.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    return join_groups(rows, base.groupBy(*keys).agg(*aggs), keys, "left").fillna(0, ["n"])
 
 
 def pnl_statistics(df: DataFrame, pnl_col: str, params: AnalysisParams = AnalysisParams(),

@@ -39,7 +39,7 @@ FIXED_BREAKS = (-2, -1, -0.5, 0, 0.5, 1, 2)
 
 @dataclass(frozen=True)
 class StraddleParams:
-    underlyings: tuple[int, ...] = (UNDERLYING_ID,)
+    underlyings: tuple[int, ...] | None = (UNDERLYING_ID,)  # None: all
     min_date: datetime.date = DEFAULT_MIN_DATE
     date_problems: tuple[datetime.date, ...] = DATE_PROBLEMS
 

@@ -12,6 +12,7 @@ import math
 import threading
 from statistics import NormalDist
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thetaflow.operators import chain, features, regimes, series, signals, stats, vol
@@ -20,7 +21,10 @@ from thetaflow.plans import dataset
 from thetaflow.plans.oracle_fixtures import with_fixtures
 from thetaflow.plans.registry import register
 from thetaflow.session import reliable_checkpoint
-from thetaflow.sources.fixtures import fixture_catalog
+from thetaflow.sources.fixtures import fixture_catalog, materialize_fixtures
+
+#: z-scores near zero come out of a cancellation.
+ZSCORES = {f"{x}_ewma_hl_5_zscore": 9 for x in ("VIX", "VVIX", "VIX_TS")}
 
 FIXTURE_PARAMS = StraddleParams(underlyings=(108105,), min_date=datetime.date(1995, 1, 1))
 
@@ -175,13 +179,13 @@ def q_vol_ewma(spark, sf_dir):
     return features.add_vol_ewma(vol.vol_table(_market(spark, sf_dir)[1]))
 
 
-@register("vol_zscore", with_fixtures(_vol_all(), "SELECT * FROM vol_z"), exact=("date",))
+@register("vol_zscore", with_fixtures(_vol_all(), "SELECT * FROM vol_z"), exact=("date",), decimals=ZSCORES)
 def q_vol_zscore(spark, sf_dir):
     return features.add_vol_zscore(vol.vol_table(_market(spark, sf_dir)[1]))
 
 
 @register("vol_zscore_gappy", with_fixtures(_vol_all("security_price_gappy", 10), "SELECT * FROM vol_z",
-                                            gappy=True), exact=("date",))
+                                            gappy=True), exact=("date",), decimals=ZSCORES)
 def q_vol_zscore_gappy(spark, sf_dir):
     prices = _market(spark, sf_dir, gappy=True)[1]
     return features.add_vol_zscore(vol.vol_table(prices), FeatureParams(zscore_window=10))
@@ -266,38 +270,39 @@ def _backtest(spark, sf_dir):
     return dataset.backtest_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS)
 
 
-_REPORT_INPUTS: dict = {}
+_REPORT_INPUTS: dict[str, DataFrame] = {}
 _REPORT_LOCK = threading.Lock()
 
 
 def _report_input(spark, sf_dir):
-    """The backtest, computed once per session and checkpointed to the shared
-    checkpoint folder; the analysis reports all read it, as the reference's
-    report notebook runs every analysis on one backtest frame."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The backtest that the analysis reports read, cut off the plan by a
+    reliable checkpoint (each report scans it several times).  It is kept for
+    the derived market data that it comes from, which are written anew when
+    the tables change."""
+    root = materialize_fixtures(spark, sf_dir)
     with _REPORT_LOCK:
-        if key not in _REPORT_INPUTS:
-            _REPORT_INPUTS[key] = reliable_checkpoint(_backtest(spark, sf_dir))
-        return _REPORT_INPUTS[key]
+        if root not in _REPORT_INPUTS:
+            _REPORT_INPUTS[root] = reliable_checkpoint(_backtest(spark, sf_dir))
+        return _REPORT_INPUTS[root]
 
 
-@register("dataset_1dte", with_fixtures(DATASET_CTES, "SELECT * FROM dataset"))
+@register("dataset_1dte", with_fixtures(DATASET_CTES, "SELECT * FROM dataset"), decimals=ZSCORES)
 def q_dataset(spark, sf_dir):
     return _dataset(spark, sf_dir)
 
 
-@register("signals", with_fixtures(SIGNALS_CTES, "SELECT * FROM signals"))
+@register("signals", with_fixtures(SIGNALS_CTES, "SELECT * FROM signals"), decimals=ZSCORES)
 def q_signals(spark, sf_dir):
     return signals.generate_signals(_dataset(spark, sf_dir))
 
 
-@register("signals_fold", with_fixtures(DATASET_CTES + ",\n" + signal_ctes(fold=True), "SELECT * FROM s_sig"))
+@register("signals_fold", with_fixtures(DATASET_CTES + ",\n" + signal_ctes(fold=True), "SELECT * FROM s_sig"), decimals=ZSCORES)
 def q_signals_fold(spark, sf_dir):
     ds = signals.add_straddle_returns(_dataset(spark, sf_dir))
     return signals.add_signal_components(ds, fold=True)
 
 
-@register("backtest", with_fixtures(BACKTEST_CTES, "SELECT * FROM backtest"))
+@register("backtest", with_fixtures(BACKTEST_CTES, "SELECT * FROM backtest"), decimals=ZSCORES)
 def q_backtest(spark, sf_dir):
     return _backtest(spark, sf_dir)
 
@@ -346,7 +351,7 @@ SQRT252 = repr(252 ** 0.5)
 
 
 def pnl_stats_sql(src: str, pnl: str, where: str = "TRUE", notebook: bool = False, tag: str | None = None) -> str:
-    agg = f"""WITH p_src AS (SELECT date, {pnl} AS x FROM {src} WHERE {where}),
+    agg = f"""WITH p_src AS (SELECT date, SUM({pnl}) AS x FROM {src} WHERE {where} GROUP BY date),
 p_roll AS (SELECT x, CASE WHEN COUNT(x) OVER w5 = 5 THEN SUM(x) OVER w5 END AS r5,
                   CASE WHEN COUNT(x) OVER w20 = 20 THEN SUM(x) OVER w20 END AS r20, AVG(x) OVER () AS mu
   FROM p_src WHERE x IS NOT NULL
@@ -369,13 +374,17 @@ a AS (SELECT (SELECT COUNT(*) FROM p_src) AS n_rows, COUNT(x) AS n, AVG(x) AS me
         ("CASE WHEN n > 2 THEN skew END",), ("CASE WHEN n > 3 THEN kurt END",),
         ("CASE WHEN n > 0 THEN COALESCE(avg_win, 0.0) END",), ("CASE WHEN n > 0 THEN COALESCE(avg_loss, 0.0) END",),
     ]
-    from thetaflow.operators.stats import NOTEBOOK_STAT_NAMES, PNL_STAT_NAMES
     if notebook:
-        names = NOTEBOOK_STAT_NAMES
+        names = ("Mean Daily PnL ", "Std Dev Daily PnL", "Annualized Sharpe Ratio", "Win Rate", "Max Daily Win ",
+                 "Max Daily Loss ", "Worst 5-Day Cumulative PnL %", "Worst 20-Day Cumulative PnL %", "Skewness",
+                 "Kurtosis", "Average Win Amount", "Average Loss Amount", "CAGR %", "Annualized CAGR %")
         exprs = [e[0] for e in common] + [cagr, f"CASE WHEN n > 0 THEN (POW(1 + ({cagr}) / 100, 252.0 / n) - 1) * 100 END"]
         clean = "CASE WHEN NOT isnan(v) THEN v END"
     else:
-        names = PNL_STAT_NAMES
+        names = ("Mean Daily PnL", "Std Dev Daily PnL", "Annualized Sharpe Ratio", "Win Rate (%)", "Max Daily Win",
+                 "Max Daily Loss", "Worst 5-Day Cum PnL (%)", "Worst 20-Day Cum PnL (%)", "Skewness", "Kurtosis",
+                 "Average Win Amount", "Average Loss Amount", "Total Return (%) over Period",
+                 "Annualized Total Return (%)")
         exprs = [e[0] for e in common] + [total, f"CASE WHEN n > 0 THEN (POW(1 + ({total}) / 100, 252.0 / n) - 1) * 100 END"]
         clean = "CASE WHEN isfinite(v) THEN v END"
     t = f", '{tag}' AS \"PnL Source\"" if tag else ""
@@ -464,6 +473,11 @@ def regime_long_sql(cols, base="ret_uprc_signal") -> str:
     return "\nUNION ALL ".join(parts)
 
 
+FIXED_BREAKS = [-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]
+FIXED_LABELS = ("['<= -2.00', '(-2.00, -1.00]', '(-1.00, -0.50]', '(-0.50, 0.00]', '(0.00, 0.50]', '(0.50, 1.00]', "
+                "'(1.00, 2.00]', '> 2.00']")
+
+
 def regime_sql(cols, fixed=None) -> str:
     long = regime_long_sql(cols)
     if fixed is None:
@@ -482,9 +496,7 @@ def regime_sql(cols, fixed=None) -> str:
     if fixed is None:
         label = "'D' || bucket AS decile, printf('%.2f to %.2f', x_min, x_max) AS DecileAxisLabel"
     else:
-        from thetaflow.operators.regimes import fixed_bin_labels
-        labs = ", ".join("'" + s + "'" for s in fixed_bin_labels(fixed))
-        label = f"list_extract([{labs}], bucket) AS BinLabel"
+        label = f"list_extract({FIXED_LABELS}, bucket) AS BinLabel"
     return f"""SELECT signal_base, "column", side, bucket, {label}, sharpe AS SharpeRatio
 FROM (SELECT *, {SHARPE_SQL} AS sharpe FROM ({stats_}) AS s) AS t WHERE sharpe IS NOT NULL"""
 
@@ -502,7 +514,7 @@ def q_sharpe_by_vol_decile(spark, sf_dir):
     return regimes.sharpe_by_decile(_report_input(spark, sf_dir), ["ret_uprc_signal"], ["VIX", "VVIX", "VIX_TS"])
 
 
-@register("sharpe_by_fixed_bin", _bt_sql(regime_sql(list(ZCOLS), fixed=[-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0])),
+@register("sharpe_by_fixed_bin", _bt_sql(regime_sql(list(ZCOLS), fixed=FIXED_BREAKS)),
           exact=REGIME_EXACT)
 def q_sharpe_by_fixed_bin(spark, sf_dir):
     return regimes.sharpe_by_fixed_bin(_report_input(spark, sf_dir), ["ret_uprc_signal"], list(ZCOLS))
@@ -580,26 +592,25 @@ def q_acf(spark, sf_dir):
 def hist_sql(PNL: str = PNL, limit: float | None = None) -> str:
     cut = f" AND abs({PNL}) < {limit!r}" if limit is not None else ""
     edge = "CASE WHEN {i} >= nb THEN last ELSE first + {i} * step END"
-    return f"""SELECT bin, bin_start, bin_end, count, count / (bin_end - bin_start) / n AS density FROM (
-SELECT bin, COUNT(*) AS count, ANY_VALUE(n) AS n,
-  ANY_VALUE({edge.format(i="bin")}) AS bin_start, ANY_VALUE({edge.format(i="(bin + 1)")}) AS bin_end
-FROM (
- SELECT *, CASE WHEN x >= ({edge.format(i="(i1 + 1)")}) AND i1 <> nb - 1 THEN i1 + 1 ELSE i1 END AS bin
- FROM (
-  SELECT *, CASE WHEN x < ({edge.format(i="i0")}) THEN i0 - 1 ELSE i0 END AS i1
-  FROM (
-   SELECT *, (last - first) / nb AS step,
-     LEAST(GREATEST(CAST(floor((x - first) / (last - first) * nb) AS BIGINT), 0), nb - 1) AS i0
-   FROM (
+    shaped = f"""SELECT *, (last - first) / nb AS step FROM (
     SELECT *, CAST(CASE WHEN width > 0 THEN ceil((last - first) / width) ELSE 1 END AS BIGINT) AS nb FROM (
      SELECT *, CASE WHEN fd > 0 THEN LEAST(fd, sturges) ELSE sturges END AS width FROM (
-      SELECT x, n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
+      SELECT n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
         (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * pow(n, {repr(-1.0 / 3.0)}) AS fd FROM (
-       SELECT x, CAST(COUNT(x) OVER () AS DOUBLE) AS n, MIN(x) OVER () AS lo, MAX(x) OVER () AS hi,
-         quantile_cont(x, 0.75) OVER () - quantile_cont(x, 0.25) OVER () AS iqr
-       FROM (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL{cut}) AS v0
-      ) AS v1) AS v2) AS v3) AS v4) AS v5) AS v6) AS v7
-GROUP BY bin) AS h"""
+       SELECT CAST(COUNT(x) AS DOUBLE) AS n, MIN(x) AS lo, MAX(x) AS hi,
+         quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM hv) AS v1) AS v2) AS v3) AS v4"""
+    return f"""SELECT * FROM (WITH
+hv AS (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL{cut}),
+hs AS ({shaped}),
+placed AS (SELECT CASE WHEN x >= ({edge.format(i="(i1 + 1)")}) AND i1 <> nb - 1 THEN i1 + 1 ELSE i1 END AS bin FROM (
+  SELECT *, CASE WHEN x < ({edge.format(i="i0")}) THEN i0 - 1 ELSE i0 END AS i1 FROM (
+    SELECT *, LEAST(GREATEST(CAST(floor((x - first) / (last - first) * nb) AS BIGINT), 0), nb - 1) AS i0
+    FROM hv, hs) AS p0) AS p1),
+counted AS (SELECT bin, COUNT(*) AS k FROM placed GROUP BY bin),
+every AS (SELECT hs.*, unnest(range(nb)) AS bin FROM hs WHERE n > 0)
+SELECT bin, {edge.format(i="bin")} AS bin_start, {edge.format(i="(bin + 1)")} AS bin_end, COALESCE(k, 0) AS count,
+  COALESCE(k, 0) / ({edge.format(i="(bin + 1)")} - {edge.format(i="bin")}) / n AS density
+FROM every LEFT JOIN counted USING (bin)) AS h"""
 
 
 @register("histogram", _bt_sql(hist_sql()), exact=("bin", "count"))

@@ -1,14 +1,13 @@
 """Registry of named queries: a Spark builder plus the equivalent DuckDB SQL.
 
-The SQL runs on the driver's views (``orders`` ...), so each query's work
-grows with the tables.  For the side-by-side value check, double columns are
-normalised on both sides to 10 significant digits, but no finer than 1e-9
-absolute (``%.9e`` for |x| >= 1, ``%.9f`` below, and back to double), with
-the same rounding of the exact binary value on both sides.  This
-absorbs summation-order noise between the two engines (running sums of
-values around 1e6; z-scores near 0 that come out of a cancellation) without
-hiding real errors.
-``exact`` names the columns that are not doubles and are compared as is.
+Builders return unrounded values; ``Query.build`` is what a caller uses.  The
+registered form (``Query.spark``), which is compared side by side with SQL,
+rounds double columns on both sides to ``DIGITS`` significant digits, whatever
+their magnitude: both engines round the exact binary value.  Columns that come
+out of a cancellation, where the engines' different orders of summation leave
+noise near zero, are rounded to a number of decimals instead; ``decimals``
+names them with that number.  ``exact`` names the columns that are compared as
+they are.
 """
 
 from __future__ import annotations
@@ -23,61 +22,65 @@ from pyspark.sql import types as T
 QUERIES: dict[str, "Query"] = {}
 
 
+#: Significant digits of compared doubles.
+DIGITS = 10
+
+
 @dataclass
 class Query:
     name: str
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
     exact: tuple[str, ...] = field(default_factory=tuple)
+    decimals: dict[str, int] = field(default_factory=dict)
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return normalize_doubles(self.build(spark, sf_dir))
+        return rounded(self.build(spark, sf_dir), self.decimals)
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        return normalize_sql(self.sql, self.exact)
+        return rounded_sql(self.sql, self.exact, self.decimals)
 
 
 DEFAULT_EXACT = ("securityid", "date", "expiration")
 
 
-def register(name: str, sql: str | None = None, exact=DEFAULT_EXACT):
+def register(name: str, sql: str | None = None, exact=DEFAULT_EXACT, decimals: dict[str, int] | None = None):
     def deco(fn):
-        QUERIES[name] = Query(name, fn, sql, tuple(exact))
+        QUERIES[name] = Query(name, fn, sql, tuple(exact), decimals or {})
         return fn
     return deco
 
 
-DIGITS = 10  # significant digits for |x| >= 1
-DECIMALS = 9  # fixed decimals for |x| < 1 (values near 0 come from cancellation)
-
-
-def normalize_doubles(df: DataFrame, digits: int = DIGITS, decimals: int = DECIMALS) -> DataFrame:
-    """Round doubles like C's ``printf`` (the oracle side): the exact binary
-    value, ties to even.  ``format_number`` (``DecimalFormat``) does that;
-    ``format_string`` would round the shortest decimal form half-up instead.
-    One SQL expression per column keeps plan building cheap."""
-    sci = "0." + "0" * (digits - 1) + "E0"
+def rounded(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
+    """Round doubles like C's ``printf`` (the SQL side): the exact binary
+    value, ties to even, as ``format_number`` does (``format_string`` would
+    round the shortest decimal form half-up)."""
+    scientific = "0." + "0" * (DIGITS - 1) + "E0"
     cols = []
     for f in df.schema.fields:
         name = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            form = decimals.get(f.name, f"'{scientific}'")
             cols.append(F.expr(
                 f"CASE WHEN {name} IS NULL OR isnan({name}) OR abs({name}) = double('inf') THEN {name} "
-                f"WHEN abs({name}) >= 1 THEN CAST(format_number({name}, '{sci}') AS DOUBLE) + 0.0 "
-                f"ELSE CAST(format_number({name}, {decimals}) AS DOUBLE) + 0.0 END").alias(f.name))
+                f"ELSE CAST(replace(format_number({name}, {form}), ',', '') AS DOUBLE) + 0.0 END").alias(f.name))
         else:
             cols.append(F.col(name))
     return df.select(*cols)
 
 
-def normalize_sql(sql: str, exact, digits: int = DIGITS, decimals: int = DECIMALS) -> str:
-    """Wrap ``sql`` so every column not in ``exact`` is normalised like above."""
-    sci, fix = f"%.{digits - 1}e", f"%.{decimals}f"
-    names = ", ".join("'" + n.replace("'", "''") + "'" for n in exact) or "''"
-    keep = f"COLUMNS(lambda c: c IN ({names})), " if exact else ""
-    pick = f"COLUMNS(lambda c: c NOT IN ({names}))"
-    norm = (f"CAST(list_transform([{pick}], lambda v: CASE WHEN abs(v) >= 1 THEN printf('{sci}', v) "
-            f"ELSE printf('{fix}', v) END)[1] AS DOUBLE) + CAST(0.0 AS DOUBLE)")
-    return f"SELECT {keep}{norm}\nFROM (\n{sql}\n) AS q"
+def rounded_sql(sql: str, exact, decimals: dict[str, int]) -> str:
+    """Wrap ``sql`` so every column not in ``exact`` is rounded like above."""
+    def names(x):
+        return ", ".join("'" + n.replace("'", "''") + "'" for n in x) or "''"
+
+    def some(condition: str, form: str) -> str:
+        return (f"CAST(list_transform([COLUMNS(lambda c: {condition})], lambda v: printf('{form}', v))[1] AS DOUBLE) "
+                "+ CAST(0.0 AS DOUBLE)")
+
+    parts = [f"COLUMNS(lambda c: c IN ({names(exact)}))"] if exact else []
+    parts += [some(f"c IN ({names([n])})", f"%.{d}f") for n, d in decimals.items()]
+    return ("SELECT " + ", ".join([*parts, some(f"c NOT IN ({names([*exact, *decimals])})", f"%.{DIGITS - 1}e")])
+            + f"\nFROM (\n{sql}\n) AS q")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,9 +46,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting points at shared storage and is used as is
     (Spark also makes it the context's checkpoint folder).  Only when it is
-    unset and no checkpoint folder was given to the context (local tests) is
-    a scratch folder chosen, through ``setCheckpointDir`` -- the core setting
-    itself cannot be changed at runtime.
+    unset, no checkpoint folder was given to the context, and the session runs
+    in one process (local tests), a scratch folder is chosen, through
+    ``setCheckpointDir`` -- the core setting itself cannot be changed at
+    runtime.  On a cluster an unset folder is an error: executors would each
+    write to a disk of their own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -56,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="thetaflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch

@@ -7,8 +7,6 @@ reader, and gives a typed (possibly empty) relation even when no row matches.
 
 from __future__ import annotations
 
-import os
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +48,7 @@ class Catalog:
         path = self.paths.get(name)
         if path is None:
             raise ValueError(f"no path registered for source {name!r}")
-        local = _local_path(path)
-        if local is not None and not os.path.exists(local):
+        if not path_states(self.spark, path):
             raise FileNotFoundError(path)
         reader = self.spark.read
         if name in SOURCE_SCHEMAS:
@@ -70,17 +67,12 @@ class Catalog:
         return self
 
 
-def _local_path(path: str) -> str | None:
-    """Filesystem path for local paths and ``file:`` URIs; None for other schemes."""
-    m = re.match(r"^([a-zA-Z][a-zA-Z0-9+.-]*):(.*)$", path)
-    if not m:
-        return path
-    if m.group(1).lower() == "file":
-        rest = m.group(2)
-        return "/" + rest.lstrip("/") if rest.startswith("//") else rest
-    return None
-
-
-def empty_frame(spark: SparkSession, schema) -> DataFrame:
-    """Typed empty relation, returned where an input is unusable."""
-    return spark.createDataFrame([], schema)
+def path_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of change) of what a path or pattern names and of the
+    files right below it, by the path's own file system; empty if there is nothing."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(files.globStatus(place) or [])
+    found += [x for f in found if f.isDirectory() for x in files.listStatus(f.getPath())]
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)

@@ -10,7 +10,6 @@ joining against constant tables.
 
 from __future__ import annotations
 
-import os
 import threading
 import uuid
 
@@ -19,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thetaflow.session import checkpoint_dir
-from thetaflow.sources.catalog import Catalog
+from thetaflow.sources.catalog import Catalog, path_states
 from thetaflow.sources import schemas
 
 UNDERLYING = 108105
@@ -130,11 +129,12 @@ def materialize_fixtures(spark: SparkSession, sf_dir: str) -> str:
     filter prunes partitions and the date filter reaches the parquet reader.
     A lost executor only loses cached blocks; the tables stay on shared storage.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    # what is written is used again as long as the table's files stay the same
+    key = (spark.sparkContext.applicationId, str(path_states(spark, f"{sf_dir}/orders.parquet")))
     with _LOCK:
         if key in _WRITTEN:
             return _WRITTEN[key]
-        root = os.path.join(checkpoint_dir(spark), f"fixtures-{key[0]}-{uuid.uuid4().hex[:8]}")
+        root = "/".join((checkpoint_dir(spark).rstrip("/"), f"fixtures-{key[0]}-{uuid.uuid4().hex[:8]}"))
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
             "o_orderdate", "o_totalprice", "o_custkey")
         prices = security_price_from_orders(orders)

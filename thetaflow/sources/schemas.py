@@ -19,18 +19,3 @@ OPTION_PRICE = T.StructType([
     T.StructField("bestbid", T.DoubleType()),
     T.StructField("bestoffer", T.DoubleType()),
 ])
-
-
-def vol_table_schema(names):
-    return T.StructType(
-        [T.StructField("date", T.DateType())]
-        + [T.StructField(n, T.DoubleType()) for n in names]
-        + [T.StructField("VIX_TS", T.DoubleType())]
-    )
-
-
-RETURNS = T.StructType([
-    T.StructField("securityid", T.IntegerType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("ret", T.DoubleType()),
-])

@@ -21,28 +21,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-TEXT_COLUMNS = ("okey_cp", "callput", "Statistic", "column", "side", "signal_base")
-
-
 def read_csv_with_dates(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                         date_cols=("date",), date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """CSV source.  With a schema it is applied as is; without one, date
-    columns are parsed with ``date_format``, known text columns stay strings
-    and every other column is read as double (``try_cast``: bad cells -> null)."""
-    reader = spark.read.option("header", True)
-    if schema is not None:
-        df = reader.schema(schema).csv(path)
-    else:
-        df = reader.csv(path)
-        cols = []
-        for name in df.columns:
-            col = F.col(f"`{name}`")
-            if name in date_cols or name in TEXT_COLUMNS:
-                cols.append(col)
-            else:
-                cols.append(col.try_cast("double").alias(name))
-        df = df.select(*cols)
+    """CSV source.
+
+    With a schema it is applied as is, and a cell that does not fit raises.
+    Without one Spark infers the types over all rows, so a column keeps all
+    its values: as text if they have no type in common.  ``date_cols`` that come
+    out as text are parsed with ``date_format``; a cell that is no date raises.
+    """
+    reader = spark.read.option("header", True).option("dateFormat", date_format).option("mode", "FAILFAST")
+    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     for name in date_cols:
         if name in df.columns and not isinstance(df.schema[name].dataType, T.DateType):
-            df = df.withColumn(name, F.to_date(F.col(f"`{name}`"), date_format))
+            df = df.withColumn(name, F.to_date(F.col(f"`{name}`").cast("string"), date_format))
     return df
