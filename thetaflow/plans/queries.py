@@ -26,7 +26,10 @@ from thetaflow.sources.fixtures import fixture_catalog, materialize_fixtures
 #: z-scores near zero come out of a cancellation.
 ZSCORES = {f"{x}_ewma_hl_5_zscore": 9 for x in ("VIX", "VVIX", "VIX_TS")}
 
-FIXTURE_PARAMS = StraddleParams(underlyings=(108105,), min_date=datetime.date(1995, 1, 1))
+#: Dates that the fixture has, so that both rules cut rows.
+EXCLUDED = (datetime.date(1996, 4, 22), datetime.date(1997, 3, 3))
+FIXTURE_PARAMS = StraddleParams(underlyings=None, min_date=datetime.date(1995, 6, 1), date_problems=EXCLUDED)
+ONE_UNDERLYING = StraddleParams(underlyings=(108105,), min_date=datetime.date(1995, 6, 1), date_problems=EXCLUDED)
 
 
 def _market(spark, sf_dir, gappy=False):
@@ -41,7 +44,7 @@ base AS (
   SELECT o.securityid, o.callput AS okey_cp, o.strike, o.date, o.expiration,
          (o.bestbid + o.bestoffer)/2 AS sprc, p.closeprice AS uprc
   FROM option_price o JOIN security_price p ON o.securityid = p.securityid AND o.date = p.date
-  WHERE o.securityid IN (108105) AND p.securityid IN (108105) AND o.date >= DATE '1995-01-01'),
+  WHERE o.date >= DATE '1995-06-01'),
 tte AS (SELECT securityid, okey_cp, strike, date, expiration, sprc, uprc,
         strike * CAST(0.001 AS DOUBLE) AS okey_xx,
         CAST(expiration - date AS INTEGER) AS time_to_expiration FROM base),
@@ -61,7 +64,7 @@ paired AS (
     ON o.securityid = c.securityid AND o.okey_cp = c.okey_cp AND o.okey_xx = c.okey_xx
    AND o.expiration = c.date),
 merged AS (SELECT DISTINCT * FROM paired
-  WHERE date NOT IN (DATE '2025-05-12', DATE '2025-01-08')
+  WHERE date NOT IN (DATE '1996-04-22', DATE '1997-03-03')
     AND securityid IS NOT NULL AND date IS NOT NULL AND okey_cp IS NOT NULL AND okey_xx IS NOT NULL
     AND expiration IS NOT NULL AND sprc_day_0 IS NOT NULL AND uprc_day_0 IS NOT NULL
     AND dist_to_strike IS NOT NULL AND sprc_day_1 IS NOT NULL AND uprc_day_1 IS NOT NULL),
@@ -79,10 +82,10 @@ straddles AS (
     AND sprc_day_1_C IS NOT NULL AND sprc_day_1_P IS NOT NULL)"""
 
 @register("base_chain", with_fixtures(CHAIN_CTES, "SELECT securityid, okey_cp, strike AS okey_xx, date, "
-                                                 "expiration, sprc, uprc FROM base"),
+                                                 "expiration, sprc, uprc FROM base WHERE securityid = 108105"),
           exact=("securityid", "okey_cp", "okey_xx", "date", "expiration"))
 def q_base_chain(spark, sf_dir):
-    return chain.base_chain(*_market(spark, sf_dir), FIXTURE_PARAMS).drop("strike")
+    return chain.base_chain(*_market(spark, sf_dir), ONE_UNDERLYING).drop("strike")
 
 
 @register("open_legs", with_fixtures(CHAIN_CTES, "SELECT * FROM open_legs"),
@@ -149,7 +152,7 @@ vol_z AS (SELECT * EXCLUDE ({drop}) FROM zraw)"""
 
 
 def returns_ctes(px: str = "security_price") -> str:
-    return f"""r_px AS (SELECT securityid, date, closeprice FROM {px} WHERE securityid IN (108105)),
+    return f"""r_px AS (SELECT securityid, date, closeprice FROM {px}),
 r_1 AS (SELECT securityid, date, closeprice,
         LN(closeprice) - LAG(LN(closeprice)) OVER (PARTITION BY securityid ORDER BY date, closeprice) AS ret
         FROM r_px),
@@ -350,19 +353,23 @@ def corr_sql(src: str, cols, spearman=False) -> str:
 SQRT252 = repr(252 ** 0.5)
 
 
-def pnl_stats_sql(src: str, pnl: str, where: str = "TRUE", notebook: bool = False, tag: str | None = None) -> str:
-    agg = f"""WITH p_src AS (SELECT date, SUM({pnl}) AS x FROM {src} WHERE {where} GROUP BY date),
-p_roll AS (SELECT x, CASE WHEN COUNT(x) OVER w5 = 5 THEN SUM(x) OVER w5 END AS r5,
-                  CASE WHEN COUNT(x) OVER w20 = 20 THEN SUM(x) OVER w20 END AS r20, AVG(x) OVER () AS mu
+def pnl_stats_sql(src: str, pnl: str, where: str = "TRUE", notebook: bool = False, tag: str | None = None,
+                  group: str | None = None) -> str:
+    g, part, by = (f"{group}, ", f"PARTITION BY {group} ", f"GROUP BY {group}") if group else ("", "", "")
+    n_rows = ("(SELECT COUNT(*) FROM p_src AS q WHERE q.{0} IS NOT DISTINCT FROM p_roll.{0})".format(group) if group
+              else "(SELECT COUNT(*) FROM p_src)")
+    agg = f"""WITH p_src AS (SELECT {g}date, SUM({pnl}) AS x FROM {src} WHERE {where} GROUP BY {g}date),
+p_roll AS (SELECT {g}x, CASE WHEN COUNT(x) OVER w5 = 5 THEN SUM(x) OVER w5 END AS r5,
+                  CASE WHEN COUNT(x) OVER w20 = 20 THEN SUM(x) OVER w20 END AS r20, AVG(x) OVER ({part}) AS mu
   FROM p_src WHERE x IS NOT NULL
-  WINDOW w5 AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
-         w20 AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-a AS (SELECT (SELECT COUNT(*) FROM p_src) AS n_rows, COUNT(x) AS n, AVG(x) AS mean, STDDEV_SAMP(x) AS std,
+  WINDOW w5 AS ({part}ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+         w20 AS ({part}ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+a AS (SELECT {g}{n_rows} AS n_rows, COUNT(x) AS n, AVG(x) AS mean, STDDEV_SAMP(x) AS std,
   COUNT(*) FILTER (WHERE x > 0) AS wins, MAX(x) AS mx, MIN(x) AS mn, MIN(r5) AS w5, MIN(r20) AS w20,
   AVG(POW(x - mu, 3)) / NULLIF(POW(AVG(POW(x - mu, 2)), 1.5), 0) AS skew,
   AVG(POW(x - mu, 4)) / NULLIF(POW(AVG(POW(x - mu, 2)), 2), 0) - 3 AS kurt,
   AVG(x) FILTER (WHERE x > 0) AS avg_win, AVG(x) FILTER (WHERE x < 0) AS avg_loss, SUM(x) AS total
-  FROM p_roll)"""
+  FROM p_roll {by})"""
     sharpe = (f"CASE WHEN std IS NOT NULL AND std <> 0 THEN (mean - CAST(0.0 AS DOUBLE)) / std * {SQRT252} "
               f"WHEN mean = 0 AND (std IS NULL OR std = 0) THEN CAST(0.0 AS DOUBLE) END")
     total = "CASE WHEN n > 0 THEN total / CAST(1000000.0 AS DOUBLE) * 100 END"
@@ -389,7 +396,7 @@ a AS (SELECT (SELECT COUNT(*) FROM p_src) AS n_rows, COUNT(x) AS n, AVG(x) AS me
         clean = "CASE WHEN isfinite(v) THEN v END"
     t = f", '{tag}' AS \"PnL Source\"" if tag else ""
     rows = "\nUNION ALL ".join(
-        f"SELECT '{nm}' AS Statistic, {clean.replace('v', f'CAST(({e}) AS DOUBLE)')} AS Value{t} FROM a WHERE n_rows > 0"
+        f"SELECT {g}'{nm}' AS Statistic, {clean.replace('v', f'CAST(({e}) AS DOUBLE)')} AS Value{t} FROM a WHERE n_rows > 0"
         for nm, e in zip(names, exprs))
     return agg + "\n" + rows
 
@@ -647,9 +654,8 @@ def q_kde_signal(spark, sf_dir):
     return series.kde_curve(_report_input(spark, sf_dir), "ret_uprc_signal")
 
 
-@register("pnl_stats_by_underlying", _bt_sql(
-    "SELECT 108105 AS securityid, * FROM (" + pnl_stats_sql("backtest", PNL) + ") AS r"),
-    exact=("securityid", "Statistic"))
+@register("pnl_stats_by_underlying", _bt_sql("SELECT * FROM (" + pnl_stats_sql("backtest", PNL, group="securityid") + ") AS r"),
+          exact=("securityid", "Statistic"))
 def q_pnl_stats_by_underlying(spark, sf_dir):
     return stats.pnl_statistics(_report_input(spark, sf_dir), PNL, group_cols=("securityid",))
 

@@ -47,10 +47,13 @@ def security_price_from_orders(orders: DataFrame) -> DataFrame:
             bidlow.alias("bidlow"), askhigh.alias("askhigh"),
         )
 
+    # some late days have a zero or a missing VIX (early ones would leave no full z-score window)
+    day, late = F.dayofmonth("date"), F.col("date") >= F.to_date(F.lit("2001-06-01"))
     px, lo, hi, n = F.col("px"), F.col("lo"), F.col("hi"), F.col("n")
     rows = F.array(
         row(UNDERLYING, px, px - _d(1), px + _d(1)),
-        row(VIX, null_d, _d(10) + lo, _d(12) + hi),
+        row(VIX, null_d, F.when(late & (day == 23), _d(0)).otherwise(_d(10) + lo),
+            F.when(late & (day == 23), _d(0)).when(~late | (day != 24), _d(12) + hi)),
         row(VVIX, null_d, _d(80) + lo + hi, _d(90) + 2 * hi),
         row(VIXM, null_d, _d(20) + lo, _d(22) + hi + n),
     )
@@ -59,6 +62,22 @@ def security_price_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def security_price_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """One underlying per supplier, so their number and the number of quotes grow with the table; and
+    a security without options that has two closes on some days."""
+    u = lineitem.groupBy((F.col("l_suppkey") + 200000).cast("int").alias("securityid"),
+                         F.col("l_shipdate").cast("date").alias("date")).agg(
+        (F.sum("l_quantity").cast("long") % 40 + 500).cast("double").alias("px"))
+    px, day, first = F.col("px"), F.dayofmonth("date"), F.col("securityid") == 200001
+    own = lambda sid, p: F.struct(sid.alias("securityid"), p.alias("closeprice"))
+    rows = F.array_compact(F.array(
+        own(F.col("securityid"), px), F.when(first, own(F.lit(300000), px)),
+        F.when(first & (day == 27), own(F.lit(300000), px + _d(1)))))
+    return u.select("date", F.inline(rows)).select(
+        "securityid", "date", "closeprice", (F.col("closeprice") - _d(1)).alias("bidlow"),
+        (F.col("closeprice") + _d(1)).alias("askhigh"))
+
+
 def security_price_gappy(security_price: DataFrame) -> DataFrame:
     sid, day = F.col("securityid"), F.dayofmonth("date")
     return security_price.select(
@@ -71,7 +90,7 @@ def security_price_gappy(security_price: DataFrame) -> DataFrame:
 def option_price_from_prices(security_price: DataFrame) -> DataFrame:
     w = Window.partitionBy("securityid").orderBy("date")
     s = (
-        security_price.where(F.col("securityid") == UNDERLYING)
+        security_price.where((F.col("securityid") == UNDERLYING) | F.col("securityid").between(200000, 299999))
         .select(
             "securityid", "date", F.col("closeprice").alias("px"),
             (F.floor(F.col("closeprice") / 25).cast("long") * 25).alias("ctr"),
@@ -105,14 +124,20 @@ def option_price_from_prices(security_price: DataFrame) -> DataFrame:
         .otherwise(strike / _d(1000) - F.col("qpx")),
         _d(0),
     )
+    # Underlyings other than the first have gaps: open legs without their close, calls without a put, copies of
+    # quotes, and straddles that cost nothing.
+    other, day = F.col("securityid") != UNDERLYING, F.dayofmonth("qd")
+    q = q.where(~other | ~(((kind == 2) & (day == 7)) | ((F.col("cp") == "P") & (day == 11))))
+    q = q.withColumn("copy", F.explode(F.when(other & (day == 13), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    free = other & (kind < 2) & (day == 19)
     return q.select(
         F.col("securityid"),
         F.col("cp").alias("callput"),
         strike.cast("long").alias("strike"),
         F.col("qd").alias("date"),
         F.col("expiration"),
-        (intrinsic + tv - _d(0.25)).alias("bestbid"),
-        (intrinsic + tv + _d(0.25)).alias("bestoffer"),
+        F.when(free, _d(0)).otherwise(intrinsic + tv - _d(0.25)).alias("bestbid"),
+        F.when(free, _d(0)).otherwise(intrinsic + tv + _d(0.25)).alias("bestoffer"),
     )
 
 
@@ -130,15 +155,17 @@ def materialize_fixtures(spark: SparkSession, sf_dir: str) -> str:
     A lost executor only loses cached blocks; the tables stay on shared storage.
     """
     # what is written is used again as long as the table's files stay the same
-    key = (spark.sparkContext.applicationId, str(path_states(spark, f"{sf_dir}/orders.parquet")))
+    key = (spark.sparkContext.applicationId, str([path_states(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")]))
     with _LOCK:
         if key in _WRITTEN:
             return _WRITTEN[key]
         root = "/".join((checkpoint_dir(spark).rstrip("/"), f"fixtures-{key[0]}-{uuid.uuid4().hex[:8]}"))
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
             "o_orderdate", "o_totalprice", "o_custkey")
-        prices = security_price_from_orders(orders)
-        prices.write.mode("overwrite").partitionBy("securityid").parquet(f"{root}/security_price")
+        lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_quantity")
+        prices = security_price_from_orders(orders).unionAll(security_price_from_lineitem(lineitem))
+        # one file for each security, by bounded ranges: as many files as securities
+        prices.repartition("securityid").write.mode("overwrite").partitionBy("securityid").parquet(f"{root}/security_price")
         written = spark.read.schema(schemas.SECURITY_PRICE).parquet(f"{root}/security_price")
         option_price_from_prices(written).write.mode("overwrite").parquet(f"{root}/option_price")
         _WRITTEN[key] = root
