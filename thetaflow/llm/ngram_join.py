@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thetaflow.llm.common import components, hashed_words, stored, text_runs, window_hashes
@@ -264,9 +264,12 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     order = np.argsort(shingle)
     shared = spark.sparkContext.broadcast((shingle[order], hot["n"].to_numpy(np.int64)[order]))
 
-    # reps are whole classes; copies post the same rows and fall away when ids become reps
-    lists = stored(docs.where("id IS NOT NULL")
-                   .mapInArrow(_postings(n, percent, shared), "shingle long, id long, level int, l int, size int, rare int")
+    # exact copies are in their class already: they post nothing
+    copies = stored(of.groupBy("id").agg(F.max((F.col("rep") == F.col("id")).cast("int")).alias("own"))
+                    .where("own = 0").select("id"), "copies")
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    source = docs.where("id IS NOT NULL").join(F.broadcast(copies) if few else copies, "id", "left_anti").select("id", "text")
+    lists = stored(source.mapInArrow(_postings(n, percent, shared), "shingle long, id long, level int, l int, size int, rare int")
                    .repartition("shingle").sortWithinPartitions("shingle", "rare", "id")
                    .mapInArrow(_lists, "shingle long, id long, level int, l int, size int, centre long, "
                                        "centre_level int, centre_l int, centre_size int"), "lists")
@@ -276,41 +279,45 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
                .groupBy("id", "centre").agg(
                    F.sum(F.when(F.greatest("level", "centre_level") <= least, 1).otherwise(0)).alias("n"),
                    F.first(least).alias("l")).where("n >= l"))
-    reps = of.select(F.col("id").alias("centre"), F.col("rep").alias("centre_rep"))
-    starred = (starred.join(of, "id").join(reps, "centre").where("rep <> centre_rep").groupBy("rep")
-               .agg(F.max_by("centre_rep", F.struct("n", -F.col("centre_rep"))).alias("centre"))
-               .select(F.col("rep").alias("id"), "centre"))
+    starred = starred.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
     first = stored(verified(stored(starred, "starred"), docs, n, percent).unionAll(edges), "links")
     nodes = components(first)
 
-    rows = (lists.select("shingle", "id", "level", "l", "size").join(of, "id")
-            .select("shingle", "rep", "level", "l", "size").distinct()
+    # lists that hold several components
+    rows = (lists.select("shingle", F.col("id").alias("rep"), "l", "size").distinct()
             .join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
             .withColumn("component", F.coalesce("component", "rep")))
-    rows = stored(rows, "rest")
-    # lists that hold several components; all rows but those of the largest meet all others
-    per = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
-                                      F.count("*").alias("k")).where("k > 1").select("shingle", "main")
-    rows = stored(rows.join(main, "shingle"), "mixed")
-    # in how many such lists a document is: no pair shares more
-    rows = rows.join(rows.groupBy("rep").agg(F.count("*").alias("lists")), "rep")
+    every = Window.partitionBy("shingle")
+    rows = (rows.repartition("shingle").select("*", F.min("component").over(every).alias("low"), F.max("component").over(every).alias("high"),
+                                              F.count("*").over(every).alias("n"))
+            .where("low < high").drop("low", "high"))
+    rows = stored(rows, "mixed")
+    # Of a document's mixed lists, shortest first, lists - k + 1 are left from its k-th on: if that is the first that a
+    # pair has in common, they share no more.
+    own = Window.partitionBy("rep")
+    rows = rows.select("*", F.count("*").over(own).alias("lists"), F.row_number().over(own.orderBy("n", "shingle")).alias("k"))
+    main = (rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+            .groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main")))
+    rows = stored(rows.join(main, "shingle"), "ranked")
+    # all rows but those of a list's largest component meet all others
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
-    l = F.least("x.l", "y.l")
     # The prefix that ends first in the global order is compared in full: of its set at most what lies behind it, and
     # the shingles found to be shared, can be common.
     behind = F.greatest(*[F.ceil(F.col(f"{t}.size") * F.lit(percent) / 100).cast("long") - F.col(f"{t}.l") for t in "xy"])
-    rest = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
-                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-                   & _near("x.size", "y.size", percent)
-                   & ((F.least("x.lists", "y.lists") + behind) * (100 + percent)
-                      >= percent * (F.col("x.size").cast("long") + F.col("y.size"))))
-            .groupBy(F.least("x.rep", "y.rep").alias("id"), F.greatest("x.rep", "y.rep").alias("centre"))
-            .agg(F.sum(F.when(F.greatest("x.level", "y.level") <= l, 1).otherwise(0)).alias("n"), F.first(l).alias("l"),
-                 F.count("*").alias("shared"), F.first(behind).alias("behind"),
-                 F.first(F.col("x.size").cast("long") + F.col("y.size")).alias("sizes"))
-            .where("n >= l").where((F.col("shared") + F.col("behind")) * (100 + percent) >= percent * F.col("sizes"))
-            .select("id", "centre"))
+
+    def enough(shared):
+        return (shared + behind) * (100 + percent) >= percent * (F.col("x.size").cast("long") + F.col("y.size"))
+
+    met = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+                  & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+                  & _near("x.size", "y.size", percent)
+                  & enough(F.least(F.col("x.lists") - F.col("x.k"), F.col("y.lists") - F.col("y.k")) + 1))
+           .select(F.least("x.rep", "y.rep").alias("id"), F.greatest("x.rep", "y.rep").alias("centre")).distinct())
+    # a document's prefix bounds its shingles here
+    posted = rows.groupBy("rep").agg(F.collect_set("shingle").alias("shingles"), F.first("size").alias("size"), F.first("l").alias("l"))
+    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    rest = (met.join(posted.alias("x"), F.col("id") == F.col("x.rep")).join(posted.alias("y"), F.col("centre") == F.col("y.rep"))
+            .where((shared >= F.least("x.l", "y.l")) & enough(shared)).select("id", "centre"))
     rest = stored(rest, "pairs")
     if rest.isEmpty():
         final = nodes
