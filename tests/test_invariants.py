@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def bt(spark):
-    return _backtest(spark, SF).cache()
+    return _backtest(spark, SF).where("securityid = 108105").cache()
 
 
 def test_cumulative_is_prefix_sum(bt):
@@ -59,17 +59,18 @@ def test_many_underlyings_backtest_equals_single_runs(spark):
     opts, prices = _market(spark, SF)
     p2 = prices.where("securityid = 108105").withColumn("securityid", F.lit(7)).withColumn(
         "closeprice", F.col("closeprice") * 1.5)
-    o2 = opts.withColumn("securityid", F.lit(7)).withColumn("strike", (F.col("strike") * 3 / 2).cast("long"))
+    o2 = opts.where("securityid = 108105").withColumn("securityid", F.lit(7)).withColumn("strike", (F.col("strike") * 3 / 2).cast("long"))
     both_o, both_p = opts.unionByName(o2), prices.unionByName(p2)
-    d0 = dt.date(1995, 1, 1)
-    many = dataset.backtest_1dte(both_o, both_p, StraddleParams(underlyings=(108105, 7), min_date=d0))
-    one = dataset.backtest_1dte(both_o, both_p, StraddleParams(underlyings=(7,), min_date=d0))
+    from dataclasses import replace
+    from thetaflow.plans.queries import FIXTURE_PARAMS
+    many = dataset.backtest_1dte(both_o, both_p, replace(FIXTURE_PARAMS, underlyings=(108105, 7)))
+    one = dataset.backtest_1dte(both_o, both_p, replace(FIXTURE_PARAMS, underlyings=(7,)))
     cols = ["date", "ret_uprc_signal_pnl", "ret_uprc_signal_cum_pnl", "ret_sprc_signal_cum_pnl"]
     a = many.where("securityid = 7").select(*cols)
     b = one.select(*cols)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
-    base = many.where("securityid = 108105").select(*cols).exceptAll(_backtest(spark, SF).select(*cols))
+    base = many.where("securityid = 108105").select(*cols).exceptAll(_backtest(spark, SF).where("securityid = 108105").select(*cols))
     assert base.count() == 0
 
 
