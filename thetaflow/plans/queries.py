@@ -423,12 +423,17 @@ def q_describe_prices(spark, sf_dir):
                           group_cols=("securityid",))
 
 
-@register("corr_pearson", _bt_sql(corr_sql("backtest", CORR_COLS)), exact=("column",))
+#: A correlation near zero comes out of a cancellation too.
+CORRELATIONS = dict.fromkeys(CORR_COLS, 10)
+
+
+@register("corr_pearson", _bt_sql(corr_sql("backtest", CORR_COLS)), exact=("column",), decimals=CORRELATIONS)
 def q_corr_pearson(spark, sf_dir):
     return stats.correlation_matrix(_report_input(spark, sf_dir), CORR_COLS)
 
 
-@register("corr_spearman", _bt_sql(corr_sql("backtest", CORR_COLS, spearman=True)), exact=("column",))
+@register("corr_spearman", _bt_sql(corr_sql("backtest", CORR_COLS, spearman=True)), exact=("column",),
+          decimals=CORRELATIONS)
 def q_corr_spearman(spark, sf_dir):
     return stats.correlation_matrix(_report_input(spark, sf_dir), CORR_COLS, method="spearman")
 
