@@ -424,7 +424,7 @@ def q_describe_prices(spark, sf_dir):
 
 
 #: A correlation near zero comes out of a cancellation too.
-CORRELATIONS = dict.fromkeys(CORR_COLS, 10)
+CORRELATIONS = {"*": 10}
 
 
 @register("corr_pearson", _bt_sql(corr_sql("backtest", CORR_COLS)), exact=("column",), decimals=CORRELATIONS)

@@ -6,7 +6,7 @@ rounds double columns on both sides to ``DIGITS`` significant digits, whatever
 their magnitude: both engines round the exact binary value.  Columns that come
 out of a cancellation, where the engines' different orders of summation leave
 noise near zero, are rounded to a number of decimals instead; ``decimals``
-names them with that number.  ``exact`` names the columns that are compared as
+names them with that number (``*``: all doubles that it doesn't name).  ``exact`` names the columns that are compared as
 they are.
 """
 
@@ -62,7 +62,7 @@ def rounded(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
     for f in df.schema.fields:
         name = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            form = decimals.get(f.name, f"'{scientific}'")
+            form = decimals.get(f.name, decimals.get("*", f"'{scientific}'"))
             cols.append(F.expr(
                 f"CASE WHEN {name} IS NULL OR isnan({name}) OR abs({name}) = double('inf') THEN {name} "
                 f"ELSE CAST(replace(format_number({name}, {form}), ',', '') AS DOUBLE) + 0.0 END").alias(f.name))
@@ -81,6 +81,7 @@ def rounded_sql(sql: str, exact, decimals: dict[str, int]) -> str:
                 "+ CAST(0.0 AS DOUBLE)")
 
     parts = [f"COLUMNS(lambda c: c IN ({names(exact)}))"] if exact else []
-    parts += [some(f"c IN ({names([n])})", f"%.{d}f") for n, d in decimals.items()]
-    return ("SELECT " + ", ".join([*parts, some(f"c NOT IN ({names([*exact, *decimals])})", f"%.{DIGITS - 1}e")])
+    parts += [some(f"c IN ({names([n])})", f"%.{d}f") for n, d in decimals.items() if n != "*"]
+    rest = f"%.{decimals['*']}f" if "*" in decimals else f"%.{DIGITS - 1}e"
+    return ("SELECT " + ", ".join([*parts, some(f"c NOT IN ({names([*exact, *decimals])})", rest)])
             + f"\nFROM (\n{sql}\n) AS q")
