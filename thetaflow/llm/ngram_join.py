@@ -287,18 +287,18 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     rows = (lists.select("shingle", F.col("id").alias("rep"), "l", "size").distinct()
             .join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
             .withColumn("component", F.coalesce("component", "rep")))
-    every = Window.partitionBy("shingle")
-    rows = (rows.repartition("shingle").select("*", F.min("component").over(every).alias("low"), F.max("component").over(every).alias("high"),
-                                              F.count("*").over(every).alias("n"))
+    every, part = Window.partitionBy("shingle"), Window.partitionBy("shingle", "component")
+    rows = (rows.repartition("shingle").withColumn("c", F.count("*").over(part))
+            .select("shingle", "rep", "l", "size", "component", F.min("component").over(every).alias("low"),
+                    F.max("component").over(every).alias("high"), F.count("*").over(every).alias("n"),
+                    F.max_by("component", F.struct("c", "component")).over(every).alias("main"))  # a list's largest
             .where("low < high").drop("low", "high"))
     rows = stored(rows, "mixed")
     # Of a document's mixed lists, shortest first, lists - k + 1 are left from its k-th on: if that is the first that a
     # pair has in common, they share no more.
     own = Window.partitionBy("rep")
     rows = rows.select("*", F.count("*").over(own).alias("lists"), F.row_number().over(own.orderBy("n", "shingle")).alias("k"))
-    main = (rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
-            .groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main")))
-    rows = stored(rows.join(main, "shingle"), "ranked")
+    rows = stored(rows, "ranked")
     # all rows but those of a list's largest component meet all others
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
     # The prefix that ends first in the global order is compared in full: of its set at most what lies behind it, and
@@ -313,8 +313,11 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
                   & _near("x.size", "y.size", percent)
                   & enough(F.least(F.col("x.lists") - F.col("x.k"), F.col("y.lists") - F.col("y.k")) + 1))
            .select(F.least("x.rep", "y.rep").alias("id"), F.greatest("x.rep", "y.rep").alias("centre")).distinct())
+    met = stored(met, "met")
+    meeting = met.select(F.explode(F.array("id", "centre")).alias("rep")).distinct()
     # a document's prefix bounds its shingles here
-    posted = rows.groupBy("rep").agg(F.collect_set("shingle").alias("shingles"), F.first("size").alias("size"), F.first("l").alias("l"))
+    posted = rows.join(meeting, "rep", "left_semi").groupBy("rep").agg(
+        F.collect_set("shingle").alias("shingles"), F.first("size").alias("size"), F.first("l").alias("l"))
     shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
     rest = (met.join(posted.alias("x"), F.col("id") == F.col("x.rep")).join(posted.alias("y"), F.col("centre") == F.col("y.rep"))
             .where((shared >= F.least("x.l", "y.l")) & enough(shared)).select("id", "centre"))
