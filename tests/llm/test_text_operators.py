@@ -162,6 +162,17 @@ def test_lines(spark, monkeypatch):
     assert [r["n_removed"] for r in line_dedup.report(frame(spark, long)).orderBy("doc_id").collect()] == [0, 1, 1, 1]
 
 
+def test_no_copy_with_short_lines_stays(spark):
+    a, b, c, d = (f"line {x} of a length that is compared" for x in ("one", "22222", "thrice", "fo-u-r"))
+    whole = f"Top.\n{a}\nLes.\n{b}\n\nEnd."
+    rows = [(1, a), (2, whole), (3, whole), (4, whole.replace("one", "onE")), (5, f"Top.\n{a}\nLes."), (6, whole),
+            (7, f"{a}\nLes.\nits own"), (8, f"{c}\nLes."), (9, f"{c}\nLes.\n{d}"), (10, "Les."), (11, "Les."), (None, whole)]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame(spark, rows, True), drop_emptied=True).collect()}
+    assert kept == {1: a, 2: f"Top.\nLes.\n{b}\n\nEnd.", 7: "Les.\nits own", 8: f"{c}\nLes.", 9: f"Les.\n{d}",
+                    10: "Les.", 11: "Les."}
+    assert line_dedup.dedup(frame(spark, rows)).count() == len(rows)
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_bit_parallel_distance(spark, edits):
     rng = random.Random(edits)

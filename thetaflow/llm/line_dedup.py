@@ -5,6 +5,8 @@ characters, too short to tell a copy from common language, are left alone.
 Lines are alike if their edit distance is at most ``edits``; alike lines, and
 lines linked by others, are one class.  The first line of each class, by
 document id, then place, stays; all others are removed.
+A document that loses all of them is a copy if its short lines, too, stand after
+lines of the same class in earlier documents; ``drop_emptied`` drops it whole.
 
 A line of length l is cut into ``edits + 1`` segments.  Of two alike lines
 the longer one, or either of equal ones, has at least one segment of the other unchanged, near its
@@ -223,8 +225,37 @@ def line_classes(lines: DataFrame, hot: DataFrame, edits: int, least: int) -> Da
     return components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
-def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(id, tag, gone): for documents (id, tag, text), the numbers of the lines to remove."""
+def _copied(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
+    """(id, tag, copied): whether earlier documents have each short line that holds a word, after a line of the same class.
+
+    Lines that no long line stands before count as after the document's first one.
+    """
+    short = (docs.select("id", "tag", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+             .select("id", "tag", "at", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line"))
+             .where(F.length("line").between(1, least - 1))
+             .select("id", "tag", "at", F.xxhash64("line").alias("x1"), F.xxhash64(F.lit(1), "line").alias("x2"),
+                     F.lit(True).alias("short")))
+    both = named.select("id", "tag", "at", F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.lit(False).alias("short"))
+    document = Window.partitionBy("id", "tag")
+    line = F.when(~F.col("short"), F.struct("x1", "x2"))
+    before = F.last(line, True).over(document.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    top = F.first(line, True).over(document.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    keys = ["c1", "c2", "x1", "x2"]
+    rows = (both.unionAll(short).withColumn("after", F.coalesce(before, top)).where("short AND after IS NOT NULL")
+            .select("id", "tag", F.col("after.x1").alias("c1"), F.col("after.x2").alias("c2"), "x1", "x2",
+                    F.struct(F.col("id").isNull().alias("none"), "id", "tag").alias("place")))
+    rows = stored(rows, "short-lines")
+    first = rows.groupBy(*keys).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    first = first.where(F.col("first") < F.col("last")).drop("last")
+    return (rows.join(first, keys, "left").groupBy("id", "tag")
+            .agg(F.min(F.coalesce(F.col("first") < F.col("place"), F.lit(False))).alias("copied")))
+
+
+def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+    """(id, tag, gone): for documents (id, tag, text), the numbers of the lines to remove.
+
+    With ``short``, also ``copied``: whether earlier documents have all their short lines too (null: there are none).
+    """
     lines = occurrences(docs, least)
     slim = stored(lines.select("id", "tag", "at", "h1", "h2"), "lines")
     total = slim.count()
@@ -236,27 +267,35 @@ def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFra
                      F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2")))
     first = (named.groupBy("c1", "c2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("c1", "c2", "first"))
-    return (named.join(first, ["c1", "c2"]).where(F.col("first") != _place())
+    gone = (named.join(first, ["c1", "c2"]).where(F.col("first") != _place())
             .groupBy("id", "tag").agg(F.collect_set("at").alias("gone")))  # a document's lines at most
+    if not short:
+        return gone
+    copied = _copied(docs, named, least)
+    return (gone.alias("g").join(copied.alias("c"), (F.col("g.tag") == F.col("c.tag"))
+                                 & F.col("g.id").eqNullSafe(F.col("c.id")), "left")
+            .select("g.id", "g.tag", "g.gone", "c.copied"))
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id",
           text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """The documents, with their columns, without removed lines.
 
-    With ``drop_emptied``, documents that had words and are left without any go.
+    With ``drop_emptied``, documents that had words and are left without any go, and
+    so do those that lose all lines of ``least`` characters or more and whose shorter
+    lines all stand after the same lines in earlier documents.
     """
     return _applied(docs, edits, least, id_col, text_col, drop_emptied).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _applied(docs: DataFrame, edits: int, least: int, id_col: str, text_col: str, drop_emptied: bool,
              report: bool = False) -> DataFrame:
-    own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("id", "tag", "gone")}
+    own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("id", "tag", "gone", "copied")}
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumns({own["id"]: F.col(f"`{id_col}`"), own["tag"]: F.xxhash64(text)})
     gone = removals(keyed.select(F.col(own["id"]).alias("id"), F.col(own["tag"]).alias("tag"), text.alias("text")),
-                    edits, least)
-    gone = gone.select(*[F.col(c).alias(own[c]) for c in ("id", "tag", "gone")])
+                    edits, least, drop_emptied)
+    gone = gone.select(*[F.col(c).alias(own[c]) for c in gone.columns])
     joined = keyed.alias("k").join(gone.alias("g"), (F.col(f"k.{own['tag']}") == F.col(f"g.{own['tag']}"))
                                    & F.col(f"k.{own['id']}").eqNullSafe(F.col(f"g.{own['id']}")), "left")
     away = F.col(own["gone"])
@@ -267,8 +306,13 @@ def _applied(docs: DataFrame, edits: int, least: int, id_col: str, text_col: str
         return joined.select(F.col(f"k.{id_col}").alias(id_col), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
                              F.when(text.isNull() | away.isNull(), 0).otherwise(F.size(away)).cast("long").alias("n_removed"),
                              F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
-    out = joined.withColumn(own["gone"], F.struct(kept.alias("text"), away.isNotNull().alias("cut")))
+    copied = F.lit(False)
+    if drop_emptied:
+        long = F.filter(parts, lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) >= least)
+        copied = F.coalesce(F.col(own["copied"]) & (F.size(long) == F.size(away)), F.lit(False))
+    out = joined.withColumn(own["gone"], F.struct(kept.alias("text"), away.isNotNull().alias("cut"), copied.alias("copied")))
     if drop_emptied:
+        out = out.where(~F.col(own["gone"]).getField("copied"))
         out = out.where(~F.col(own["gone"]).getField("cut") | F.col(own["gone"]).getField("text").rlike(r"[^\s]"))
     return out.select(*[F.col(f"k.`{c}`") if c != text_col else F.col(own["gone"]).getField("text").alias(c)
                         for c in docs.columns])
