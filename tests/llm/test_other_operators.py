@@ -3,11 +3,14 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,6 +186,26 @@ def test_vectors_nulls_and_repeats(spark):
     assert vector_join.join(df.limit(0)).collect() == []
 
 
+def test_pivots_of_one_direction_rule_nothing_out():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        base = rng.normal(size=16)
+        pivots = vector_join.matrix(pa.array([(base * s).tobytes() for s in rng.uniform(0.1, 9, 4)]), 16)
+        rows = [(base * s + rng.normal(size=16) * e).tobytes() for s in rng.uniform(0.1, 9, 100) for e in (0, 0.1)]
+        n = len(rows)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([16] * n, pa.int32()), pa.array(rows), pa.array([1] * n)],
+                                           names=["id", "dim", "vector", "copies"])
+        cells, = vector_join._cells(SimpleNamespace(value={16: pivots}))([batch])
+        cell = cells.column(4).to_numpy()
+        radius = np.array([cells.column(5).to_numpy()[cell == c].max(initial=-np.inf) for c in range(4)])
+        plan = SimpleNamespace(value=({16: pivots}, {16: (np.arange(4), radius, np.arange(4))}))
+        placed = pa.RecordBatch.from_arrays([*cells.columns, pa.array(cell)], names=[*cells.schema.names, "block"])
+        out, = vector_join._dealt(plan, math.sqrt(0.2))([placed])
+        seen = set(zip(out.column(2).to_pylist(), out.column(0).to_pylist()))
+        x = vector_join.matrix(batch.column(2), 16)
+        assert all((i, cell[j]) in seen or (j, cell[i]) in seen for i, j in zip(*np.nonzero(x @ x.T >= 0.9)))
+
+
 # ----------------------------------------------------------------- archives
 
 def test_archives(spark):

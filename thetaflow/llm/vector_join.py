@@ -112,9 +112,9 @@ def _dealt(shared, reach: float):
                 gaps = distances(matrix(batch.column(2).take(pa.array(at)), d), p)
                 near = gaps[np.arange(len(at)), cells[at]][:, None]
                 between = distances(p, p)[cells[at]]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    beyond = (gaps ** 2 - near ** 2) / (2 * between)
-                visits = (gaps <= radius + reach + SLACK) & ((gaps - near) <= 2 * reach + SLACK) & ~(beyond > reach + SLACK)
+                # not divided: pivots may coincide but for rounding
+                beyond = gaps ** 2 - near ** 2 > 2 * (between + SLACK) * (reach + SLACK) + 1e-9
+                visits = (gaps <= radius + reach + SLACK) & ((gaps - near) <= 2 * reach + SLACK) & ~beyond
                 visits[np.arange(len(at)), cells[at]] = True
                 mine = own[at][:, None]
                 turn = ((number + mine) % 2 == 0) == (number < mine)  # one of two blocks gets the other's vectors
