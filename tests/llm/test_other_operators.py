@@ -290,6 +290,17 @@ def test_pages(spark):
     assert html_text.report(df.limit(0)).collect() == []
 
 
+def test_copies_are_no_neighbours(spark):
+    def page(own):
+        return f"<p>Top<p>{own}<p>Bottom"
+
+    rows = [(1, "http://h/a/x", page("one")), (2, "http://h/a/x", page("one")), (3, "http://h/a/x?again", page("one")),
+            (4, "http://h/a/x2", page("one") + '<div class="ad">other'), (5, "http://h/b", page("two")), (6, "http://i/a", "<p>alone"),
+            (7, "http://i/a", "<p>alone")]
+    got = {r["page_id"]: r["text"] for r in html_text.report(frame(spark, rows, True, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one", 2: "one", 3: "one", 4: "one", 5: "two", 6: "alone", 7: "alone"}
+
+
 # ------------------------------------------------------- queries and pipeline
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
