@@ -301,6 +301,14 @@ def test_copies_are_no_neighbours(spark):
     assert got == {1: "one", 2: "one", 3: "one", 4: "one", 5: "two", 6: "alone", 7: "alone"}
 
 
+def test_neighbours_do_not_depend_on_size(spark):
+    rows = [(i, f"http://h/{i // 4:02}/{i % 4}", f"<p>menu<p>section {i // 4}<p>text {i}") for i in range(80)]
+    pages = frame(spark, rows, names="page_id long, url string, html string").repartition(3, "page_id")
+    for size in (1, 7, 1000):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages, host_pages=size).collect()}
+        assert got == {i: f"text {i}" for i in range(80)}
+
+
 # ------------------------------------------------------- queries and pipeline
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
