@@ -290,6 +290,15 @@ def test_pages(spark):
     assert html_text.report(df.limit(0)).collect() == []
 
 
+def test_slugs_and_article_headers_stay():
+    inside = """<article><div class="entry-header"><h1>Title</h1></div><h2 id="related-work">Related</h2>
+        <section id="search-for-a-proof"><p>Proof</section><h2 id="comments">Remarks</h2><p id="form-of-government">Forms
+        <div class="x ad">Buy</div><div class="share">Share</div><div role="navigation">Next</div></article>"""
+    assert [x for k, x in html_text.lines(inside) if k == html_text.MAIN] == ["Title", "Related", "Proof", "Remarks", "Forms"]
+    outside = '<h2 id="related">A</h2><section id="search-for-a-proof"><p>B</section><div id="cookie-notice">C</div><p data-id="ad">D'
+    assert [x for k, x in html_text.lines(outside) if k == html_text.OTHER] == ["A", "B", "D"]
+
+
 def test_copies_are_no_neighbours(spark):
     def page(own):
         return f"<p>Top<p>{own}<p>Bottom"
