@@ -114,6 +114,75 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM (
 SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+_LEN = "CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce({_LEN.format(value)}, '-')"
+
+
+#: Whether 2 divides the CRC-32 of a number's decimal digits, bit by bit.
+_EVEN_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda r, x: CASE WHEN x < 256 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END) % 2 = 1"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_OP11 = f"""
+WITH RECURSIVE t AS (SELECT *, CASE WHEN {_EVEN_CRC} THEN replace(text, chr(10), '') ELSE text END AS x FROM documents),
+leaf AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {_leaf('text')} AS h, {_leaf('x')} AS o FROM t),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, o) - 1 AS i,
+  count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+low(tree, l, i, n, h) AS (SELECT tree, 0, i, n, h FROM placed UNION ALL
+  SELECT tree, any_value(l) + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY tree, i // 3),
+subs AS (SELECT tree, h AS subroot FROM low WHERE n = 1),
+ends AS (SELECT tree, subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM subs),
+high(l, i, n, h) AS (SELECT 0, i, n, subroot FROM ends UNION ALL
+  SELECT any_value(l) + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY i // 3),
+nodes AS (SELECT tree, l, i, h FROM low WHERE n > 1 UNION ALL
+  SELECT e.tree, x.l + m.l, x.i, h FROM ends e JOIN (SELECT tree, max(l) AS l FROM low GROUP BY tree) m USING (tree) CROSS JOIN high x WHERE x.n > 1),
+steps AS (SELECT p.doc_id, p.tree, p.i AS leaf_i, x.l, x.i, x.h, CASE WHEN x.l < m.l THEN p.i // CAST(3 ** x.l AS BIGINT)
+    ELSE e.i // CAST(3 ** (x.l - m.l) AS BIGINT) END AS own
+  FROM placed p JOIN ends e USING (tree) JOIN (SELECT tree, max(l) AS l FROM low GROUP BY tree) m USING (tree) JOIN nodes x USING (tree)),
+runs AS (SELECT tree, leaf_i, l, any_value(own) AS own, list(h ORDER BY i) AS hs, list(i ORDER BY i) AS ix
+  FROM steps WHERE i // 3 = own // 3 GROUP BY tree, leaf_i, l),
+proofs AS (SELECT tree, leaf_i AS i, sha256(string_agg(array_to_string(list_filter(hs, lambda x, k: ix[k] <> own), ''), '' ORDER BY l)) AS proof_sha256,
+  count(*) AS depth FROM runs GROUP BY tree, leaf_i),
+fold(tree, i, l, h) AS (SELECT tree, i, 0, o FROM placed UNION ALL
+  SELECT f.tree, f.i, f.l + 1, sha256(array_to_string(list_transform(hs, lambda x, k: CASE WHEN ix[k] = own THEN f.h ELSE x END), ''))
+  FROM fold f JOIN runs r ON f.tree = r.tree AND f.i = r.leaf_i AND f.l = r.l)
+SELECT doc_id, p.h AS leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+  f.h AS folded_root, f.h = (SELECT h FROM high WHERE n = 1) AS verified
+FROM placed p JOIN subs USING (tree) LEFT JOIN proofs q ON p.tree = q.tree AND p.i = q.i
+  JOIN fold f ON f.tree = p.tree AND f.i = p.i AND f.l = coalesce(q.depth, 0)"""
+
+
+def _op13(k: int = 8, rounds: int = 10) -> str:
+    near = ("SELECT r, min(CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS HUGEINT) * 8 + c) AS near"
+            " FROM kept CROSS JOIN c{0} GROUP BY r")
+    parts = [f"""
+kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS c, v AS m FROM kept
+  QUALIFY c < {k})"""]
+    for i in range(rounds):
+        parts.append(f"""
+a{i} AS MATERIALIZED ({near.format(i)}),
+s{i} AS (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT CAST(near % 8 AS BIGINT) AS c, unnest(v) AS x, unnest(range(64)) AS p FROM a{i} JOIN kept USING (r))
+  GROUP BY c, p),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(x, m) AS m FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS x
+  FROM s{i} GROUP BY c) USING (c))""")
+    return f"""WITH {','.join(parts)},
+a AS ({near.format(rounds)}),
+d AS (SELECT vec_id, CAST(near % 8 AS INTEGER) AS cluster, CAST(near // 8 AS BIGINT) AS distance FROM a JOIN kept USING (r))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM d JOIN c{rounds} ON c = cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": _op1(),
     "op4_warc": _OP4,
@@ -121,4 +190,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_ngram_join": _OP8,
     "op9_decontaminate": _OP9,
     "op10_substrings": _OP10,
+    "op11_manifest": _OP11,
+    "op13_centroids": _op13(),
 }

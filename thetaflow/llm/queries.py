@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thetaflow.llm import decontaminate, html_text, line_dedup, ngram_join, packing, quality, secrets, substrings, vector_join, warc
+from thetaflow.llm import (centroids, decontaminate, html_text, line_dedup, manifest, neighbours, ngram_join, packing, quality, secrets,
+                           substrings, vector_join, warc)
 from thetaflow.llm.common import table
 from thetaflow.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -53,7 +54,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_secrets, op2_html_text, op3_lines, op4_warc, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (
+    op1_secrets, op2_html_text, op3_lines, op4_warc, op5_quality, op6_pack, op7_vector_join, op8_ngram_join, op9_decontaminate, op10_substrings,
+    op11_manifest, op12_neighbours, op13_centroids)}
