@@ -8,14 +8,14 @@ The method here stays exact and distributed:
 1. a ``percentile_approx`` sketch per group gives ``B`` value breaks, so each
    value falls in one of ``B`` buckets of roughly ``n / B`` rows; equal values
    always share a bucket;
-2. a grouped count of ``(group, bucket, value)`` collapses duplicates (a
+2. per-bucket totals, counted map-side, give each bucket's rank offset (at most
+   ``B`` rows per group);
+3. a grouped count of ``(group, bucket, value)`` collapses duplicates (a
    value holding a third of all rows becomes one row; partial aggregation
-   happens map-side);
-3. per-bucket totals give each bucket's rank offset (at most ``B`` rows per
-   group);
+   happens map-side) -- for quantiles only of the few buckets that contain a
+   target rank, so what is shuffled doesn't follow the number of distinct values;
 4. a window over the distinct values of one bucket gives every distinct
-   value its exact rank range -- for quantiles only in the few buckets that
-   contain a target rank.
+   value its exact rank range.
 
 Quantiles interpolate linearly between the values at ranks ``floor(p(n-1))``
 and ``ceil(p(n-1))``: ``lo + (hi - lo) * frac``.
@@ -52,9 +52,8 @@ def breaks_below(breaks: Column, x: Column, max_breaks: int) -> Column:
     return F.aggregate(arr, F.lit(0), advance)
 
 
-def _sketched(df: DataFrame, value: Column, keys: Sequence[str], buckets: int, accuracy: int,
-              small: bool) -> DataFrame:
-    """Distinct non-null values per (group, bucket) with their multiplicity.
+def _bucketed(df: DataFrame, value: Column, keys: Sequence[str], buckets: int, accuracy: int, small: bool) -> DataFrame:
+    """All non-null values with their bucket.
 
     The sketch has one row per group; ``small`` says the number of groups is
     bounded by the configuration (not by the data), so it is broadcast.
@@ -66,13 +65,17 @@ def _sketched(df: DataFrame, value: Column, keys: Sequence[str], buckets: int, a
         vb = join_groups(v, sk, keys, broadcast=small)
     else:
         vb = v.withColumn("_br", sk.scalar())
-    bucket = breaks_below(F.col("_br"), F.col(V), buckets - 1)
-    return vb.groupBy(*keys, bucket.alias(B), F.col(V)).agg(F.count(F.lit(1)).alias(CNT))
+    return vb.select(*keys, breaks_below(F.col("_br"), F.col(V), buckets - 1).alias(B), V)
 
 
-def _offsets(distinct: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per bucket: size ``_bc``, rank offset ``_off`` and the group size ``_n``."""
-    totals = distinct.groupBy(*keys, B).agg(F.sum(CNT).alias("_bc"))
+def _distinct(values: DataFrame, keys: Sequence[str], *others: str) -> DataFrame:
+    """Distinct values per (group, bucket) with their multiplicity; ``others`` are columns that a bucket determines."""
+    return values.groupBy(*keys, B, V).agg(F.count(F.lit(1)).alias(CNT), *[F.first(o).alias(o) for o in others])
+
+
+def _offsets(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per bucket: size ``_bc``, rank offset ``_off`` and the group size ``_n``; counted map-side."""
+    totals = bucketed.groupBy(*keys, B).agg(F.count(F.lit(1)).alias("_bc"))
     w = Window.partitionBy(*keys).orderBy(B)
     return totals.select(*keys, B, "_bc",
                          F.coalesce(F.sum("_bc").over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -100,16 +103,16 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
     """
     small = small_groups or not keys
     keys = list(keys)
-    distinct = _sketched(df, value, keys, buckets, accuracy, small)
-    offsets = _offsets(distinct, keys)
+    bucketed = _bucketed(df, value, keys, buckets, accuracy, small)
+    offsets = _offsets(bucketed, keys)
     n1 = F.col("_n") - 1
     targets = F.array_distinct(F.array(*[t for p in probs for t in (F.floor(F.lit(float(p)) * n1),
                                                                      F.ceil(F.lit(float(p)) * n1))]))
     need = offsets.select(*keys, B, "_off", "_n", F.filter(targets.cast("array<long>"), lambda k: (
         k >= F.col("_off")) & (k < F.col("_off") + F.col("_bc"))).alias("_ks")).where(F.size("_ks") > 0)
-    # at most 2 x len(probs) buckets per group
-    wanted = join_groups(distinct, need, [*keys, B], broadcast=small)
-    ranked = _ranked_values(wanted, keys)
+    # At most 2 x len(probs) buckets per group: only their values are shuffled, whatever else the data holds.
+    wanted = join_groups(bucketed, need, [*keys, B], broadcast=small)
+    ranked = _ranked_values(_distinct(wanted, keys, "_off", "_n", "_ks"), keys)
     hits = ranked.select(*keys, "_n", F.explode(F.filter("_ks", lambda k: (k >= F.col("_lo")) & (
         k < F.col("_hi")))).alias("_qk"), V)
     at = hits.groupBy(*keys).agg(F.first("_n").alias("_n"),
@@ -130,8 +133,8 @@ def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), buckets:
     average rank (ties share the mean of their positions)."""
     small = small_groups or not keys
     keys = list(keys)
-    distinct = _sketched(df, F.col(f"`{value}`"), keys, buckets, accuracy, small)
-    offsets = _offsets(distinct, keys).select(*keys, B, "_off")
-    ranked = _ranked_values(join_groups(distinct, offsets, [*keys, B], broadcast=small), keys)
+    bucketed = _bucketed(df, F.col(f"`{value}`"), keys, buckets, accuracy, small)
+    offsets = _offsets(bucketed, keys).select(*keys, B, "_off")
+    ranked = _ranked_values(join_groups(_distinct(bucketed, keys), offsets, [*keys, B], broadcast=small), keys)
     avg = F.col("_lo") + (F.col(CNT) + 1) / 2.0
     return ranked.select(*keys, F.col(V).alias(value), avg.alias(name))

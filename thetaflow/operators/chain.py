@@ -2,27 +2,27 @@
 
 Plan shape for the full straddle build, whatever the number of underlyings:
 
-* the option chain is scanned with ``securityid IN (...)`` and
-  ``date >= min_date`` pushed into the parquet reader and joined to the daily
-  closes on ``(securityid, date)``.  Open and close legs are two branches of
-  that base; ``reuse_scan=True`` persists it (memory and disk) so the chain is
-  read once instead of twice, for when scan I/O dominates.  The close table is left to the planner:
-  AQE broadcasts it when measured small, otherwise it is a sort-merge join
-  whose key includes ``date``, so one hot underlying still spreads over all
-  its trading days;
-* the at-the-money leg is a grouped ``min(struct(...))`` per
-  ``(securityid, date, okey_cp)`` -- partial aggregation on the map side, so
-  only one row per group and map task crosses the shuffle;
-* open legs are paired with expiry-day quotes by an inner equi-join on the
-  integer strike (the reference's left join followed by an any-null filter);
+* the option chain is scanned once, with ``securityid IN (...)`` and
+  ``date >= min_date`` pushed into the parquet reader, and joined to the daily
+  closes on ``(securityid, date)``.  Both tables are meant to be bucketed by these two columns
+  (``sources.sinks.write_bucketed``): then neither the join nor the choice of legs
+  moves a quote.  The key includes ``date``, so one hot underlying still spreads over all
+  its trading days.  Without buckets, the planner broadcasts closes that are measured small and shuffles
+  the quotes once;
+* open and close legs are tagged in one pass: a window over ``(securityid, date, okey_cp)`` ranks the
+  open quotes, and all but the best are dropped next to the scan;
+* what is left -- a row for each day and type, and expiry-day quotes -- meets by contract
+  (``securityid, okey_cp, strike, expiration``) in one exchange: a window collects the closing quotes of a contract, a
+  few, for its open legs (the reference's left join followed by an any-null filter);
 * the call/put pivot is a conditional aggregation, which also absorbs the
   whole-row de-duplication and raises on conflicting duplicates.
+
+The legs alone (C2) are a grouped ``min(struct(...))``, reduced map-side where quotes must move.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thetaflow.functions.columns import all_not_null
@@ -114,29 +114,29 @@ MERGED_COLS = ["securityid", "date", "okey_cp", "okey_xx", "expiration", "sprc_d
                "uprc_day_0", "dist_to_strike", "sprc_day_1", "uprc_day_1"]
 
 
-def _paired(options, prices, params, reuse_scan: bool = False) -> DataFrame:
-    base = _with_tte(base_chain(options, prices, params))
-    if reuse_scan:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    opened = _open_from(base, keep_strike=True).withColumnsRenamed(
-        {"sprc": "sprc_day_0", "uprc": "uprc_day_0"})
-    closed = _close_from(base, keep_strike=True).select(
-        "securityid", "okey_cp", "strike",
-        F.col("date").alias("expiration"),
-        F.col("sprc").alias("sprc_day_1"),
-        F.col("uprc").alias("uprc_day_1"),
-    )
+def _paired(options: DataFrame, prices: DataFrame, params: StraddleParams) -> DataFrame:
+    tte, dist = F.col("time_to_expiration"), F.abs(F.col("okey_xx") - F.col("uprc"))
+    quotes = _with_tte(base_chain(options, prices, params)).where(tte.isNotNull()).withColumns(
+        {"is_open": tte > 0, "dist_to_strike": dist})
+    # open quotes first: the first row is the day's open leg, if there is one
+    day = Window.partitionBy("securityid", "date", "okey_cp").orderBy(
+        F.desc("is_open"), *[F.asc_nulls_first(x) for x in ("dist_to_strike", "time_to_expiration", "strike", "sprc", "expiration", "uprc")])
+    legs = quotes.withColumn("place", F.row_number().over(day)).where(~F.col("is_open") | (F.col("place") == 1))
+    ends = F.when(F.col("is_open"), F.col("expiration")).otherwise(F.col("date")).alias("ends")
+    legs = legs.select("*", ends)
+    contract = Window.partitionBy("securityid", "okey_cp", "strike", "ends")
+    close = F.when(~F.col("is_open"), F.struct(F.col("sprc").alias("sprc_day_1"), F.col("uprc").alias("uprc_day_1")))
+    held = legs.withColumn("closes", F.collect_list(close).over(contract)).where("is_open")
+    paired = held.withColumnsRenamed({"sprc": "sprc_day_0", "uprc": "uprc_day_0"}).select("*", F.inline("closes")).select(*MERGED_COLS)
     # Left join + "reject any null" in the reference == inner join + not-null.
-    paired = opened.join(closed, ["securityid", "okey_cp", "strike", "expiration"], "inner")
-    paired = paired.select(*MERGED_COLS)
     paired = paired.where(~F.col("date").isin(list(params.date_problems)))
     return paired.where(all_not_null(MERGED_COLS))
 
 
 def merge_legs(options: DataFrame, prices: DataFrame,
-               params: StraddleParams = StraddleParams(), reuse_scan: bool = False) -> DataFrame:
+               params: StraddleParams = StraddleParams()) -> DataFrame:
     """Open legs paired with their expiry-day quotes, de-duplicated."""
-    return _paired(options, prices, params, reuse_scan).distinct()
+    return _paired(options, prices, params).distinct()
 
 
 PIVOT_INDEX = ["securityid", "date", "okey_xx", "uprc_day_0", "expiration",
@@ -182,7 +182,6 @@ def add_straddle_prices(pivoted: DataFrame) -> DataFrame:
 
 
 def straddles(options: DataFrame, prices: DataFrame,
-              params: StraddleParams = StraddleParams(), on_conflict: str = "raise",
-              reuse_scan: bool = False) -> DataFrame:
+              params: StraddleParams = StraddleParams(), on_conflict: str = "raise") -> DataFrame:
     """C4: one at-the-money straddle per underlying and trading day."""
-    return add_straddle_prices(pivot_legs(_paired(options, prices, params, reuse_scan), on_conflict))
+    return add_straddle_prices(pivot_legs(_paired(options, prices, params), on_conflict))

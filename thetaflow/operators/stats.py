@@ -80,18 +80,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
         return df.sparkSession.createDataFrame([], "column string")
     sub = df.select(*group_cols, *[c(x).cast("double").alias(x) for x in cols]).where(all_not_null(cols))
     if method == "spearman":
-        # Average ranks per column from the distributed rank table, joined back
-        # on (group, value): no window over a whole column.
-        # One rank table for all columns (unpivoted), built once and joined back
-        # per column on (group, column, value).
+        # One rank table for all columns, joined once on (group, column, value), whatever the number of
+        # columns; a row's ranks meet again by the row's number.
+        numbered = sub.withColumn("_row", F.monotonically_increasing_id())
         long = sub.unpivot(list(group_cols), cols, "_col", "_val")
         table = average_ranks(long, "_val", [*group_cols, "_col"], name="_rank", small_groups=not group_cols)
-        ranked = sub
-        for i, x in enumerate(cols):
-            r = table.where(F.col("_col") == x).select(*group_cols, F.col("_val").alias(x),
-                                                        F.col("_rank").alias(f"_r{i}"))
-            ranked = ranked.join(r, [*group_cols, x])
-        sub = ranked.select(*group_cols, *[F.col(f"_r{i}").alias(x) for i, x in enumerate(cols)])
+        values = numbered.unpivot([*group_cols, "_row"], cols, "_col", "_val")
+        ranked = join_groups(values, table, [*group_cols, "_col", "_val"])
+        sub = ranked.groupBy(*group_cols, "_row").agg(
+            *[F.max(F.when(F.col("_col") == x, F.col("_rank"))).alias(x) for x in cols])
     pairs = {}
     for i, a in enumerate(cols):
         for b in cols[i:]:

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from thetaflow.operators import chain, features, regimes, series, signals, stats, vol
 from thetaflow.params import FeatureParams, StraddleParams
-from thetaflow.plans import dataset
+from thetaflow.plans import dataset, report
 from thetaflow.plans.oracle_fixtures import with_fixtures
 from thetaflow.plans.registry import register
-from thetaflow.session import reliable_checkpoint
+from thetaflow.session import stored
 from thetaflow.sources.fixtures import fixture_catalog, materialize_fixtures
 
 #: z-scores near zero come out of a cancellation.
@@ -82,9 +82,16 @@ straddles AS (
     AND sprc_day_1_C IS NOT NULL AND sprc_day_1_P IS NOT NULL)"""
 
 @register("base_chain", with_fixtures(CHAIN_CTES, "SELECT securityid, okey_cp, strike AS okey_xx, date, "
-                                                 "expiration, sprc, uprc FROM base WHERE securityid = 108105"),
+                                                 "expiration, sprc, uprc FROM base"),
           exact=("securityid", "okey_cp", "okey_xx", "date", "expiration"))
 def q_base_chain(spark, sf_dir):
+    return chain.base_chain(*_market(spark, sf_dir), FIXTURE_PARAMS).drop("strike")
+
+
+@register("base_chain_one_id", with_fixtures(CHAIN_CTES, "SELECT securityid, okey_cp, strike AS okey_xx, date, "
+                                                        "expiration, sprc, uprc FROM base WHERE securityid = 108105"),
+          exact=("securityid", "okey_cp", "okey_xx", "date", "expiration"))
+def q_base_chain_one_id(spark, sf_dir):
     return chain.base_chain(*_market(spark, sf_dir), ONE_UNDERLYING).drop("strike")
 
 
@@ -278,14 +285,13 @@ _REPORT_LOCK = threading.Lock()
 
 
 def _report_input(spark, sf_dir):
-    """The backtest that the analysis reports read, cut off the plan by a
-    reliable checkpoint (each report scans it several times).  It is kept for
-    the derived market data that it comes from, which are written anew when
+    """The backtest that the analysis reports read, stored once (each report scans the columns
+    that it needs).  It is kept for the derived market data that it comes from, which are written anew when
     the tables change."""
-    root = materialize_fixtures(spark, sf_dir)
+    root = str(sorted(materialize_fixtures(spark, sf_dir).items()))
     with _REPORT_LOCK:
         if root not in _REPORT_INPUTS:
-            _REPORT_INPUTS[root] = reliable_checkpoint(_backtest(spark, sf_dir))
+            _REPORT_INPUTS[root] = stored(_backtest(spark, sf_dir), "backtest")
         return _REPORT_INPUTS[root]
 
 
@@ -596,52 +602,59 @@ def acf_sql(cols=ACF_COLS, L=40) -> str:
     return "\nUNION ALL ".join(rows)
 
 
-@register("acf", _bt_sql(acf_sql()), exact=("securityid", "column", "lag"))
+@register("acf", _bt_sql(acf_sql()), exact=("securityid", "column", "lag"), decimals={"acf": 10})
 def q_acf(spark, sf_dir):
     return series.autocorrelation(_report_input(spark, sf_dir), ACF_COLS, series_keys=("securityid",))
 
 
-def hist_sql(PNL: str = PNL, limit: float | None = None) -> str:
+def hist_sql(PNL: str = PNL, limit: float | None = None, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    grouped, parted, using = (f"GROUP BY {group}", f"PARTITION BY {group}", f"JOIN hs USING ({group})") if group else ("", "", "CROSS JOIN hs")
     cut = f" AND abs({PNL}) < {limit!r}" if limit is not None else ""
     edge = "CASE WHEN {i} >= nb THEN last ELSE first + {i} * step END"
     shaped = f"""SELECT *, (last - first) / nb AS step FROM (
     SELECT *, CAST(CASE WHEN width > 0 THEN ceil((last - first) / width) ELSE 1 END AS BIGINT) AS nb FROM (
      SELECT *, CASE WHEN fd > 0 THEN LEAST(fd, sturges) ELSE sturges END AS width FROM (
-      SELECT n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
+      SELECT {g}n, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS first, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS last,
         (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * pow(n, {repr(-1.0 / 3.0)}) AS fd FROM (
-       SELECT CAST(COUNT(x) AS DOUBLE) AS n, MIN(x) AS lo, MAX(x) AS hi,
-         quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM hv) AS v1) AS v2) AS v3) AS v4"""
+       SELECT {g}CAST(COUNT(x) AS DOUBLE) AS n, MIN(x) AS lo, MAX(x) AS hi,
+         quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM hv {grouped}) AS v1 WHERE n > 0) AS v2) AS v3) AS v4"""
     return f"""SELECT * FROM (WITH
-hv AS (SELECT CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL{cut}),
+hv AS (SELECT {g}CAST({PNL} AS DOUBLE) AS x FROM backtest WHERE {PNL} IS NOT NULL{cut}),
 hs AS ({shaped}),
-placed AS (SELECT CASE WHEN x >= ({edge.format(i="(i1 + 1)")}) AND i1 <> nb - 1 THEN i1 + 1 ELSE i1 END AS bin FROM (
+placed AS (SELECT *, CASE WHEN x >= ({edge.format(i="(i1 + 1)")}) AND i1 <> nb - 1 THEN i1 + 1 ELSE i1 END AS bin FROM (
   SELECT *, CASE WHEN x < ({edge.format(i="i0")}) THEN i0 - 1 ELSE i0 END AS i1 FROM (
     SELECT *, LEAST(GREATEST(CAST(floor((x - first) / (last - first) * nb) AS BIGINT), 0), nb - 1) AS i0
-    FROM hv, hs) AS p0) AS p1),
-counted AS (SELECT bin, COUNT(*) AS k FROM placed GROUP BY bin),
-every AS (SELECT hs.*, unnest(range(nb)) AS bin FROM hs WHERE n > 0)
-SELECT bin, {edge.format(i="bin")} AS bin_start, {edge.format(i="(bin + 1)")} AS bin_end, COALESCE(k, 0) AS count,
-  COALESCE(k, 0) / ({edge.format(i="(bin + 1)")} - {edge.format(i="bin")}) / n AS density
-FROM every LEFT JOIN counted USING (bin)) AS h"""
+    FROM hv {using}) AS p0) AS p1),
+counted AS (SELECT {g}n, first, last, nb, step, bin, COUNT(*) AS count FROM placed GROUP BY {g}n, first, last, nb, step, bin),
+followed AS (SELECT *, COALESCE(LEAD(bin) OVER ({parted} ORDER BY bin), nb) AS after FROM counted),
+runs AS (SELECT {g}n, first, last, nb, step, bin, CAST(1 AS BIGINT) AS bins, count FROM followed
+  UNION ALL SELECT {g}n, first, last, nb, step, bin + 1, after - bin - 1, 0 FROM followed WHERE after > bin + 1)
+SELECT {g}bin, bins, {edge.format(i="bin")} AS bin_start, {edge.format(i="(bin + bins)")} AS bin_end, count,
+  count / ({edge.format(i="(bin + bins)")} - {edge.format(i="bin")}) / n AS density FROM runs) AS h"""
 
 
-@register("histogram", _bt_sql(hist_sql()), exact=("bin", "count"))
+@register("histogram", _bt_sql(hist_sql()), exact=("bin", "bins", "count"))
 def q_histogram(spark, sf_dir):
     return series.histogram(_report_input(spark, sf_dir), PNL)
 
 
-def kde_sql(col=PNL, grid=200) -> str:
+def kde_sql(col=PNL, grid=200, group: str = "") -> str:
+    g0 = f"{group}, " if group else ""
+    over = f"OVER (PARTITION BY {group})" if group else "OVER ()"
+    grouped = f"GROUP BY {group}" if group else ""
     span = repr(1.0 / (grid - 1))
     g = lambda k: f"(lo + (hi - lo) * (CAST({k} AS DOUBLE) * {span}))"
     pts = ", ".join(f"AVG(exp(-0.5 * (({g(k)} - x) / bw) * (({g(k)} - x) / bw)))" for k in range(grid))
     xs = ", ".join(g(k) for k in range(grid))
     norm = repr(1.0 / math.sqrt(2 * math.pi))
-    return f"""SELECT unnest(list_transform(range({grid}), lambda i: CAST(i AS INTEGER))) AS grid_index,
-  unnest([{xs}]) AS x, unnest(list_transform(d, lambda v: v * {norm} / bw)) AS density
-FROM (SELECT ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(bw) AS bw, [{pts}] AS d
-      FROM (SELECT x, MIN(x) OVER () AS lo, MAX(x) OVER () AS hi,
-                   STDDEV_SAMP(x) OVER () * pow(CAST(COUNT(x) OVER () AS DOUBLE), -0.2) AS bw
-            FROM (SELECT CAST({col} AS DOUBLE) AS x FROM backtest WHERE {col} IS NOT NULL) AS v0) AS v) AS k"""
+    return f"""SELECT {g0}unnest(list_transform(range({grid}), lambda i: CAST(i AS INTEGER))) AS grid_index,
+  unnest([{xs}]) AS x, unnest(list_transform(d, lambda v: CASE WHEN v >= 1e-12 * list_max(d) THEN v * {norm} / bw ELSE 0 END)) AS density
+FROM (SELECT {g0}ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(bw) AS bw, [{pts}] AS d
+      FROM (SELECT {g0}x, MIN(x) {over} AS lo, MAX(x) {over} AS hi,
+                   STDDEV_SAMP(x) {over} * pow(CAST(COUNT(x) {over} AS DOUBLE), -0.2) AS bw
+            FROM (SELECT {g0}CAST({col} AS DOUBLE) AS x FROM backtest WHERE {col} IS NOT NULL) AS v0) AS v
+      WHERE bw > 0 {grouped}) AS k"""
 
 
 @register("kde_curve", _bt_sql(kde_sql()), exact=("grid_index",))
@@ -649,7 +662,7 @@ def q_kde_curve(spark, sf_dir):
     return series.kde_curve(_report_input(spark, sf_dir), PNL)
 
 
-@register("histogram_signal", _bt_sql(hist_sql("ret_uprc_signal")), exact=("bin", "count"))
+@register("histogram_signal", _bt_sql(hist_sql("ret_uprc_signal")), exact=("bin", "bins", "count"))
 def q_histogram_signal(spark, sf_dir):
     return series.histogram(_report_input(spark, sf_dir), "ret_uprc_signal")
 
@@ -671,7 +684,7 @@ def q_dataset_no_features(spark, sf_dir):
     return dataset.dataset_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS, generate_features=False)
 
 
-@register("histogram_limited", _bt_sql(hist_sql(PNL, 100000.0)), exact=("bin", "count"))
+@register("histogram_limited", _bt_sql(hist_sql(PNL, 100000.0)), exact=("bin", "bins", "count"))
 def q_histogram_limited(spark, sf_dir):
     return series.histogram(_report_input(spark, sf_dir), PNL, limit=100000.0)
 
@@ -681,3 +694,13 @@ def q_histogram_limited(spark, sf_dir):
           exact=("date",))
 def q_vol_index_mid(spark, sf_dir):
     return vol.index_mid(_market(spark, sf_dir)[1], 117801, "VIX")
+
+
+@register("histogram_by_underlying", _bt_sql(hist_sql(group="securityid")), exact=("securityid", "bin", "bins", "count"))
+def q_histogram_by_underlying(spark, sf_dir):
+    return series.histogram(_report_input(spark, sf_dir), PNL, group_cols=("securityid",))
+
+
+@register("kde_by_underlying", _bt_sql(kde_sql(group="securityid")), exact=("securityid", "grid_index"))
+def q_kde_by_underlying(spark, sf_dir):
+    return series.kde_curve(_report_input(spark, sf_dir), PNL, group_cols=("securityid",))

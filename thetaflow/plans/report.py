@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thetaflow.operators import regimes, series, stats
 from thetaflow.params import AnalysisParams
-from thetaflow.session import reliable_checkpoint
+from thetaflow.session import stored
 
 
 def full_analysis(df: DataFrame, stats_cols: Sequence[str] | None = None,
@@ -26,7 +26,7 @@ def full_analysis(df: DataFrame, stats_cols: Sequence[str] | None = None,
     A report that is not requested is an empty frame, as in the reference.
     """
     spark = df.sparkSession
-    base = reliable_checkpoint(df) if checkpoint else df
+    base = stored(df, "analysis") if checkpoint else df
     empty = spark.createDataFrame([], "column string")
     out = {
         "descriptive_stats": stats.describe(base, stats_cols, params, group_cols) if stats_cols is not None else empty,
@@ -49,7 +49,7 @@ def strategy_report(backtest_df: DataFrame, signal_base: str = "ret_uprc_signal"
     ``group_cols=("securityid",)`` makes the statistics and regime tables per
     underlying when the backtest holds several.
     """
-    bt = reliable_checkpoint(backtest_df) if checkpoint else backtest_df
+    bt = stored(backtest_df, "report") if checkpoint else backtest_df
     pnl, pos = f"{signal_base}_pnl", f"{signal_base}_pos"
     g = tuple(group_cols)
     return {

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings that the operators are designed around.  AQE re-plans joins
 # at runtime (broadcast when a side is measured small, skew-split otherwise)
@@ -66,11 +67,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
-def reliable_checkpoint(df):
-    """Cut lineage by writing ``df`` to the shared checkpoint folder.
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as parquet to the shared checkpoint folder and reading it back.
 
-    Survives executor loss (unlike a local checkpoint); used where one table
-    feeds many independent reports.
+    Survives executor loss (unlike a local checkpoint), and its readers take only the columns
+    that they need; used where one table feeds many independent reports.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

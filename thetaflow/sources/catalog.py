@@ -1,4 +1,6 @@
-"""Named sources: a name -> path registry read with declared schemas.
+"""Named sources: a name -> table or path registry read with declared schemas.
+
+A name stands for a table of Spark's catalog (bucketed tables keep their buckets this way) or for parquet files.
 
 Reading with a declared schema keeps the scan lazy, lets Catalyst push the
 ``securityid`` / ``date`` predicates and column pruning into the parquet
@@ -9,7 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thetaflow.sources import schemas
 
@@ -21,13 +25,14 @@ SOURCE_SCHEMAS = {
 
 @dataclass
 class Catalog:
-    """Maps source names to parquet paths (or to registered temp views).
+    """Maps source names to catalog tables, parquet paths or registered temp views.
 
     ``views`` lets tests and fixtures register DataFrames under a source name.
     """
 
     spark: SparkSession
     paths: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, str] = field(default_factory=dict)
     views: dict[str, DataFrame] = field(default_factory=dict)
     persist: bool = False  # keep loaded sources in executor memory/disk for reuse
 
@@ -43,17 +48,24 @@ class Catalog:
         return df
 
     def _read(self, name: str) -> DataFrame:
-        if name not in SOURCE_SCHEMAS and name not in self.paths:
+        if name not in SOURCE_SCHEMAS and name not in self.paths and name not in self.tables:
             raise ValueError(f"unknown source {name!r}")
+        schema = SOURCE_SCHEMAS.get(name)
+        if name in self.tables:
+            if not self.spark.catalog.tableExists(self.tables[name]):
+                raise FileNotFoundError(self.tables[name])
+            df = self.spark.table(self.tables[name])
+            return df.select(*schema.fieldNames()) if schema else df
         path = self.paths.get(name)
         if path is None:
-            raise ValueError(f"no path registered for source {name!r}")
-        if not path_states(self.spark, path):
-            raise FileNotFoundError(path)
-        reader = self.spark.read
-        if name in SOURCE_SCHEMAS:
-            reader = reader.schema(SOURCE_SCHEMAS[name])
-        return reader.parquet(path)
+            raise ValueError(f"no table or path registered for source {name!r}")
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        try:
+            return reader.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(path) from e
+            raise
 
     def security_price(self) -> DataFrame:
         return self.load("om_int_security_price")
@@ -67,12 +79,7 @@ class Catalog:
         return self
 
 
-def path_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(name, bytes, time of change) of what a path or pattern names and of the
-    files right below it, by the path's own file system; empty if there is nothing."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = list(files.globStatus(place) or [])
-    found += [x for f in found if f.isDirectory() for x in files.listStatus(f.getPath())]
-    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+def file_states(spark: SparkSession, path: str) -> list[tuple]:
+    """(name, bytes, time of change) of the files below a path, listed by Spark without being read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.unix_micros("modificationTime"))
+    return sorted(map(tuple, files.collect()))

@@ -18,8 +18,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thetaflow.session import checkpoint_dir
-from thetaflow.sources.catalog import Catalog, path_states
-from thetaflow.sources import schemas
+from thetaflow.sources.catalog import Catalog, file_states
+from thetaflow.sources.sinks import write_bucketed
 
 UNDERLYING = 108105
 VIX, VVIX, VIXM = 117801, 152892, 145764
@@ -142,43 +142,43 @@ def option_price_from_prices(security_price: DataFrame) -> DataFrame:
 
 
 _LOCK = threading.Lock()
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str], dict[str, str]] = {}
 
+#: A line item gives up to 60 quotes; a bucket is to hold about this many line items' worth.
+BUCKET_ITEMS, LEAST_BUCKETS = 80_000, 8
 
-def materialize_fixtures(spark: SparkSession, sf_dir: str) -> str:
-    """Derive the two market-data tables from ``orders`` once per session.
 
-    They are written as parquet under the shared checkpoint folder
-    (``spark.checkpoint.dir``), prices partitioned by ``securityid``, and
-    every query then scans them like production sources: the ``securityid``
-    filter prunes partitions and the date filter reaches the parquet reader.
-    A lost executor only loses cached blocks; the tables stay on shared storage.
+def materialize_fixtures(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Derive the two market-data tables once per session; source name -> table of Spark's catalog.
+
+    Their files lie under the shared checkpoint folder (``spark.checkpoint.dir``), bucketed by
+    ``(securityid, date)``, as many files as the rows call for, and
+    every query then scans them like production sources: filters reach the parquet reader, and joins and groupings by these
+    columns need no exchange.  A lost executor only loses cached blocks; the tables stay on shared storage.
     """
-    # what is written is used again as long as the table's files stay the same
-    key = (spark.sparkContext.applicationId, str([path_states(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")]))
+    # what is written is used again as long as the tables' files stay the same
+    key = (spark.sparkContext.applicationId, str([file_states(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")]))
     with _LOCK:
         if key in _WRITTEN:
             return _WRITTEN[key]
-        root = "/".join((checkpoint_dir(spark).rstrip("/"), f"fixtures-{key[0]}-{uuid.uuid4().hex[:8]}"))
+        tag = uuid.uuid4().hex[:8]
+        root = "/".join((checkpoint_dir(spark).rstrip("/"), f"fixtures-{key[0]}-{tag}"))
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
             "o_orderdate", "o_totalprice", "o_custkey")
         lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_quantity")
+        buckets = max(LEAST_BUCKETS, -(-lineitem.count() // BUCKET_ITEMS))
+        tables = {f"om_int_{name}": f"{name}_{tag}" for name in ("security_price", "option_price")}
         prices = security_price_from_orders(orders).unionAll(security_price_from_lineitem(lineitem))
-        # one file for each security, by bounded ranges: as many files as securities
-        prices.repartition("securityid").write.mode("overwrite").partitionBy("securityid").parquet(f"{root}/security_price")
-        written = spark.read.schema(schemas.SECURITY_PRICE).parquet(f"{root}/security_price")
-        option_price_from_prices(written).write.mode("overwrite").parquet(f"{root}/option_price")
-        _WRITTEN[key] = root
-        return root
+        write_bucketed(prices, tables["om_int_security_price"], f"{root}/security_price", buckets)
+        written = spark.table(tables["om_int_security_price"])
+        write_bucketed(option_price_from_prices(written), tables["om_int_option_price"], f"{root}/option_price", buckets)
+        _WRITTEN[key] = tables
+        return tables
 
 
 def fixture_catalog(spark: SparkSession, sf_dir: str, gappy: bool = False) -> Catalog:
-    """Catalog whose two market-data sources are derived from ``orders``."""
-    root = materialize_fixtures(spark, sf_dir)
-    cat = Catalog(spark, paths={
-        "om_int_security_price": f"{root}/security_price",
-        "om_int_option_price": f"{root}/option_price",
-    })
+    """Catalog whose two market-data sources are derived from ``orders`` and ``lineitem``."""
+    cat = Catalog(spark, tables=materialize_fixtures(spark, sf_dir))
     if gappy:
         cat.register("om_int_security_price", security_price_gappy(cat.security_price()))
     return cat
