@@ -20,7 +20,7 @@ SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=[Healt
 @given(values=VALUES, probs=PROBS)
 def test_exact_quantiles_match_numpy(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = exact_quantiles(df, F.col("x"), probs, buckets=8).collect()[0]["quantiles"]
+    got = exact_quantiles(df, F.col("x"), probs, accuracy=8).collect()[0]["quantiles"]
     want = np.percentile(np.array(values), [p * 100 for p in probs])
     np.testing.assert_allclose(got, want, rtol=1e-12, atol=1e-9)
 

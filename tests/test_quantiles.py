@@ -20,17 +20,17 @@ def data(spark):
     return df, g, x
 
 
-@pytest.mark.parametrize("buckets", [64, 1024])
-def test_grouped_quantiles_exact(data, buckets):
+@pytest.mark.parametrize("accuracy", [5, 64, 10_000])
+def test_grouped_quantiles_exact(data, accuracy):
     df, g, x = data
-    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, F.col("x"), PROBS, ["g"], buckets=buckets).collect()}
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, F.col("x"), PROBS, ["g"], accuracy=accuracy).collect()}
     for key in "ab":
         np.testing.assert_allclose(got[key], np.percentile(x[g == key], [p * 100 for p in PROBS]), atol=1e-12)
 
 
 def test_ungrouped_quantiles_exact(data):
     df, _, x = data
-    got = exact_quantiles(df, F.col("x"), PROBS, buckets=64).collect()[0]["quantiles"]
+    got = exact_quantiles(df, F.col("x"), PROBS, accuracy=64).collect()[0]["quantiles"]
     np.testing.assert_allclose(got, np.percentile(x, [p * 100 for p in PROBS]), atol=1e-12)
 
 

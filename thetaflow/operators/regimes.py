@@ -41,13 +41,14 @@ def _long(df: DataFrame, columns: Sequence[str] | None, signal_bases: Sequence[s
                                  side.alias("side"), c(col).cast("double").alias("x"),
                                  c(pnl).cast("double").alias("pnl")))
     if not rows:
-        raise ValueError("no usable signal / column combination")
+        raise ValueError("none of the signals comes with its position, PnL and columns")
     return df.select(*group_cols, F.inline(F.array(*rows))).where(F.col("side").isNotNull())
 
 
-def quantile_bucket(x: Column, breaks: Column) -> Column:
-    """Right-closed bucket index: ``1 + #(breaks < x)``; null x has no bucket."""
-    return F.when(x.isNotNull(), F.size(F.filter(breaks, lambda b: b < x)) + 1)
+def quantile_bucket(x: Column, breaks: Column, n: int) -> Column:
+    """Right-closed bucket index: ``1 + #(breaks < x)`` of at most ``n`` breaks; null x has no bucket."""
+    below = sum((F.when(F.get(breaks, F.lit(i)) < x, 1).otherwise(0) for i in range(n)), F.lit(1))
+    return F.when(x.isNotNull(), below)
 
 
 def _bucket_stats(long: DataFrame, bucket: Column, params: AnalysisParams, group_cols) -> DataFrame:
@@ -79,7 +80,7 @@ def sharpe_by_decile(df: DataFrame, signal_bases: Sequence[str], columns: Sequen
     # One row per (signal, column, side): bounded by the configuration when
     # no series keys are given, so broadcast; per-series tables go to AQE.
     with_breaks = join_groups(long, breaks, keys, broadcast=not group_cols)
-    out = _bucket_stats(with_breaks, quantile_bucket(F.col("x"), F.col("breaks")), params, group_cols)
+    out = _bucket_stats(with_breaks, quantile_bucket(F.col("x"), F.col("breaks"), q - 1), params, group_cols)
     return out.select(
         *group_cols, *KEYS, "bucket",
         F.format_string("D%d", F.col("bucket")).alias("decile"),
@@ -100,8 +101,8 @@ def sharpe_by_fixed_bin(df: DataFrame, signal_bases: Sequence[str], columns: Seq
                         params: AnalysisParams = AnalysisParams(), group_cols: Sequence[str] = ()) -> DataFrame:
     """Sharpe by fixed right-closed bins ``(a, b]`` of each column, per side."""
     if not params.fixed_breaks:
-        raise ValueError("fixed_breaks must contain at least one break")
+        raise ValueError("a table by fixed bins needs breaks")
     long = _long(df, columns, signal_bases, group_cols)
     arr = F.array_sort(F.array_distinct(F.array(*[F.lit(float(v)) for v in params.fixed_breaks])))
-    out = _bucket_stats(long, quantile_bucket(F.col("x"), arr), params, group_cols)
+    out = _bucket_stats(long, quantile_bucket(F.col("x"), arr, len(params.fixed_breaks)), params, group_cols)
     return out.select(*group_cols, *KEYS, "bucket", interval_label(F.col("bucket"), arr).alias("BinLabel"), "SharpeRatio")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thetaflow.operators import chain, features, regimes, series, signals, stats, vol
-from thetaflow.params import FeatureParams, StraddleParams
+from thetaflow.params import AnalysisParams, FeatureParams, StraddleParams
 from thetaflow.plans import dataset, report
 from thetaflow.plans.oracle_fixtures import with_fixtures
 from thetaflow.plans.registry import register
@@ -484,8 +484,8 @@ SHARPE_SQL = (f"CASE WHEN n >= 2 THEN CASE WHEN std IS NOT NULL AND std <> 0 THE
               f"{SQRT252} WHEN mean = 0 AND (std IS NULL OR std = 0) THEN CAST(0.0 AS DOUBLE) END END")
 
 
-def regime_long_sql(cols, base="ret_uprc_signal") -> str:
-    parts = [f"""SELECT '{base}' AS signal_base, '{col}' AS "column",
+def regime_long_sql(cols, base="ret_uprc_signal", g: str = "") -> str:
+    parts = [f"""SELECT {g}'{base}' AS signal_base, '{col}' AS "column",
   CASE WHEN {base}_pos > 0 THEN 'long' ELSE 'short' END AS side,
   CAST({col} AS DOUBLE) AS x, CAST({base}_pnl AS DOUBLE) AS pnl FROM backtest WHERE {base}_pos <> 0""" for col in cols]
     return "\nUNION ALL ".join(parts)
@@ -496,26 +496,27 @@ FIXED_LABELS = ("['<= -2.00', '(-2.00, -1.00]', '(-1.00, -0.50]', '(-0.50, 0.00]
                 "'(1.00, 2.00]', '> 2.00']")
 
 
-def regime_sql(cols, fixed=None) -> str:
-    long = regime_long_sql(cols)
+def regime_sql(cols, fixed=None, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    long = regime_long_sql(cols, g=g)
     if fixed is None:
         probs = ", ".join(repr(i / 10) for i in range(1, 10))
         bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN CAST(len(list_filter(breaks, lambda b: b < x)) + 1 AS INTEGER) END AS bucket
-  FROM ({long}) AS l JOIN (SELECT signal_base, "column", side, quantile_cont(x, [{probs}]) AS breaks
-                          FROM ({long}) AS l0 GROUP BY signal_base, "column", side) AS br
-  USING (signal_base, "column", side)"""
+  FROM ({long}) AS l JOIN (SELECT {g}signal_base, "column", side, quantile_cont(x, [{probs}]) AS breaks
+                          FROM ({long}) AS l0 GROUP BY {g}signal_base, "column", side) AS br
+  USING ({g}signal_base, "column", side)"""
     else:
         arr = ", ".join(f"CAST({b!r} AS DOUBLE)" for b in fixed)
         bucketed = f"""SELECT l.*, CASE WHEN x IS NOT NULL THEN CAST(len(list_filter([{arr}], lambda b: b < x)) + 1 AS INTEGER) END AS bucket
   FROM ({long}) AS l"""
-    stats_ = f"""SELECT signal_base, "column", side, bucket, MIN(x) AS x_min, MAX(x) AS x_max, COUNT(pnl) AS n,
+    stats_ = f"""SELECT {g}signal_base, "column", side, bucket, MIN(x) AS x_min, MAX(x) AS x_max, COUNT(pnl) AS n,
   AVG(pnl) AS mean, STDDEV_SAMP(pnl) AS std FROM ({bucketed}) AS b WHERE bucket IS NOT NULL
-  GROUP BY signal_base, "column", side, bucket"""
+  GROUP BY {g}signal_base, "column", side, bucket"""
     if fixed is None:
         label = "'D' || bucket AS decile, printf('%.2f to %.2f', x_min, x_max) AS DecileAxisLabel"
     else:
         label = f"list_extract({FIXED_LABELS}, bucket) AS BinLabel"
-    return f"""SELECT signal_base, "column", side, bucket, {label}, sharpe AS SharpeRatio
+    return f"""SELECT {g}signal_base, "column", side, bucket, {label}, sharpe AS SharpeRatio
 FROM (SELECT *, {SHARPE_SQL} AS sharpe FROM ({stats_}) AS s) AS t WHERE sharpe IS NOT NULL"""
 
 
@@ -704,3 +705,117 @@ def q_histogram_by_underlying(spark, sf_dir):
 @register("kde_by_underlying", _bt_sql(kde_sql(group="securityid")), exact=("securityid", "grid_index"))
 def q_kde_by_underlying(spark, sf_dir):
     return series.kde_curve(_report_input(spark, sf_dir), PNL, group_cols=("securityid",))
+
+
+# ------------------------------------------------ whole reports (C10, C11) as long tables
+
+REPORT_EXACT = ("report", "grp", "key", "measure")
+#: Decimals that values near zero, which come out of a cancellation, are compared with.
+REPORT_DECIMALS = {"correlation_matrix": 10, "autocorrelation": 10}
+
+
+def _near_zero(df: DataFrame) -> DataFrame:
+    cases = " ".join(f"WHEN report = '{r}' THEN CAST(replace(format_number(value, {d}), ',', '') AS DOUBLE)" for r, d in REPORT_DECIMALS.items())
+    return df.withColumn("value", F.expr(f"CASE {cases} ELSE value END"))
+
+
+def _part_sql(report_name: str, sql: str, keys, measures, group: str = "") -> str:
+    """One table of a report as rows (report, grp, key, measure, value)."""
+    def joined(names):
+        return " || '|' || ".join(f"COALESCE(CAST(\"{n}\" AS VARCHAR), '')" for n in names) or "''"
+
+    d = REPORT_DECIMALS.get(report_name)
+    rows = []
+    for m in measures:
+        v = f'CAST("{m}" AS DOUBLE)'
+        v = f"CAST(printf('%.{d}f', {v}) AS DOUBLE) + CAST(0.0 AS DOUBLE)" if d else v
+        rows.append(f"SELECT '{report_name}' AS report, {joined([group] if group else [])} AS grp, {joined(keys)} AS key, "
+                    f"'{m}' AS measure, {v} AS value FROM part")
+    return f"SELECT * FROM (WITH part AS MATERIALIZED (SELECT * FROM ({sql}) AS p0) " + " UNION ALL ".join(rows) + ") AS p1"
+
+
+REGIME_KEYS = ("signal_base", "column", "side", "bucket", "decile", "DecileAxisLabel")
+BIN_KEYS = ("signal_base", "column", "side", "bucket", "BinLabel")
+CUM = "ret_uprc_signal_cum_pnl"
+BIN_MEASURES = ("bins", "bin_start", "bin_end", "count", "density")
+
+
+def _period_sql(start: str, name: str, group: str = "", col: str = PNL) -> str:
+    g = f"{group}, " if group else ""
+    return (f"SELECT {g}CAST({start} AS DATE) AS {name}, SUM({col}) AS {col} FROM backtest "
+            f"WHERE date IS NOT NULL AND {col} IS NOT NULL GROUP BY ALL")
+
+
+def _semester_sql(group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    return f"""SELECT {g}CAST(year(date) AS INTEGER) AS plot_year, CAST((month(date) - 1) // 6 + 1 AS INTEGER) AS plot_semester,
+  MIN(date) AS min_date, MAX(date) AS max_date, COUNT(*) AS n_days, SUM({PNL}) AS {PNL}
+FROM backtest WHERE date IS NOT NULL AND {PNL} IS NOT NULL GROUP BY ALL"""
+
+
+_YEARLY_SQL = f"""SELECT securityid, year, date, cum - FIRST_VALUE(cum) OVER (PARTITION BY securityid, year ORDER BY date) AS {CUM}
+FROM (SELECT securityid, date, {CUM} AS cum, CAST(year(date) AS INTEGER) AS year,
+        LEAST(make_date(CAST(year(date) AS INTEGER) + 1, 1, 1), MAX(date) OVER (PARTITION BY securityid)) AS e
+      FROM backtest) AS y WHERE date < e"""
+_LONG_SHORT_SQL = f"""SELECT securityid, date, {CUM},
+  CASE WHEN {POS} > 0 THEN SUM({PNL}) OVER w END AS long_pnl_contribution,
+  CASE WHEN {POS} < 0 THEN SUM({PNL}) OVER w END AS short_pnl_contribution
+FROM backtest WINDOW w AS (PARTITION BY securityid, CASE WHEN {POS} > 0 THEN 'long' WHEN {POS} < 0 THEN 'short' END
+  ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+_S = "securityid"
+STRATEGY_PARTS = [
+    ("cumulative_total", f"SELECT securityid, date, {CUM} FROM backtest", ("date",), (CUM,)),
+    ("cumulative_by_year", _YEARLY_SQL, ("year", "date"), (CUM,)),
+    ("long_short_cumulative", _LONG_SHORT_SQL, ("date",), (CUM, "long_pnl_contribution", "short_pnl_contribution")),
+    ("pnl_stats_total", pnl_stats_sql("backtest", PNL, group=_S), ("Statistic",), ("Value",)),
+    ("pnl_stats_short", pnl_stats_sql("backtest", PNL, where=f"{POS} < 0", group=_S), ("Statistic",), ("Value",)),
+    ("pnl_stats_long", pnl_stats_sql("backtest", PNL, where=f"{POS} > 0", group=_S), ("Statistic",), ("Value",)),
+    ("autocorrelation", acf_sql(), ("column", "lag"), ("acf", "conf_band")),
+    ("pnl_histogram", hist_sql(group=_S), ("bin",), BIN_MEASURES),
+    ("pnl_kde", kde_sql(group=_S), ("grid_index",), ("x", "density")),
+    ("signal_histogram", hist_sql("ret_uprc_signal", group=_S), ("bin",), BIN_MEASURES),
+    ("signal_kde", kde_sql("ret_uprc_signal", group=_S), ("grid_index",), ("x", "density")),
+    ("pnl_semesters", _semester_sql(_S), ("plot_year", "plot_semester", "min_date", "max_date"), ("n_days", PNL)),
+    ("pnl_daily", _period_sql("date", "date", _S), ("date",), (PNL,)),
+    ("pnl_weekly", _period_sql("date_trunc('week', date)", "weekly_start_date", _S), ("weekly_start_date",), (PNL,)),
+    ("sharpe_by_signal_decile", regime_sql(["ret_uprc_signal"], group=_S), REGIME_KEYS, ("SharpeRatio",)),
+    ("sharpe_by_vol_decile", regime_sql(["VIX", "VVIX", "VIX_TS"], group=_S), REGIME_KEYS, ("SharpeRatio",)),
+    ("sharpe_by_zscore_bin", regime_sql(list(ZCOLS), fixed=FIXED_BREAKS, group=_S), BIN_KEYS, ("SharpeRatio",)),
+]
+
+
+@register("strategy_report", _bt_sql("\nUNION ALL ".join(_part_sql(n, q, k, m, _S) for n, q, k, m in STRATEGY_PARTS)), exact=REPORT_EXACT)
+def q_strategy_report(spark, sf_dir):
+    tables = report.strategy_report(_report_input(spark, sf_dir), checkpoint=False, group_cols=("securityid",))
+    return _near_zero(report.long_table(tables, ("securityid",)))
+
+
+OTHER_PNL = "ret_sprc_signal_pnl"
+ANALYSIS_CHARTS = report.Charts(
+    timeseries=(CUM,), histograms=(PNL, "ret_uprc_signal"), pnl_bars=(PNL,), semesters=(PNL,), signal_deciles=("ret_uprc_signal",),
+    column_deciles=("VIX", "VVIX", "VIX_TS"), fixed_bins=ZCOLS, acf=ACF_COLS)
+ANALYSIS_PARTS = [
+    ("descriptive_stats", describe_sql("backtest", REPORT_COLS), ("column",),
+     ("count", "null_count", "mean", "std", "min", *[stats.percentile_name(p) for p in AnalysisParams().percentiles], "max")),
+    ("correlation_matrix", corr_sql("backtest", CORR_COLS), ("column",), CORR_COLS),
+    ("pnl_statistics", "SELECT * FROM (" + pnl_stats_sql("backtest", OTHER_PNL, tag=OTHER_PNL) + ") AS r1 UNION ALL SELECT * FROM ("
+     + pnl_stats_sql("backtest", PNL, tag=PNL) + ") AS r2", ("PnL Source", "Statistic"), ("Value",)),
+    (f"timeseries:{CUM}", f"SELECT securityid, date, {CUM} FROM backtest", ("securityid", "date"), (CUM,)),
+    *[(f"histogram:{x}", hist_sql(x), ("bin",), BIN_MEASURES) for x in (PNL, "ret_uprc_signal")],
+    *[(f"kde:{x}", kde_sql(x), ("grid_index",), ("x", "density")) for x in (PNL, "ret_uprc_signal")],
+    (f"pnl_daily:{PNL}", _period_sql("date", "date"), ("date",), (PNL,)),
+    (f"pnl_weekly:{PNL}", _period_sql("date_trunc('week', date)", "weekly_start_date"), ("weekly_start_date",), (PNL,)),
+    (f"pnl_monthly:{PNL}", _period_sql("date_trunc('month', date)", "monthly_start_date"), ("monthly_start_date",), (PNL,)),
+    (f"pnl_semester:{PNL}", _semester_sql(), ("plot_year", "plot_semester", "min_date", "max_date"), ("n_days", PNL)),
+    ("sharpe_by_signal_decile", regime_sql(["ret_uprc_signal"]), REGIME_KEYS, ("SharpeRatio",)),
+    ("sharpe_by_column_decile", regime_sql(["VIX", "VVIX", "VIX_TS"]), REGIME_KEYS, ("SharpeRatio",)),
+    ("sharpe_by_fixed_bin", regime_sql(list(ZCOLS), fixed=FIXED_BREAKS), BIN_KEYS, ("SharpeRatio",)),
+    ("autocorrelation", acf_sql(), ("securityid", "column", "lag"), ("acf", "conf_band")),
+]
+
+
+@register("full_analysis", _bt_sql("\nUNION ALL ".join(_part_sql(n, q, k, m) for n, q, k, m in ANALYSIS_PARTS)), exact=REPORT_EXACT)
+def q_full_analysis(spark, sf_dir):
+    tables = report.full_analysis(_report_input(spark, sf_dir), REPORT_COLS, CORR_COLS, "pearson", [OTHER_PNL, PNL],
+                                  checkpoint=False, charts=ANALYSIS_CHARTS)
+    return _near_zero(report.long_table(tables))
