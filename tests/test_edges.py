@@ -215,12 +215,13 @@ def test_histogram_matches_numpy(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_t(3, 500)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    got = sorted((r["bin"], r["count"], r["density"]) for r in series.histogram(df, "x").collect())
-    from tests.test_properties import numpy126_auto_counts
+    rows = series.histogram(df, "x").collect()
+    from tests.test_properties import every_bin, numpy126_auto_counts
     counts, edges = numpy126_auto_counts(x)
     dens = counts / np.diff(edges) / counts.sum()
-    assert [g[:2] for g in got] == [(i, int(c)) for i, c in enumerate(counts)]
-    np.testing.assert_allclose([g[2] for g in got], dens, rtol=1e-9)
+    assert every_bin(rows) == [(i, int(c)) for i, c in enumerate(counts)]
+    got = {r["bin"]: r["density"] for r in rows if r["count"]}
+    np.testing.assert_allclose([got[i] for i in sorted(got)], dens[counts > 0], rtol=1e-9)
 
 
 def test_kde_matches_brute_force(spark):
@@ -250,12 +251,40 @@ def test_many_underlyings_equal_union_of_single_runs(spark):
     assert one.exceptAll(many.where("securityid = 7")).count() == 0
 
 
-def test_reuse_scan_gives_same_straddles(spark):
+def test_one_pass_pairs_like_a_join_of_both_legs(spark):
     from thetaflow.plans.queries import FIXTURE_PARAMS, _market
     o, p = _market(spark, "/root/testdata/sf0.001")
-    a = chain.straddles(o, p, FIXTURE_PARAMS)
-    b = chain.straddles(o, p, FIXTURE_PARAMS, reuse_scan=True)
-    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    opened = chain.open_legs(o, p, FIXTURE_PARAMS, keep_strike=True).withColumnsRenamed({"sprc": "sprc_day_0", "uprc": "uprc_day_0"})
+    closed = chain.close_legs(o, p, FIXTURE_PARAMS, keep_strike=True).select(
+        "securityid", "okey_cp", "strike", F.col("date").alias("expiration"), F.col("sprc").alias("sprc_day_1"),
+        F.col("uprc").alias("uprc_day_1"))
+    want = opened.join(closed, ["securityid", "okey_cp", "strike", "expiration"]).select(*chain.MERGED_COLS).where(
+        ~F.col("date").isin(list(FIXTURE_PARAMS.date_problems))).dropna().distinct()
+    got = chain.merge_legs(o, p, FIXTURE_PARAMS)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_straddles_scan_the_chain_once_and_move_no_quote(spark):
+    """Plans on bucketed tables, also where the closes are too large to broadcast."""
+    from thetaflow.plans.queries import FIXTURE_PARAMS, _market
+    o, p = _market(spark, "/root/testdata/sf0.001")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            assert not any("Exchange hash" in line for line in _plan(chain.open_legs(o, p, FIXTURE_PARAMS)))
+            plan = _plan(chain.straddles(o, p, FIXTURE_PARAMS))
+            assert sum("option_price" in line and "Scan" in line for line in plan) == 1
+            scan = next(i for i, line in enumerate(plan) if "option_price" in line and "Scan" in line)
+            chosen = next(i for i, line in enumerate(plan) if "row_number()" in line and "Window" in line)
+            assert chosen < scan and not any("Exchange hash" in line for line in plan[chosen:])
+            assert ("SortMergeJoin" in "".join(plan)) == (threshold == "-1")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_ewma_and_zscore_per_series_key(spark):
@@ -284,3 +313,52 @@ def test_kde_and_histogram_on_constant_and_single_values(spark):
     one = spark.createDataFrame([(7.0,)], "x double")
     assert series.kde_curve(one, "x").count() == 0
     assert series.histogram(one, "x").collect()[0]["count"] == 1
+
+
+def test_far_outlier_costs_one_row_of_the_histogram(spark):
+    rows = series.histogram(spark.createDataFrame([(v,) for v in [0.0, 1e-9, 2e-9, 3e-9] * 25 + [1e6]], "x double"), "x").orderBy("bin").collect()
+    assert [r["count"] for r in rows] == [25, 25, 25, 25, 0, 1]
+    assert rows[4]["bins"] > 1e15 and rows[5]["bin"] == rows[4]["bin"] + rows[4]["bins"] and rows[5]["bin_end"] == 1e6
+    rows = series.histogram(spark.createDataFrame([(v,) for v in [0.0, 1e-300, 2e-300, 3e-300] * 25 + [1e300]], "x double"), "x").collect()
+    assert sum(r["count"] for r in rows) == 101 and sum(r["bins"] for r in rows) == 8  # Sturges: no double tells FD's bins apart
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1.0,), (2.0,)], "x double")
+    assert sum(r["count"] for r in series.histogram(odd, "x").collect()) == 2
+
+
+def test_grouped_distributions_equal_single_ones(spark):
+    rng = np.random.default_rng(11)
+    rows = [(g, float(v)) for g, n in ((None, 30), ("a", 400), ("b", 1), ("c", 90)) for v in rng.standard_t(2, n)] + [("d", 1.0)] * 5 + [("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for make in (series.histogram, series.kde_curve):
+        many = make(df, "x", group_cols=("g",))
+        groups = [r[0] for r in many.select("g").distinct().collect()]
+        assert set(groups) == ({None, "a", "b", "c", "d"} if make is series.histogram else {None, "a", "c"})
+        for g in groups:
+            one = make(df.where(F.col("g").eqNullSafe(F.lit(g))), "x").collect()
+            some = many.where(F.col("g").eqNullSafe(F.lit(g))).drop("g").collect()
+            key = "bin" if make is series.histogram else "grid_index"
+            for a, b in zip(sorted(one, key=lambda r: r[key]), sorted(some, key=lambda r: r[key]), strict=True):
+                assert list(a) == pytest.approx(list(b), rel=1e-12)
+
+
+def test_kde_with_gaps_and_outliers(spark):
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.normal(0, 1, 3000), rng.normal(40, 0.1, 50), 90.0]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    out = series.kde_curve(df, "x", 120)
+    bw = x.std(ddof=1) * len(x) ** -0.2
+    got = np.array([r["density"] for r in out.orderBy("grid_index").collect()])
+    want = np.exp(-0.5 * ((np.linspace(x.min(), x.max(), 120)[:, None] - x) / bw) ** 2).mean(1) / (bw * math.sqrt(2 * math.pi))
+    np.testing.assert_allclose(got, np.where(want >= 1e-12 * want.max(), want, 0), rtol=1e-9)
+
+
+def test_acf_over_chunk_borders(spark):
+    rng = np.random.default_rng(13)
+    for n in (41, 60, 1024, 1030, 1064, 1065, 2100):
+        x = rng.normal(0, 1, n)
+        x[0] = 1e4  # sums that were subtracted would lose their digits
+        df = spark.createDataFrame([(i, float(v), 7.0 if i else 2.0) for i, v in enumerate(x)], "date int, x double, k double")
+        got = {(r["column"], r["lag"]): r["acf"] for r in series.autocorrelation(df, ["x", "k"], AnalysisParams(acf_max_lags=40)).collect()}
+        for lag in range(1, min(40, n - 2) + 1):
+            assert got["x", lag] == pytest.approx(np.corrcoef(x[lag:], x[:-lag])[0, 1], abs=1e-9)
+        assert [k for k in got if k[0] == "k"] == [("k", 0)]  # constant but for the first value, which no lag's later values hold

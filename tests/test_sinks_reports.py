@@ -44,6 +44,58 @@ def test_parquet_sink(spark, tmp_path):
         "securityid = 108105").count() > 0
 
 
+def test_parquet_sink_clusters_and_replaces_single_years(spark, tmp_path):
+    path = str(tmp_path / "pq")
+    rows = [(sid, dt.date(year, 1, 1) + dt.timedelta(d), float(sid + d)) for sid in range(300) for year in (2023, 2024) for d in range(4)]
+    df = spark.createDataFrame(rows, "securityid int, date date, x double")
+    sinks.write_dataset(df, path)
+    files = spark.read.parquet(path).inputFiles()
+    assert len(files) < 20  # not one for each of 300 underlyings
+    first = {f for f in files if "year=2023" in f}
+    sinks.write_dataset(df.where("year(date) = 2024").withColumn("x", F.lit(-1.0)), path)
+    back = spark.read.parquet(path)
+    assert {f for f in back.inputFiles() if "year=2023" in f} == first and back.count() == len(rows)
+    assert {r[0] for r in back.where("year = 2024").select("x").distinct().collect()} == {-1.0}
+    sinks.write_dataset(df, path, file_rows=100)
+    assert len(spark.read.parquet(path).inputFiles()) >= len(rows) / 100
+
+
+def test_csv_rejects_are_a_table(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("date,a\n2024-01-02,1.5\n2024-01-03,oops\nsoon,2\n2024-01-05,\n2024-01-06,1,2\n")
+    schema = spark.createDataFrame([], "date date, a double").schema
+    rows, bad = sinks.read_csv_checked(spark, str(tmp_path / "x.csv"), schema)
+    assert rows.columns == ["date", "a"] and sorted(map(tuple, rows.collect())) == [
+        (dt.date(2024, 1, 2), 1.5), (dt.date(2024, 1, 5), None)]
+    assert sorted(r["line"] for r in bad.collect()) == ["2024-01-03,oops", "2024-01-06,1,2", "soon,2"]
+    assert all(r["file"].endswith("x.csv") for r in bad.collect())
+
+
+def test_named_tables(spark, tmp_path):
+    from thetaflow.sources.catalog import Catalog
+
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 2), 3.0, None, None, "more")], "securityid int, date date, closeprice double, "
+                               "bidlow double, askhigh double, other string")
+    sinks.write_bucketed(df, "named_prices", str(tmp_path / "t"), 3)
+    cat = Catalog(spark, tables={"om_int_security_price": "named_prices", "om_int_option_price": "no_such_table"})
+    assert cat.security_price().columns == ["securityid", "date", "closeprice", "bidlow", "askhigh"]
+    with pytest.raises(FileNotFoundError):
+        cat.option_price()
+    with pytest.raises(ValueError):
+        cat.load("unheard_of")
+
+
+def test_whole_report_in_one_table(spark):
+    from thetaflow.plans.queries import ANALYSIS_CHARTS, _report_input
+
+    bt = _report_input(spark, SF)
+    tables = report.full_analysis(bt, ["VIX"], ["VIX", "VVIX"], charts=ANALYSIS_CHARTS, checkpoint=False)
+    long = report.long_table(tables)
+    names = {r[0] for r in long.select("report").distinct().collect()}
+    assert names == set(tables) - {"pnl_statistics"}  # not asked for: no rows
+    assert long.groupBy("report", "grp", "key", "measure").count().where("count > 1").isEmpty()
+    assert report.chart_tables(bt, report.Charts(histograms=("no such column",))) == {}
+
+
 def test_reports_build(spark):
     bt = _backtest(spark, SF)
     out = report.strategy_report(bt)
@@ -90,7 +142,7 @@ def test_histogram_has_every_bin_and_no_product(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (10.0,)], "x double")
     out = series.histogram(df, "x", bins=10)
     rows = out.orderBy("bin").collect()
-    assert [r["count"] for r in rows] == [2] + [0] * 8 + [1]
+    assert [(r["bin"], r["bins"], r["count"]) for r in rows] == [(0, 1, 2), (1, 8, 0), (9, 1, 1)]
     assert sum(r["density"] * (r["bin_end"] - r["bin_start"]) for r in rows) == pytest.approx(1)
     assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
 

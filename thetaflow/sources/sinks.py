@@ -68,6 +68,8 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType,
     whole = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
     raw = (spark.read.schema(whole).option("header", True).option("dateFormat", date_format).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_line").csv(path))
-    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"))
-    return (rows.where(F.col("_line").isNull()).select(*[F.col(f"`{f.name}`") for f in schema.fields]),
+    cells = [F.col(f"`{f.name}`") for f in schema.fields]
+    # The parser checks the cells that are read: the condition, which always holds, reads all of them.
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file")).where(F.concat_ws("", *[x.cast("string") for x in cells]) >= "")
+    return (rows.where(F.col("_line").isNull()).select(*cells),
             rows.where(F.col("_line").isNotNull()).select(F.col("_file").alias("file"), F.col("_line").alias("line")))
