@@ -48,6 +48,17 @@ def test_word_hashes_tell_words_apart():
         assert windows.setdefault(h, words[i:i + 5]) == words[i:i + 5]
 
 
+@pytest.mark.parametrize("size", [32, 256, 1024, 8192])
+def test_word_hashes_of_long_alike_words(size):
+    """Words that polynomial hashes modulo a power of two can't tell apart, and words that differ at one place."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(size)).encode()
+    other = one.translate(bytes.maketrans(b"ab", b"ba"))
+    alike = [one, other, one[::-1] + b"c", one[:-1] + b"c", b"c" + one[1:], one[:size // 2], one[1:], other[1:]]
+    names, counts = common.hashed_words([w + b" x" for w in alike] + [b" ".join(alike)])
+    assert counts.tolist() == [2] * len(alike) + [len(alike)]
+    assert names[:2 * len(alike):2].tolist() == names[2 * len(alike):].tolist() and len(set(names.tolist())) == len(set(alike)) + 1
+
+
 # ------------------------------------------------------------------ packing
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=40))

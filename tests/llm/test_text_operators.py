@@ -63,8 +63,17 @@ def test_substrings(spark, held):
     assert got == brute.substring_removal(dict(rows))
 
 
-def test_substrings_repeated_ids(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "BROADCAST_IDS", 0)
+@pytest.mark.parametrize("size", [256, 1024, 8192])
+def test_long_words_that_hashes_may_confuse(spark, size):
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    v = w.translate(str.maketrans("ab", "ba"))
+    twelve = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, w), (2, v), (3, f"{twelve} {w}"), (4, f"{twelve} {v}")]
+    assert [r["component_id"] for r in ngram_join.report(frame(spark, rows)).orderBy("doc_id").collect()] == [1, 2, 3, 3]
+    assert [r["n_removed"] for r in substrings.report(frame(spark, rows)).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+
+
+def test_substrings_repeated_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(1, a), (2, b + " " + a), (2, a + " " + b), (2, a), (2, a), (None, a), (3, None)]
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.report(frame(spark, rows)).collect())

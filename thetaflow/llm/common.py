@@ -18,8 +18,6 @@ from thetaflow.session import checkpoint_dir
 #: so memory does not follow the Arrow batch size or a table's longest texts.
 RUN_BYTES = 1 << 20
 
-_GOLDEN = 0x9E3779B97F4A7C15
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,33 +79,31 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of an odd number modulo 2**64, and of its inverse."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_GOLDEN, pow(_GOLDEN, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: A random number for each byte at each of the first places of a word.
+SHORT = 48
+_PLACED = np.random.default_rng(20).integers(0, 1 << 64, SHORT * 256, np.uint64)
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words between ASCII white space, and the number of words of each text.
 
-    A word's hash is a polynomial in its bytes, taken from running sums, so
-    there is no work for each word in Python; equal words of any text are equal.
+    A word of up to ``SHORT`` bytes is the sum of random numbers drawn for its bytes and their places,
+    taken from running sums, so there is no work for each word in Python; a longer one is hashed by
+    xxh3.  Equal words of any text are equal.
     """
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     white = _WHITE[raw]
     starts = np.flatnonzero(~white & np.r_[True, white[:-1]])
     stops = np.flatnonzero(white & np.r_[False, ~white[:-1]])
-    power, inverse = _powers(len(raw))
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * power)]
-    names = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    first = np.zeros(len(raw), np.int32)
+    first[starts] = starts
+    place = np.arange(len(raw), dtype=np.int32) - np.maximum.accumulate(first)
+    np.minimum(place, SHORT - 1, out=place)
+    sums = np.r_[np.uint64(0), np.cumsum(_PLACED[place * 256 + raw])]
+    sizes = stops - starts
+    names = mix(sums[stops] - sums[starts] + sizes.astype(np.uint64))
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        names[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:stops[i]].tobytes())
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.r_[0, np.searchsorted(starts, ends)])
     return names, counts
