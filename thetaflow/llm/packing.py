@@ -66,7 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(public_tokenizers.path(name))
-        self.slow.encode_special_tokens = True
+        # texts that may hold a token of the file's own, which is found before any splitting, go the file's way
+        added = [re.escape(t.content.strip()) for t in self.slow.get_added_tokens_decoder().values()]
+        self.own = re.compile("|".join(added).encode()) if added else None
         with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
@@ -74,7 +76,7 @@ class Encoder:
 
     def ids(self, text: bytes) -> list[int]:
         string = text.decode("utf-8")
-        if text.translate(None, _OTHER_LEADS) or _CONTROLS.search(text):
+        if text.translate(None, _OTHER_LEADS) or _CONTROLS.search(text) or self.own and self.own.search(text):
             return self.slow.encode(string, add_special_tokens=False).ids
         return self.fast.encode_ordinary(string)
 
