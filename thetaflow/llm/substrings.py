@@ -27,8 +27,7 @@ key.  The ranges found are bounded by a document's length and are joined to
 the texts by id.
 
 Exact copies of a text with a smaller id need no search; they are told by a
-128-bit hash, and left out of it if their ids are few enough to broadcast
-(the search gives the same result, so this changes the work only).
+128-bit hash and left out of it (the search gives the same result, so this changes the work only).
 
 Defined results: null, empty and short texts lose nothing; rows without id
 neither lose words nor make others lose any; rows of one id are judged one by
@@ -58,8 +57,6 @@ TUPLE = 2
 HASH_BYTES = 5
 #: Windows of one key that a task remembers.
 HELD = 2_000_000
-#: Up to so many ids (16 bytes each) are broadcast.
-BROADCAST_IDS = 200_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -295,19 +292,12 @@ def removal(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col:
             held: int = HELD) -> DataFrame:
     """(id, text, tag, ranges): documents with the word ranges to remove (null: none)."""
     docs = tagged(docs, id_col, text_col)
-    copies = stored(
-        docs.where("id IS NOT NULL AND text IS NOT NULL")
-        .select("id", "tag", F.md5(F.col("text").cast("binary")).alias("key"))
-        .groupBy("key").agg(F.min("id").alias("least"), F.collect_set(F.struct("id", "tag")).alias("all"))
-        .where(F.size("all") > 1).select("least", F.explode("all").alias("x"))
-        .select("x.id", "x.tag", "least").where("id > least").select("id", "tag"), "copies")
-    source = docs.where("id IS NOT NULL")
-    if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        source = source.join(F.broadcast(copies), ["id", "tag"], "left_anti").select("id", "text", "tag")
-        whole = copies.select("id", "tag", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"))).alias("ranges"))
-        ranges = repeated_ranges(source, n, held).unionAll(whole)
-    else:
-        ranges = repeated_ranges(source, n, held)
+    keyed = docs.where("id IS NOT NULL AND text IS NOT NULL").select("id", "tag", F.md5(F.col("text").cast("binary")).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    copies = stored(keyed.join(least, "key").where("id > least").select("id", "tag").distinct(), "copies")
+    source = docs.where("id IS NOT NULL").join(copies, ["id", "tag"], "left_anti").select("id", "text", "tag")
+    whole = copies.select("id", "tag", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"))).alias("ranges"))
+    ranges = repeated_ranges(source, n, held).unionAll(whole)
     ranges = stored(ranges, "ranges")
     return docs.join(ranges, ["id", "tag"], "left").select("id", "text", "tag", "ranges")
 
