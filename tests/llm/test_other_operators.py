@@ -88,7 +88,6 @@ def test_packing(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    slow.encode_special_tokens = True
     rows = documents(n=40) + [(900, "<|endoftext|> hi  there's x\u0085y"), (901, "数字 ١٢٣ Ǆ 😀\x00\x1f"), (2, ""), (None, "abc")]
     got = packing.pack(common.stored(packing.pieces(frame(spark, rows, True), 64), "p"), 64, block_rows=7).collect()
     pieces = {}
@@ -310,6 +309,77 @@ def test_slugs_and_article_headers_stay():
     assert [x for k, x in html_text.lines(outside) if k == html_text.OTHER] == ["A", "B", "D"]
 
 
+def kept(html):
+    every = html_text.lines(html)
+    return [x for k, x in every if k == html_text.MAIN] or [x for k, x in every if k == html_text.INNER]
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="layout with-sidebar">', '<div class="page header-fixed">', '<form id="aspnetForm" action="x">',
+                                     '<div class="menu-open"><div class="has-footer content">', '<div id="page" class="no-banner">'])
+def test_wrappers_keep_the_article(wrapper):
+    for main in ("article", "main"):
+        page = f'{wrapper}<nav>Menu</nav><p>Site</p><{main}><h1>Title</h1><p>Text</p></{main}><div class="footer">End</div>'
+        assert kept(page) == ["Title", "Text"]
+    bare = f'<div class="layout with-sidebar"><p>Text</p><div class="sidebar">Side</div></div>'
+    assert [x for k, x in html_text.lines(bare) if k == html_text.OTHER] == ["Text"]
+    teasers = '<div class="sidebar-box"><article>Teaser</article></div><article>Text</article>'
+    assert kept(teasers) == ["Text"]
+    comments = '<div class="comments-area"><article class="comment">Nice</article></div><div class="page-form"><article class="comment">So</article></div>'
+    assert kept(comments) == []
+
+
+def test_furniture_inside_articles_goes():
+    for what in ('class="cookie-notice"', 'class="notice"', 'class="banner"', 'class="comments-area"', 'class="ad-slot"', 'id="comments"',
+                 'class="related-posts"', 'class="newsletter-signup"', 'class="x share-buttons"', 'class="comment-list"', 'role="complementary"'):
+        assert kept(f"<article><h1>Title</h1><p>Text</p><div {what}><p>Other</p></div><p>End</p></article>") == ["Title", "Text", "End"], what
+    for what in ('class="related-work"', 'class="market-share"', 'class="entry-header"', 'class="with-ads"', 'id="related-posts-of-ours"', 'class="note"'):
+        assert kept(f"<article><h1>Title</h1><div {what}><p>Own</p></div></article>") == ["Title", "Own"], what
+    assert kept('<article><pre><code>x = 1 <span class="token comment"># why</span></code></pre></article>') == ["x = 1 # why"]
+
+
+def test_pages_without_article_against_plain_differencing(spark):
+    """The whole query against a plain pairing and a quadratic alignment, on pages that differ in many lines."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        top = ["Site", "Menu one", "Menu two", f"Section {i // 6}"]
+        own = [f"{rng.choice('abcd')} line {rng.randrange(9)} of {i if rng.random() < 0.8 else 'many'}" for _ in range(rng.randrange(0, 8))]
+        rows.append((i, f"http://H/{'ab'[i % 2]}/{i // 6:02}/{i:02}", "".join(f"<p>{x}|</p>" for x in top + own + ["End"])))
+    rows += [(90, rows[7][1], rows[7][2]), (91, "http://alone/x", "<p>Text|")]
+    got = {r["page_id"]: r["text"] for r in html_text.report(frame(spark, rows, False, "page_id long, url string, html string")).collect()}
+
+    def parts(row):
+        return row[1].split("/")[2].lower(), "/" + "/".join(row[1].split("/")[3:]), [x for x in row[2].replace("</p>", "").split("<p>") if x]
+
+    firsts = {}  # equal pages are one, at the first of their paths
+    for row in rows:
+        host, path, own = parts(row)
+        key = host, tuple(own)
+        firsts[key] = min(firsts.get(key, (path, row[0])), (path, row[0]))
+    for row in rows:
+        host, path, own = parts(row)
+        order = sorted((at, list(k)) for (h, k), at in firsts.items() if h == host)
+        at = next(i for i, (_, k) in enumerate(order) if k == own)
+        mine = order[at][0][0]
+        sides = [order[j] for j in (at - 1, at + 1) if 0 <= j < len(order)]
+        best = max(sides, key=lambda x: len(__import__("os").path.commonprefix([x[0][0], mine])), default=None)
+        other = best[1] if best else []
+        table = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+        for i, a in enumerate(own):
+            for j, b in enumerate(other):
+                table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+        left = [x.strip() + "|" for x in got[row[0]].split("|") if x]
+        assert len(left) == len(own) - table[-1][-1]
+        gone, at = [], 0  # what is left is in order, and the rest is in the other page in order
+        for x in own:
+            if at < len(left) and x == left[at] and (x not in other or own.count(x) == 1 and x not in gone):
+                at += 1
+            else:
+                gone.append(x)
+        steps = iter(other)
+        assert at == len(left) and all(any(x == y for y in steps) for x in gone)
+
+
 def test_copies_are_no_neighbours(spark):
     def page(own):
         return f"<p>Top<p>{own}<p>Bottom"
