@@ -21,7 +21,8 @@ Steps, each a Spark job over all rows:
 4. verify each document against one centre, that of most of its lists, and
    take connected components: a large group of near copies becomes one
    component through its centres, in linear work;
-5. pair documents of different components in what is left: every pair that
+5. fold lists of the same documents into one with a weight, and pair
+   documents of different components in what is left: every pair that
    shares l prefix shingles, and enough of them for what lies behind the
    prefixes to make up the rest, and that no component links yet, is verified.  No pair is left out, and none inside a component is made.
 
@@ -157,40 +158,6 @@ def _postings(n: int, percent: int, shared):
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shingle, rare, id): drops lists of one document, adds each
-    list's first row as its centre.  Holds a batch and one row."""
-    held: pa.RecordBatch | None = None  # the first row of a list of which no other row has come yet
-    last, centre = None, None
-    names = ["shingle", "id", "level", "l", "size", "centre", "centre_level", "centre_l", "centre_size"]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shingle = batch.column(0).to_numpy()
-        fields = [batch.column(i).to_numpy() for i in range(5)]
-        n = len(shingle)
-        starts = np.r_[last is None or shingle[0] != last, shingle[1:] != shingle[:-1]]
-        first = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
-        goes_on = first < 0  # of the list that the batch before began
-        at = np.maximum(first, 0)
-        c = [np.where(goes_on, centre[k], fields[f][at]) if centre else fields[f][at] for k, f in enumerate((1, 2, 3, 4))]
-        alone = starts & np.r_[starts[1:], False]
-        open_end = bool(starts[-1])
-        keep = ~alone
-        if open_end:
-            keep[-1] = False
-        if held is not None and not starts[0]:
-            yield held
-        held = None
-        columns = [*fields, *c]
-        out = pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
-        if open_end:
-            held = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in columns], names=names)
-        last, centre = shingle[-1], [x[-1] for x in c]
-        if out.num_rows:
-            yield out
-
-
 def _compare(n: int, percent: int):
     """(centre, salt, role, id, text) sorted by (centre, salt, role): each centre's texts (role 0) before its
     candidates; yields the candidates that are alike."""
@@ -269,10 +236,18 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
                     .where("own = 0").select("id"), "copies")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     source = docs.where("id IS NOT NULL").join(F.broadcast(copies) if few else copies, "id", "left_anti").select("id", "text")
-    lists = stored(source.mapInArrow(_postings(n, percent, shared), "shingle long, id long, level int, l int, size int, rare int")
-                   .repartition("shingle").sortWithinPartitions("shingle", "rare", "id")
-                   .mapInArrow(_lists, "shingle long, id long, level int, l int, size int, centre long, "
-                                       "centre_level int, centre_l int, centre_size int"), "lists")
+    # a list's centre, its length, and a hash of the documents on it; lists of one document go
+    whole, name = Window.partitionBy("shingle"), F.xxhash64("id")
+    lists = (source.mapInArrow(_postings(n, percent, shared), "shingle long, id long, level int, l int, size int, rare int")
+             .repartition("shingle")
+             .select("shingle", "id", "level", "l", "size", F.count("*").over(whole).alias("n"),
+                     F.min(F.struct("rare", "id", "level", "l", "size")).over(whole).alias("c"),
+                     F.sum(F.shiftright(name, 32)).over(whole).alias("high"),
+                     F.sum(name.bitwiseAND(F.lit(0xFFFFFFFF))).over(whole).alias("low"))
+             .where("n > 1"))
+    lists = stored(lists.select("id", "level", "l", "size", "n", F.xxhash64("n", "high", "low").alias("set"),
+                                F.col("c.id").alias("centre"), F.col("c.level").alias("centre_level"),
+                                F.col("c.l").alias("centre_l"), F.col("c.size").alias("centre_size")), "lists")
     # of the centres that a document shares enough with, the one it shares most with
     least = F.least("l", "centre_l")
     starred = (lists.where((F.col("id") != F.col("centre")) & _near("size", "centre_size", percent))
@@ -280,47 +255,50 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
                    F.sum(F.when(F.greatest("level", "centre_level") <= least, 1).otherwise(0)).alias("n"),
                    F.first(least).alias("l")).where("n >= l"))
     starred = starred.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
-    first = stored(verified(stored(starred, "starred"), docs, n, percent).unionAll(edges), "links")
+    first = stored(verified(stored(starred, "starred"), docs, n, percent, few=True).unionAll(edges), "links")
     nodes = components(first)
 
-    # lists that hold several components
-    rows = (lists.select("shingle", F.col("id").alias("rep"), "l", "size").distinct()
-            .join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
-            .withColumn("component", F.coalesce("component", "rep")))
-    every, part = Window.partitionBy("shingle"), Window.partitionBy("shingle", "component")
-    rows = (rows.repartition("shingle").withColumn("c", F.count("*").over(part))
-            .select("shingle", "rep", "l", "size", "component", F.min("component").over(every).alias("low"),
-                    F.max("component").over(every).alias("high"), F.count("*").over(every).alias("n"),
+    # Lists with the same documents are one list with a weight, so near copies that share hundreds of shingles meet once.
+    # If two sets of documents had one hash, weights would only be too large: more pairs would be verified, none left out.
+    # Texts of one id are told apart by their sizes and prefixes.
+    rows = (lists.groupBy("set", F.struct("id", "size", "l").alias("d"))
+            .agg(F.count("*").alias("w"), F.first("n").alias("n"))
+            .withColumn("node", F.col("d.id")).join(nodes, "node", "left")
+            .withColumn("component", F.coalesce("component", "node")).drop("node"))
+    every, part = Window.partitionBy("set"), Window.partitionBy("set", "component")
+    rows = (rows.repartition("set").withColumn("c", F.count("*").over(part))
+            .select("set", "d", "w", "n", "component", F.min("component").over(every).alias("low"),
+                    F.max("component").over(every).alias("high"),
                     F.max_by("component", F.struct("c", "component")).over(every).alias("main"))  # a list's largest
             .where("low < high").drop("low", "high"))
     rows = stored(rows, "mixed")
-    # Of a document's mixed lists, shortest first, lists - k + 1 are left from its k-th on: if that is the first that a
-    # pair has in common, they share no more.
-    own = Window.partitionBy("rep")
-    rows = rows.select("*", F.count("*").over(own).alias("lists"), F.row_number().over(own.orderBy("n", "shingle")).alias("k"))
-    rows = stored(rows, "ranked")
+    # Of a document's mixed lists, shortest first, what weighs from one on bounds what a pair shares that meets there first.
+    own = Window.partitionBy("d")
+    so_far = F.sum("w").over(own.orderBy("n", "set").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = stored(rows.select("*", (F.sum("w").over(own) - so_far + F.col("w")).alias("left")), "ranked")
     # all rows but those of a list's largest component meet all others
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
-    # The prefix that ends first in the global order is compared in full: of its set at most what lies behind it, and
-    # the shingles found to be shared, can be common.
-    behind = F.greatest(*[F.ceil(F.col(f"{t}.size") * F.lit(percent) / 100).cast("long") - F.col(f"{t}.l") for t in "xy"])
-
-    def enough(shared):
-        return (shared + behind) * (100 + percent) >= percent * (F.col("x.size").cast("long") + F.col("y.size"))
-
-    met = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
-                  & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-                  & _near("x.size", "y.size", percent)
-                  & enough(F.least(F.col("x.lists") - F.col("x.k"), F.col("y.lists") - F.col("y.k")) + 1))
-           .select(F.least("x.rep", "y.rep").alias("id"), F.greatest("x.rep", "y.rep").alias("centre")).distinct())
+
+    def enough(a: str, b: str, shared):
+        """The prefix that ends first in the global order is compared in full: of its set at most what lies behind it,
+        and the shingles found to be shared, can be common."""
+        behind = F.greatest(*[F.ceil(F.col(f"{d}.size") * F.lit(percent) / 100).cast("long") - F.col(f"{d}.l") for d in (a, b)])
+        return (shared >= F.least(f"{a}.l", f"{b}.l")) & (
+            (shared + behind) * (100 + percent) >= percent * (F.col(f"{a}.size").cast("long") + F.col(f"{b}.size")))
+
+    met = (x.join(y, (F.col("x.set") == F.col("y.set")) & (F.col("x.component") != F.col("y.component"))
+                  & ((F.col("y.component") == F.col("y.main")) | (F.col("x.d") < F.col("y.d")))
+                  & _near("x.d.size", "y.d.size", percent) & enough("x.d", "y.d", F.least("x.left", "y.left")))
+           .select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct())
     met = stored(met, "met")
-    meeting = met.select(F.explode(F.array("id", "centre")).alias("rep")).distinct()
-    # a document's prefix bounds its shingles here
-    posted = rows.join(meeting, "rep", "left_semi").groupBy("rep").agg(
-        F.collect_set("shingle").alias("shingles"), F.first("size").alias("size"), F.first("l").alias("l"))
-    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    rest = (met.join(posted.alias("x"), F.col("id") == F.col("x.rep")).join(posted.alias("y"), F.col("centre") == F.col("y.rep"))
-            .where((shared >= F.least("x.l", "y.l")) & enough(shared)).select("id", "centre"))
+    meeting = met.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+    # a document's prefix bounds its lists here
+    posted = rows.join(meeting, "d", "left_semi").groupBy("d").agg(
+        F.map_from_entries(F.collect_list(F.struct("set", "w"))).alias("sets"))
+    shared = F.aggregate(F.array_intersect(F.map_keys("x.sets"), F.map_keys("y.sets")), F.lit(0).cast("long"),
+                         lambda total, k: total + F.element_at(F.col("x.sets"), k))
+    rest = (met.join(posted.alias("x"), F.col("a") == F.col("x.d")).join(posted.alias("y"), F.col("b") == F.col("y.d"))
+            .where(enough("a", "b", shared)).select(F.col("a.id").alias("id"), F.col("b.id").alias("centre")).distinct())
     rest = stored(rest, "pairs")
     if rest.isEmpty():
         final = nodes
