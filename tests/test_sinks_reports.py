@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from thetaflow.functions.columns import c
-from thetaflow.operators import regimes, series, stats
+from thetaflow.operators import chain, regimes, series, stats
 from thetaflow.plans import dataset, report
 from thetaflow.plans.queries import FIXTURE_PARAMS, _backtest, _market
+from thetaflow.plans.registry import QUERIES
 from thetaflow.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -221,3 +222,21 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_ids_from_a_table(spark):
+    rows = spark.createDataFrame([(1, 10.0), (1, 11.0), (2, 20.0), (3, 30.0), (None, 40.0)], "securityid int, x double")
+    ids = spark.createDataFrame([(1,), (1,), (3,), (9,), (None,)], "securityid long")
+    kept = chain.of_ids(rows, ids)
+    assert kept.columns == rows.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, 10.0), (1, 11.0), (3, 30.0)]
+    assert chain.of_ids(rows, ids.limit(0)).isEmpty()
+    assert 0 < QUERIES["base_chain_by_table"].build(spark, SF).count() < QUERIES["base_chain"].build(spark, SF).count()
+
+
+def test_sorted_queries_come_in_order(spark):
+    days = [(r["securityid"], r["date"]) for r in QUERIES["dataset_1dte_sorted"].spark(spark, SF).collect()]
+    assert days and days == sorted(days) and len({i for i, _ in days}) > 1
+    buckets = [(*(r[k] for k in regimes.KEYS), r["bucket"])
+               for r in QUERIES["sharpe_by_signal_decile_ordered"].spark(spark, SF).collect()]
+    assert len(buckets) > 10 and buckets == sorted(buckets)

@@ -38,6 +38,15 @@ def wanted(params: StraddleParams):
     return F.col("securityid").isin([int(i) for i in params.underlyings])
 
 
+def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """P1 by table: the rows of the underlyings that ``ids`` (a ``securityid`` column) lists.
+
+    A left-semi join, so repeated ids repeat no row, null ids match none, and no list of ids
+    passes through the driver; the planner broadcasts the ids only if they are small.
+    """
+    return rows.join(ids.select(F.col("securityid").cast(rows.schema["securityid"].dataType)), "securityid", "left_semi")
+
+
 def base_chain(options: DataFrame, prices: DataFrame,
                params: StraddleParams = StraddleParams()) -> DataFrame:
     """Option quotes joined to the underlying close of the same day.

@@ -95,6 +95,18 @@ def q_base_chain_one_id(spark, sf_dir):
     return chain.base_chain(*_market(spark, sf_dir), ONE_UNDERLYING).drop("strike")
 
 
+@register("base_chain_by_table", with_fixtures(CHAIN_CTES, "SELECT securityid, okey_cp, strike AS okey_xx, date, "
+                                                          "expiration, sprc, uprc FROM base WHERE securityid IN "
+                                                          "(SELECT 200000 + s_suppkey FROM supplier WHERE s_nationkey < 12)"),
+          exact=("securityid", "okey_cp", "okey_xx", "date", "expiration"))
+def q_base_chain_by_table(spark, sf_dir):
+    """The ids come from a table: the underlyings of suppliers of the first nations."""
+    options, prices = _market(spark, sf_dir)
+    ids = (spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_nationkey < 12")
+           .select((F.col("s_suppkey") + 200000).alias("securityid")))
+    return chain.base_chain(chain.of_ids(options, ids), prices, FIXTURE_PARAMS).drop("strike")
+
+
 @register("open_legs", with_fixtures(CHAIN_CTES, "SELECT * FROM open_legs"),
           exact=("securityid", "date", "okey_cp", "expiration", "time_to_expiration"))
 def q_open_legs(spark, sf_dir):
@@ -295,6 +307,12 @@ def _report_input(spark, sf_dir):
         return _REPORT_INPUTS[root]
 
 
+@register("dataset_1dte_sorted", with_fixtures(DATASET_CTES, "SELECT * FROM dataset ORDER BY securityid NULLS FIRST, "
+                                                           "date NULLS LAST"), decimals=ZSCORES)
+def q_dataset_sorted(spark, sf_dir):
+    return dataset.dataset_1dte(*_market(spark, sf_dir), FIXTURE_PARAMS, sort=True)
+
+
 @register("dataset_1dte", with_fixtures(DATASET_CTES, "SELECT * FROM dataset"), decimals=ZSCORES)
 def q_dataset(spark, sf_dir):
     return _dataset(spark, sf_dir)
@@ -528,6 +546,14 @@ def q_sharpe_by_signal_decile(spark, sf_dir):
     return regimes.sharpe_by_decile(_report_input(spark, sf_dir), ["ret_uprc_signal"])
 
 
+@register("sharpe_by_signal_decile_ordered", "SELECT * FROM (" + _bt_sql(regime_sql(["ret_uprc_signal"])) + ")",
+          exact=REGIME_EXACT)
+def q_sharpe_by_signal_decile_ordered(spark, sf_dir):
+    """By bucket number, so D10 comes after D9."""
+    return (regimes.sharpe_by_decile(_report_input(spark, sf_dir), ["ret_uprc_signal"])
+            .orderBy(*regimes.KEYS, "bucket"))
+
+
 @register("sharpe_by_vol_decile", _bt_sql(regime_sql(["VIX", "VVIX", "VIX_TS"])), exact=REGIME_EXACT)
 def q_sharpe_by_vol_decile(spark, sf_dir):
     return regimes.sharpe_by_decile(_report_input(spark, sf_dir), ["ret_uprc_signal"], ["VIX", "VVIX", "VIX_TS"])
