@@ -50,7 +50,7 @@ def test_decile_bucket_counts_sum_to_n(bt):
     from thetaflow.functions.quantiles import exact_quantiles
     keys = regimes.KEYS
     br = exact_quantiles(long, F.col("x"), [i / 10 for i in range(1, 10)], keys, name="breaks")
-    b = long.join(br, keys).withColumn("bucket", regimes.quantile_bucket(F.col("x"), F.col("breaks")))
+    b = long.join(br, keys).withColumn("bucket", regimes.quantile_bucket(F.col("x"), F.col("breaks"), 9))
     per_side = {r["side"]: r["n"] for r in b.groupBy("side").agg(F.count("bucket").alias("n")).collect()}  # noqa: E501
     assert sum(per_side.values()) == bt.where("ret_uprc_signal_pos <> 0").count()
 
