@@ -362,3 +362,20 @@ def test_acf_over_chunk_borders(spark):
         for lag in range(1, min(40, n - 2) + 1):
             assert got["x", lag] == pytest.approx(np.corrcoef(x[lag:], x[:-lag])[0, 1], abs=1e-9)
         assert [k for k in got if k[0] == "k"] == [("k", 0)]  # constant but for the first value, which no lag's later values hold
+
+
+def test_histogram_gives_every_bin_a_row(spark, monkeypatch):
+    monkeypatch.setattr(series, "RUN_BINS", 3)
+    df = spark.createDataFrame([(g, float(x)) for g in "ab" for x in (0, 0.5, 1, 1, 20, 99.5, 1000)], "g string, x double")
+    want, edges = np.histogram([0, 0.5, 1, 1, 20, 99.5], bins=50)
+    rows = series.histogram(df.where("g = 'a'"), "x", bins=50, limit=100, every_bin=True).orderBy("bin").collect()
+    assert [r["bin"] for r in rows] == list(range(50)) and [r["count"] for r in rows] == list(want)
+    assert [r["bin_start"] for r in rows] + [rows[-1]["bin_end"]] == pytest.approx(list(edges))
+    both = series.histogram(df, "x", bins=50, limit=100, every_bin=True, group_cols=("g",))
+    assert both.columns == ["g", "bin", "bin_start", "bin_end", "count", "density"] and both.count() == 100
+
+
+def test_limited_histogram_lists_every_bin(spark):
+    from thetaflow.plans.registry import QUERIES
+    rows = QUERIES["histogram_limited"].build(spark, "/root/testdata/sf0.001").orderBy("bin").collect()
+    assert [r["bin"] for r in rows] == list(range(len(rows))) and any(r["count"] == 0 for r in rows)
