@@ -442,3 +442,20 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in rows} == set(before)
         if stage < 4:
             assert docs.columns == names
+
+
+def test_pages_with_an_article_are_differenced_too(spark, monkeypatch):
+    rows = [(i, f"https://h.org/a/{i}", f"<p>Site line</p><article><p>Licence</p><p>Own {i}</p></article>") for i in range(4)]
+    seen = []
+    near = html_text.neighbours
+    monkeypatch.setattr(html_text, "neighbours", lambda *a: seen.append(near(*a)) or seen[-1])
+    got = {r["page_id"]: r["text"] for r in html_text.report(frame(spark, rows, False, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Licence Own {i}" for i in range(4)}
+    assert seen[0].where("near IS NOT NULL").count() == 4
+    own = {"marks": [b"s", b"l", b"1"], "mains": [False, True, True]}
+    other = {"marks": [b"s", b"l", b"2"], "mains": [False, True, True]}
+    bare = {"marks": [b"s", b"l"], "mains": [False, False]}
+    kinds = pa.struct([("marks", pa.list_(pa.binary())), ("mains", pa.list_(pa.bool_()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(["h", "h"]), pa.array([b"k", b"b"]), pa.array([own, bare], kinds), pa.array([other, other], kinds)],
+                                       names=["host", "key", "own", "other"])
+    assert [b.column(2)[0].as_py() for b in html_text._aligned(iter([batch]))] == [[0, 1], [0]]

@@ -6,10 +6,10 @@ sorted by URL path, each is paired with the neighbour whose path has the
 longer common beginning, and the lines of both are aligned by a longest common
 subsequence.  Shared lines are the site's, not the page's, and are deleted.
 
-Differencing alone is wrong in two ways, so two rules frame it.  An article
+Differencing alone is wrong in two ways, so two rules follow it on every page.  An article
 may share lines with its neighbour (a licence line, a quoted passage): inside
 the page's ``article`` or ``main`` element no line is deleted for being
-shared.  And a menu or advert may be the page's own: lines in elements that
+shared, and what is around such an element is not the article.  And a menu or advert may be the page's own: lines in elements that
 are by name, role or class a menu, header, footer, sidebar, notice, advert,
 form or comment section are dropped, shared or not.  Inside an article only block elements' whole
 classes and roles tell that, and compounds that name nothing else (``ad-slot``, ``related-posts``); elsewhere a
@@ -271,26 +271,28 @@ def _common(a: list, b: list) -> list[int]:
 # ------------------------------------------------------------------- Spark steps
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, url, host, path, html) -> the same with, for html, a hash of what is kept, an article's text, and other lines."""
+    """(page, url, host, path, html) -> the same with, for html, a hash of what is kept, and the kept lines: digest, in an article or not, text."""
     for part in sliced(batches, 4):
-        keys, texts, others = [], [], []
+        keys, marks, mains, texts = [], [], [], []
         for html in part.column(4).to_pylist():
             every = lines(html or "")
             if not any(k == MAIN for k, _ in every):
                 every = [(MAIN if k == INNER else k, x) for k, x in every]
             kept = [(x, k) for k, x in every if k in (OTHER, MAIN)]
             keys.append(hashlib.md5("\n".join(f"{k}{x}" for x, k in kept).encode("utf-8", "surrogatepass")).digest())
-            texts.append(" ".join(x for x, k in kept if k == MAIN) if any(k == MAIN for _, k in kept) else None)
-            others.append([x for x, k in kept if k == OTHER])
+            marks.append([hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=12).digest() for x, _ in kept])
+            mains.append([k == MAIN for _, k in kept])
+            texts.append([x for x, _ in kept])
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(i) for i in range(4)), pa.array(keys, pa.binary()), pa.array(texts, pa.string()),
-             pa.array(others, pa.list_(pa.string()))], names=["page", "url", "host", "path", "key", "text", "lines"])
+            [*(part.column(i) for i in range(4)), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.binary())),
+             pa.array(mains, pa.list_(pa.bool_())), pa.array(texts, pa.list_(pa.string()))],
+            names=["page", "url", "host", "path", "key", "marks", "mains", "lines"])
 
 
-def main_text(own: list, other: list | None) -> str:
-    """Text of a page without an article, given its lines and those of its neighbour."""
-    common = shared(own, other) if other else ()
-    return " ".join(x for i, x in enumerate(own) if i not in common)
+def main_text(own: list, mains: list, common: set[int]) -> str:
+    """Text of a page, given its lines, which of them its article has, and the places of those that are its neighbour's too."""
+    bare = not any(mains)
+    return " ".join(x for i, x in enumerate(own) if (mains[i] or bare and i not in common))
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,24 +307,39 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["host", "key", "near"])
 
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, lines, other) -> (host, key, text)."""
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, own, other), the last two (marks, mains) -> (host, key, common): places in ``own`` of lines that ``other`` has.
+
+    A neighbour's article is not its site's: a page without one is aligned with what is around it.
+    """
     for batch in batches:
         for i in range(batch.num_rows):  # pages may be long: one at a time
             row = batch.slice(i, 1)
-            text = main_text(row.column(2)[0].as_py(), row.column(3)[0].as_py())
-            yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([text], pa.string())],
-                                             names=["host", "key", "text"])
+            own, other = row.column(2)[0].as_py(), row.column(3)[0].as_py()
+            there = [m for m, main in zip(other["marks"], other["mains"]) if not main or any(own["mains"])] if other else []
+            common = sorted(shared(own["marks"], there)) if there else []
+            yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([common], pa.list_(pa.int32()))],
+                                             names=["host", "key", "common"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, url, lines, mains, common) -> (page, url, text)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            own, mains, common = (row.column(j)[0].as_py() for j in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([main_text(own, mains, set(common))], pa.string())],
+                                             names=["page", "url", "text"])
 
 
 def neighbours(rows: DataFrame, host_pages: int) -> DataFrame:
-    """(host, key, near): for the pages without an article, the nearest page of the host that differs.
+    """(host, key, near): for every page, the nearest page of the host that differs.
 
     Equal pages are one here, at the first of their paths.
     """
     spark = rows.sparkSession
-    reps = rows.groupBy("host", "key").agg(F.min(F.struct("path", "page")).alias("at"), F.first(F.col("text").isNull()).alias("bare"))
-    reps = stored(reps.select("host", "at.path", "at.page", "key", "bare"), "differing")
+    reps = rows.groupBy("host", "key").agg(F.min(F.struct("path", "page")).alias("at"))
+    reps = stored(reps.select("host", "at.path", "at.page", "key"), "differing")
     ranges = max(partitions(spark), math.ceil(reps.count() / host_pages))
     keys = ["host", "path", "page", "key"]
     parts = stored(reps.repartitionByRange(ranges, *keys).withColumn("part", F.spark_partition_id()), "ranges")
@@ -332,7 +349,7 @@ def neighbours(rows: DataFrame, host_pages: int) -> DataFrame:
     ends = ends.select("part", F.lag("high").over(every).alias("previous"), F.lead("low").over(every).alias("following"))
     order = Window.partitionBy("part").orderBy(*keys)
     sides = (parts.select("*", F.lag(place).over(order).alias("lag"), F.lead(place).over(order).alias("lead"))
-             .join(F.broadcast(ends), "part").where("bare")
+             .join(F.broadcast(ends), "part")
              .withColumns({"before": F.coalesce("lag", "previous"), "after": F.coalesce("lead", "following")})
              .select("host", "key", "path", *[F.when(F.col(f"{c}.host") == F.col("host"), F.col(c)).alias(c) for c in ("before", "after")]))
     return stored(sides.mapInArrow(_nearest, "host string, key binary, near binary"), "neighbours")
@@ -347,17 +364,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"),
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         rest.alias("path"), F.col(html_col).alias("html"))
-    rows = stored(pages.mapInArrow(_parsed, "page long, url string, host string, path string, key binary, text string, "
-                                            "lines array<string>"), "pages")
-    near = neighbours(rows, host_pages)
-    wanted = near.select("host", "key").unionAll(near.where("near IS NOT NULL").select("host", F.col("near").alias("key")))
-    sources = rows.join(wanted.distinct(), ["host", "key"], "left_semi").groupBy("host", "key").agg(F.first("lines").alias("lines"))
-    other = sources.select("host", F.col("key").alias("near"), F.col("lines").alias("other"))
-    texts = (near.join(sources, ["host", "key"]).join(other, ["host", "near"], "left").select("host", "key", "lines", "other")
-             .mapInArrow(_differenced, "host string, key binary, text string"))
-    rest = rows.where("text IS NULL").drop("text", "lines").join(texts, ["host", "key"])
-    return (rows.where("text IS NOT NULL").select("page", "url", "text").unionAll(rest.select("page", "url", "text"))
-            .toDF(id_col, url_col, "text"))
+    # parsed twice: digests of the lines are stored and aligned, their texts go straight to what is kept of them
+    rows = pages.mapInArrow(_parsed, "page long, url string, host string, path string, key binary, marks array<binary>, "
+                                     "mains array<boolean>, lines array<string>")
+    index = stored(rows.drop("url", "lines"), "pages")
+    near = neighbours(index, host_pages)
+    lists = index.groupBy("host", "key").agg(F.first(F.struct("marks", "mains")).alias("own"))
+    other = lists.toDF("host", "near", "other")
+    places = (near.join(lists, ["host", "key"]).join(other, ["host", "near"], "left").select("host", "key", "own", "other")
+              .mapInArrow(_aligned, "host string, key binary, common array<int>"))
+    return (rows.join(places, ["host", "key"]).select("page", "url", "lines", "mains", "common")
+            .mapInArrow(_chosen, "page long, url string, text string").toDF(id_col, url_col, "text"))
 
 
 def report(pages: DataFrame) -> DataFrame:
