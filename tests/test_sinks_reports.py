@@ -240,3 +240,31 @@ def test_sorted_queries_come_in_order(spark):
     buckets = [(*(r[k] for k in regimes.KEYS), r["bucket"])
                for r in QUERIES["sharpe_by_signal_decile_ordered"].spark(spark, SF).collect()]
     assert len(buckets) > 10 and buckets == sorted(buckets)
+
+
+def test_quotes_are_made_of_days_where_they_lie(spark):
+    """The stored option table has a row a day; its quotes are those of the fixture's rules, and reading them moves none."""
+    from pyspark.sql import Window
+    from thetaflow.sources import fixtures
+    tables = fixtures.materialize_fixtures(spark, SF)
+    days, prices = (spark.table(tables[f"om_int_{x}_price"]) for x in ("option", "security"))
+    quotes = _market(spark, SF)[0]
+    assert days.count() <= prices.count() and quotes.count() > 25 * days.count()
+    w = Window.partitionBy("securityid").orderBy("date")
+    px = prices.where("securityid = 108105 OR securityid BETWEEN 200000 AND 299999")
+    ctr = F.floor(F.col("closeprice") / 25).cast("long") * 25
+    ends = px.select("securityid", F.lead("date").over(w).alias("date"), F.lead("closeprice").over(w).alias("px"), ctr.alias("ctr"))
+    ends = ends.where("date IS NOT NULL AND (securityid = 108105 OR dayofmonth(date) NOT IN (7, 11, 13))")
+    closing = quotes.where("date = expiration AND callput = 'C'").where("securityid = 108105 OR dayofmonth(date) NOT IN (7, 11, 13)")
+    want = ends.select("securityid", "date", F.explode(F.array(*[((F.col("ctr") + 25 * k) * 1000) for k in range(-2, 3)])).alias("strike"))
+    assert want.count() > 0 and want.exceptAll(closing.select("securityid", "date", "strike")).count() == 0
+    assert closing.select("securityid", "date", "strike").exceptAll(want).count() == 0
+    plan = quotes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_closing_quotes_travel_by_day(spark):
+    """What meets by contract is a row a day and type, not a row a quote."""
+    plan = chain.merge_legs(*_market(spark, SF), FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchange = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line and "ends" in line)
+    assert any("ObjectHashAggregate" in line and "collect_list" in line for line in plan[exchange:])
