@@ -268,3 +268,38 @@ def test_closing_quotes_travel_by_day(spark):
     plan = chain.merge_legs(*_market(spark, SF), FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString().splitlines()
     exchange = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line and "ends" in line)
     assert any("ObjectHashAggregate" in line and "collect_list" in line for line in plan[exchange:])
+
+
+def test_rounding_formats_no_short_value_and_is_that_of_printf(spark):
+    """Values of few digits pass as they are, and the formatting of the others isn't compiled into the whole stage's method."""
+    from thetaflow.plans.registry import rounded
+    values = [None, 0.0, -0.0, 512.25, -3.0001, 999999.9999, 999999.99995, 1e6, 1 / 3, 0.30000000000000004, 123456.78915, 1e22, 5e-324,
+              1.7976931348623157e308, float("inf")]
+    out = rounded(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double"), {})
+    got = [r["x"] for r in out.orderBy("i").collect()]
+    assert got == [None if x is None else float(f"{x:.9e}") for x in values] and str(got[2]) == "0.0"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rint(" in plan and "lambdafunction(" in plan
+
+
+def test_prices_are_made_without_options_and_items_move_once(spark, tmp_path):
+    """Queries on prices alone write no option table; an item moves by its day once before it is grouped."""
+    from thetaflow.plans.queries import _prices
+    from thetaflow.sources import fixtures
+    for t, cols in (("orders", "timestamp'1999-01-04' o_orderdate, 5e4D o_totalprice, id o_custkey"),
+                    ("lineitem", "id % 3 l_suppkey, timestamp'1999-01-04' + make_interval(0, 0, 0, int(id % 5)) l_shipdate, 2D l_quantity")):
+        spark.sql(f"SELECT {cols} FROM range(60)").write.parquet(str(tmp_path / f"{t}.parquet"))
+    prices = _prices(spark, str(tmp_path))
+    assert prices.where("securityid BETWEEN 200000 AND 200002").count() == 15
+    assert set(fixtures.materialize_fixtures(spark, str(tmp_path), options=False)) == {"om_int_security_price"}
+    assert set(fixtures.materialize_fixtures(spark, str(tmp_path))) == {"om_int_security_price", "om_int_option_price"}
+    items = spark.read.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = fixtures.security_price_from_lineitem(items, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_closing_quotes_leave_the_choice_of_legs_in_its_first_rows(spark):
+    """The window that ranks a day's quotes also takes its closing ones: none but a day's first rows are sorted again."""
+    plan = chain.straddles(*_market(spark, SF), FIXTURE_PARAMS)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("row_number()" in line and "collect_list" in line and "Window" in line for line in plan)
+    assert any("Filter (place" in line and " = 1)" in line and "OR" not in line for line in plan)
