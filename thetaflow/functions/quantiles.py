@@ -58,22 +58,32 @@ def breaks_below(breaks: Column, x: Column, max_breaks: int) -> Column:
     return F.aggregate(arr, F.lit(0), advance)
 
 
-def _bucketed(df: DataFrame, value: Column, keys: Sequence[str], probs: Sequence[float], accuracy: int, small: bool) -> DataFrame:
-    """All non-null values with the number of the sketch's breaks (its quantiles at ``probs``) below them.
+def _bucketed(df: DataFrame, value: Column, keys: Sequence[str], probs: Sequence[float], accuracy: int, small: bool,
+              need: DataFrame | None = None) -> DataFrame:
+    """All non-null values with the number of the sketch's breaks (its quantiles at ``probs``) below them (few breaks:
+    twice that, and one more for a value that is a break).
 
     The sketch has one row per group; ``small`` says the number of groups is
-    bounded by the configuration (not by the data), so it is broadcast.
+    bounded by the configuration (not by the data), so it is broadcast.  With ``need``, only values of the buckets that it
+    lists; they are left out before anything but the groups' sketches meets them.
     """
     v = df.select(*keys, value.cast("double").alias(V)).where(F.col(V).isNotNull())
     sk = v.groupBy(*keys).agg(F.percentile_approx(V, F.array(*[F.lit(p) for p in probs]), accuracy).alias("_br"))
+    if need is not None:
+        sk = join_groups(sk, need.groupBy(*keys).agg(F.collect_list(B).alias("_need")), keys)
     if keys:
         vb = join_groups(v, sk, keys, broadcast=small)
     else:
         vb = v.withColumn("_br", sk.scalar())
     if len(probs) <= FEW:  # plain comparisons, compiled
         below = sum((F.when(F.get("_br", F.lit(i)) < F.col(V), 1).otherwise(0) for i in range(len(probs))), F.lit(0))
+        # a value that is a break has a bucket of its own: ties make the target a break, which would take all below it along
+        below = 2 * below + F.when(F.array_contains("_br", F.col(V)), 1).otherwise(0)
     else:
         below = breaks_below(F.col("_br"), F.col(V), len(probs))
+    if need is not None:  # by a generator, through which the comparisons are not pushed to be made twice
+        vb = vb.select(*keys, below.alias(B), V, "_need")
+        return vb.select(*keys, B, V, F.explode(F.when(F.array_contains("_need", F.col(B)), F.array(F.lit(1)))).alias("_kept")).drop("_kept")
     return vb.select(*keys, below.alias(B), V)
 
 
@@ -119,6 +129,8 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], keys:
     need = offsets.select(*keys, B, "_off", "_n", F.filter(targets.cast("array<long>"), lambda k: (
         k >= F.col("_off")) & (k < F.col("_off") + F.col("_bc"))).alias("_ks")).where(F.size("_ks") > 0)
     # only these bands' values are shuffled, whatever else the data holds
+    if not small:
+        bucketed = _bucketed(df, value, keys, edges, accuracy, small, need)
     wanted = join_groups(bucketed, need, [*keys, B], broadcast=small)
     ranked = _ranked_values(_distinct(wanted, keys, "_off", "_n", "_ks"), keys)
     hits = ranked.select(*keys, "_n", F.explode(F.filter("_ks", lambda k: (k >= F.col("_lo")) & (
