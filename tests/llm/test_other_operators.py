@@ -216,6 +216,78 @@ def test_pivots_of_one_direction_rule_nothing_out():
         assert all((i, cell[j]) in seen or (j, cell[i]) in seen for i, j in zip(*np.nonzero(x @ x.T >= 0.9)))
 
 
+def evenly(n, dim=64, seed=7):
+    return vector_join.scaled(np.random.default_rng(seed).normal(size=(n, dim)))
+
+
+def vector_rows(x, copies=1, first=0, **more):
+    """Vectors as the columns (id, dim, vector, copies), and more."""
+    n = len(x)
+    columns = {"id": pa.array(range(first, first + n)), "dim": pa.array([x.shape[1]] * n, pa.int32()),
+               "vector": pa.array([v.tobytes() for v in x], pa.binary()), "copies": pa.array(np.full(n, copies, np.int64))}
+    return pa.RecordBatch.from_pydict(columns | {k: pa.array(np.asarray(v, np.float64 if k == "far" else np.int32)) for k, v in more.items()})
+
+
+def test_guests_of_many_blocks_take_no_copies_of_vectors():
+    x, pivots, blocks = evenly(2048), evenly(100, seed=8), 800
+    gaps = vector_join.distances(x, pivots)
+    cell = gaps.argmin(1)
+    batch = vector_rows(x, cell=cell, far=gaps.min(1), block=cell * 8)
+    plan = SimpleNamespace(value=({64: pivots}, {64: (np.repeat(np.arange(100), 8), np.full(100, 2.0), np.arange(blocks))}))
+    out = list(vector_join._dealt(plan, math.sqrt(0.2))([batch]))
+    assert sum(b.num_rows for b in out) > 2048 * blocks / 4  # evenly spread vectors are guests of half of all blocks
+    assert sum(b.nbytes for b in out) < 40e6
+
+
+@pytest.mark.parametrize("tile, links", [((7, 11), 500), ((256, 1024), 1 << 20), ((64, 64), 1 << 12)])
+def test_links_of_two_chunks(monkeypatch, tile, links):
+    monkeypatch.setattr(vector_join, "TILE", tile)
+    monkeypatch.setattr(vector_join, "LINKS", links)
+    rng = np.random.default_rng(4)
+    x = evenly(300, 40)
+    x[:120] = vector_join.scaled(x[0] + rng.normal(size=(120, 40)) * rng.choice([0.02, 0.06, 0.09], (120, 1)))  # a dense group
+    x[150:200] = x[140] + rng.normal(size=(50, 40)) * 0.06
+    x, copies = x[rng.permutation(300)], rng.integers(1, 4, 300)
+    block = np.sort(rng.integers(0, 6, 300))
+    chunk = block // 3
+    batch = vector_rows(x, cell=[0] * 300, far=vector_join.distances(vector_join.scaled(x), evenly(1, 40))[:, 0], block=block, chunk=chunk)
+    batch = batch.set_column(3, "copies", pa.array(copies))
+    rows = pa.Table.from_batches(vector_join._packed({0: [0, 1], 1: [0, 1]})([batch.slice(0, 100), batch.slice(100)]))
+    assert rows["chunk"].to_pylist() == [0, 1] and rows["meets"].to_pylist() == [[0, 1]] * 2
+    packed = rows["rows"].combine_chunks()
+    pairs = pa.RecordBatch.from_arrays([packed.take(pa.array([0, 0, 1, 1])), packed.take(pa.array([0, 1, 0, 1])),
+                                        pa.array([True, False, False, True])], names=["hosts", "rows", "same"])
+    plan = SimpleNamespace(value=({40: evenly(1, 40)}, {40: np.array([2.0])}))
+    n, edges = np.zeros(300, int), []
+    for out in vector_join._met(plan, math.sqrt(0.2), 0.9)([pairs]):
+        assert out.num_rows <= 300
+        np.add.at(n, out["id"].to_numpy(), out["n"].to_numpy())
+        edges += zip(out["id"].to_pylist(), out["to"].to_pylist())
+    near = vector_join.scaled(x) @ vector_join.scaled(x).T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 5000 and n.tolist() == (near @ copies).tolist()
+    assert brute.reach(range(300), edges + [(b, a) for a, b in edges]) == brute.reach(range(300), list(zip(*np.nonzero(near))))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_in_several_chunks(spark, monkeypatch, kind):
+    monkeypatch.setattr(vector_join, "CHUNK", 20 * 8 * 40)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(10, 40))
+    x = (centres[rng.integers(10, size=200)] + rng.normal(size=(200, 40)) * rng.choice([0.1, 0.3], (200, 1))).astype(np.float32)
+    x[0], x[-20:] = 0, x[5]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[9].tolist()), (7, x[7].tolist()), (300, [1.0, 2.0]), (301, [2.0, 4.0])]
+    good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows[1:] if i != 7]
+    links = [(a, b) for a, v in good for b, w in good if a != b and len(v) == len(w) and v @ w >= 0.9]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = {r["vec_id"]: r for r in vector_join.join(df.where("vec_id <> 7"), cell=9).collect()}
+    low = brute.reach([i for i, _ in rows if i != 7], links)
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {
+        i: (sum(a == i for a, _ in links), c, c == i) for i, c in low.items()}
+    twice = [r for r in vector_join.join(df, cell=9).collect() if r["vec_id"] == 7]
+    assert len(twice) == 3 and len(set(twice)) == 1 and twice[0]["n_links"] > 0  # one node, linked by any of its vectors
+
+
 # ----------------------------------------------------------------- archives
 
 def test_archives(spark):
