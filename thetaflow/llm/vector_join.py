@@ -123,7 +123,11 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+    gaps = x @ pivots.T
+    gaps *= -2
+    gaps += 2
+    np.maximum(gaps, 0, out=gaps)
+    return np.sqrt(gaps, out=gaps)
 
 
 def _cells(shared):
